@@ -7,8 +7,8 @@ span that it came from, so what the plain detectors find in the rewritten
 text maps back to source code points.
 
 Edge cases: a null text is empty; an empty text has no spans; texts of any
-length are searched whole, in linear time; a source span that overlaps a plain
-span of its kind is not added; repeated rows are judged alike; other columns
+length are searched whole, in linear time; a source span inside a plain span
+of its kind is not added, a wider one is; repeated rows are judged alike; other columns
 are ignored; an empty table gives no rows.
 """
 
@@ -84,6 +84,10 @@ def _any_of(points: list[int]) -> str:
     return "[" + "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]"
 
 
+# Last labels that end an address said in words.
+ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "mx", "ar", "example", "test", "invalid")
+
+
 _words = "|".join(sorted(DIGITS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|{_words})(?:[\s,]+|-|\s*(?:\.|(?<!\w)(?:{DOT_WORDS})(?!\w))\s*)){{3,}}(?:{_words})(?!\w)", re.I)
 SPELLED_PART = re.compile(rf"({_words})|(plus)|(\.|{DOT_WORDS})|[\s,-]+", re.I)
@@ -172,6 +176,8 @@ def normalise(text: str) -> Rewritten:
     out.put([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(out.text)])
     edits = []
     for m in SAID.finditer(out.text):
+        if m[3].split()[-1].lower() not in ENDINGS:
+            continue
         if m[2] != "@":
             edits.append((*m.span(2), "@"))
         edits += [(*x.span(), ".") for x in SAID_DOT.finditer(out.text, *m.span(3))]
@@ -197,7 +203,7 @@ def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[t
     for kind, found in detect(seen.text).items():
         own = base[kind]
         new = [(seen.begin[a], seen.end[b - 1]) for a, b in found]
-        every[kind] = sorted(own + [s for s in new if all(s[1] <= a or b <= s[0] for a, b in own)])
+        every[kind] = sorted(own + [s for s in new if not any(a <= s[0] and s[1] <= b for a, b in own)])
     return base, every
 
 
