@@ -17,6 +17,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.suffix_dedup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.pii import find
 
@@ -55,6 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,14 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that nothing will read again, and let Spark drop the shuffle files of what is done."""
+    for df in tables:
+        spark, paths = df.sparkSession, {f.rpartition("/")[0] for f in df.inputFiles()}
+        for at in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        spark._jvm.System.gc()
