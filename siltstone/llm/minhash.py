@@ -3,27 +3,30 @@
 Each permutation gives two signature values, the minimum and the maximum of
 the permuted shingle hashes, so half as many permutations are evaluated.
 BANDS bands of ROWS values are keys; at the threshold a linked pair shares no
-band with probability (1 - 0.85**6)**32, under 3e-7.
+band with probability (1 - 0.85**6)**24, about 1 in 100,000, and much less
+above it.
 
 1. Documents with equal sets collapse to one class (a fingerprint of the set).
-2. In each band bucket every class is paired with the bucket's smallest; the
-   pairs are confirmed on full sets, and components of the links are found.
-3. Buckets that still hold several components get the pairs across them that
-   sizes allow, so no link between different texts is lost; pairs within a
-   component are never made.
+2. Each class is compared with one other: the most central class of those that
+   it shares most bands with.  Components of the links are found.
+3. Where a bucket still holds several components, its classes are dealt to
+   blocks, and each pair of blocks is compared inside one task, which gives
+   back a spanning forest of the links.  So no link between different texts is
+   lost, and no pairs are emitted.
 
-No bucket is collected: buckets are aggregated and joined, and a pair's sets
-meet row by row.
+No bucket is collected: buckets are aggregated and joined, blocks have about
+BLOCK classes.
 
 Edge cases: null, empty or blank texts have no shingles, link with nothing and
-are kept; fewer than five words form one shingle; repeated rows share a class;
-ties go to the smallest doc_id; very long texts are taken whole; other columns
-are ignored; an empty table gives no rows.
+are kept; so are rows without doc_id, whose component_id is null; fewer than
+five words form one shingle; repeated rows share a class; ties go to the
+smallest doc_id; where rows with other texts repeat a doc_id, the smallest text
+stands for it when links are confirmed; very long texts are taken whole; other columns are ignored;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +36,13 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.bytetext import LOWER, mix, prefix_hash, span_hash, text_slices, words
 from siltstone.llm.components import components
-from siltstone.llm.shared import settle
+from siltstone.llm.shared import discard, settle
 
 WORDS = 5
 PERCENT = 85
 ROWS = 6
-BANDS = 32
+BANDS = 24
+BLOCK = 256
 PERMUTATIONS = ROWS * BANDS // 2
 
 with np.errstate(over="ignore"):
@@ -104,69 +108,143 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted shingle hashes as bytes."""
+    """id and the sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
                 hashes, bounds = shingle_sets(data, offsets)
                 sets = [np.sort(hashes[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "hashes"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, hashes binary")
+    return _texts(docs).mapInArrow(run, "id long, hashes binary")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def reaches(both: int | np.ndarray, p: int | np.ndarray, q: int | np.ndarray) -> bool | np.ndarray:
+    return 100 * both >= PERCENT * (p + q - both)
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; repeated rows only repeat a link."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = settle(full_sets(docs.join(named, "doc_id", "left_semi")), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q))
-                keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+                keep.append(bool(reaches(len(p) + len(q) - len(np.union1d(p, q)), len(p), len(q))))
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
-    joined = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("p")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("q")), "b")
-    return joined.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("q"))
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def forest(ids: list[int], component: list[int], block: list[int], sets: list[np.ndarray], crossed: bool) -> list[tuple[int, int]]:
+    """Links between components of the members of one group, as many as join them; only between blocks if ``crossed``."""
+    n = len(ids)
+    size = np.array([len(x) for x in sets])
+    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(inverse)[inverse] > 1  # a hash of one member alone is in no intersection
+    rows, columns = np.repeat(np.arange(n), size)[often], inverse[often]
+    both = np.zeros((n, n), dtype=np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns = rows[order], columns[order]
+    for at in range(0, len(values), 4096):
+        x, y = np.searchsorted(columns, [at, at + 4096])
+        if x < y:
+            part = np.zeros((n, 4096), dtype=np.float32)
+            part[rows[x:y], columns[x:y] - at] = 1
+            both += part @ part.T
+    linked = reaches(both.astype(np.int64), size[:, None], size[None, :])
+    of, sides = np.array(component), np.array(block)
+    linked &= of[:, None] != of[None, :]
+    if crossed:
+        linked &= sides[:, None] != sides[None, :]
+    parent = {c: c for c in component}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
+        x, y = root(component[i]), root(component[j])
+        if x != y:
+            parent[x] = y
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components within buckets: ``members`` has key, id, component and how many members its bucket has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def solve() -> pa.RecordBatch | None:
+            ids, of, blocks = ([x[i] for x in held] for i in (3, 4, 5))
+            if len(set(of)) < 2:
+                return None
+            found = forest(ids, of, blocks, [np.frombuffer(x[6], np.uint64) for x in held], held[0][1] != held[0][2])
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]) if found else None
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:3] != held[0][:3]:
+                    if (out := solve()) is not None:
+                        yield out
+                    held = []
+                held.append(row)
+        if held and (out := solve()) is not None:
+            yield out
+
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component", "block")
+    whole = dealt.join(sets.hint("merge"), "id").select("key", "x", "y", "id", "component", "block", "hashes")
+    return whole.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(signatures(docs), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = signed.where(linkable).groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = settle(classes, "classes")
-    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    pivots = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = settle(keys.join(pivots, "key").select("key", "rep", "n", F.col("pivot.rep").alias("pivot"), F.col("pivot.n").alias("pivot_n"), "members"), "buckets")
-    fits = lambda x, y: (100 * F.least(x, y)) >= (PERCENT * F.greatest(x, y))
-    tried = settle(shared.where((F.col("rep") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = settle(confirm(tried, docs), "links")
+    keys = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    shared = settle(keys.join(often.hint("merge"), "key"), "buckets")
+    # the most central class of a bucket shares most buckets with others
+    central = shared.groupBy("id").agg(F.sum("members").alias("central"))
+    pivots = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"))
+    tried = shared.join(pivots, "key").where("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
+    tried = tried.groupBy("id").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), F.col("id").alias("b"))
+    named = shared.select(F.col("id").alias("doc_id")).distinct()
+    one = docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = settle(full_sets(one), "sets")
+    links = settle(confirm(tried, sets), "links")
     labels = components(links)
-    # buckets that hold more than one component: pairs across them that no pivot has tried
-    told = shared.where("members > 2").join(labels, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", "pivot", F.coalesce("component", "rep").alias("c"))
-    mixed = told.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("rep") == F.col("pivot"), F.col("c"))).alias("main")).where("low != high")
-    told = settle(told.join(mixed.select("key", "main"), "key").withColumn("step", F.floor(F.log("n") / -math.log(PERCENT / 100)).cast("int")), "mixed")
-    outside = told.where("c != main and rep != pivot").select("key", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("c").alias("d"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    # two that are both outside meet twice; one of the two ways is enough
-    met = (F.col("c") == F.col("main")) | (F.col("a") < F.col("rep"))
-    across = outside.join(told.where("rep != pivot"), ["key", "step"]).where((F.col("c") != F.col("d")) & met & fits(F.col("n"), F.col("m")))
-    across = across.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    across = settle(across, "across")
-    if across.limit(1).count():
-        more = settle(confirm(across, docs), "links")
-        if more.limit(1).count():
-            labels = components(links.union(more))
+    told = shared.join(labels, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
+    mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
+    more = settle(across(told.join(mixed, "key"), sets), "more_links")
+    discard(shared, sets)
+    if more.limit(1).count():
+        labels = components(links.union(more))
     named = classes.select("f", "g", "n_shingles", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("f", "g", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    found = signed.where("n_shingles > 0").join(named, ["f", "g", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    found = signed.where(linkable).join(named, ["f", "g", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = signed.where(~linkable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates; all columns stay, and rows that link with nothing."""
+    gone = settle(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_duplicates")
+    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

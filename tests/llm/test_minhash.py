@@ -65,3 +65,36 @@ def test_one_stays_of_each_component(spark):
 
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_without_id_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    for seed in (6, 7):
+        docs = corpus(seed)
+        frame = spark.createDataFrame([*docs, (None, docs[8][1]), (None, None)], "doc_id long, text string")
+        rows = minhash.near_duplicates(frame).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == brute(docs)
+        assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)] * 2
+
+
+def test_forest_joins_what_all_pairs_join():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for crossed in (False, True):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        sets = [np.unique(np.where(rng.random(60) < rng.choice([0.02, 0.05, 0.3]), rng.integers(0, 1 << 60, 60).astype(np.uint64), base)) for _ in range(40)]
+        block = [i % 2 for i in range(40)]
+        found = minhash.forest(list(range(40)), list(range(40)), block, sets, crossed)
+        parts = [{i} for i in range(40)]
+        merge = lambda i, j: parts.remove(b) or a.update(b) if (a := next(p for p in parts if i in p)) is not (b := next(p for p in parts if j in p)) else None
+        for i, j in found:
+            merge(i, j)
+        got = sorted(map(sorted, parts))
+        parts[:] = [{i} for i in range(40)]
+        for i in range(40):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and (not crossed or block[i] != block[j]):
+                    merge(i, j)
+        assert got == sorted(map(sorted, parts)) and len(got) < 40
