@@ -33,15 +33,17 @@ MIN_COVER = 12
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of each whole text of ``docs`` (doc_id, text)."""
+def measures(docs: DataFrame, carried: list[Column] | None = None) -> DataFrame:
+    """doc_id and the measures of each whole text of ``docs`` (doc_id, text), with the columns ``carried``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    more = [f"_carried{i}" for i in range(len(carried or []))]
+    key = ("doc_id", *more)
+    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(n) for c, n in zip(carried or [], more, strict=True)], text.alias("text"))
     at = at.withColumn("w", F.array_remove(F.split("text", WHITE, -1), ""))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^ \t\x0B\f\r]"))
     count = lambda chars: F.regexp_count("text", F.lit(chars)).cast("long")
     at = at.select(
-        "doc_id",
+        *key,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         count(SYMBOLS).alias("n_symbols"),
@@ -54,10 +56,10 @@ def measures(docs: DataFrame) -> DataFrame:
     # one hash for each window of three words
     hashes = F.transform(F.slice("v", 1, F.greatest(F.size("v") - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("v", i + 1), F.get("v", i + 2)))
     counts = ("n_words", "word_chars", "n_symbols", "n_upper", "n_digits", "n_cries")
-    at = at.select("doc_id", *counts, "lines", hashes.alias("h"))
+    at = at.select(*key, *counts, "lines", hashes.alias("h"))
     pairs = F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))
     at = at.select(
-        "doc_id",
+        *key,
         *counts,
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -67,7 +69,7 @@ def measures(docs: DataFrame) -> DataFrame:
     twice = F.filter("p", lambda x, i: same(x, i + 1) | same(x, i - 1))
     at = at.withColumn("q", F.sort_array(F.transform(twice, lambda x: x["i"])))
     covered = F.aggregate(F.transform("q", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("q", i + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return at.select("doc_id", *counts, "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return at.select(*key, *counts, "n_lines", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def features() -> dict[str, Column]:
@@ -196,3 +198,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = settle(measures(docs), "measures")
     rules = learn(measured, labels)
     return measured.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & (verdict(rules) == 0)).alias("kept"), verdict(rules).alias("rule"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; no row is shuffled."""
+    rules = learn(settle(measures(docs), "measures"), labels)
+    whole = measures(docs, [F.struct(*[F.col(c) for c in docs.columns])])
+    return whole.where(~base_failed() & (verdict(rules) == 0)).select(*[F.col("_carried0")[c].alias(c) for c in docs.columns])

@@ -152,7 +152,7 @@ def accuracies(said: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple
         table /= table.sum(axis=2, keepdims=True)
         share = (weight[1].sum() + 1) / (weight.sum() + 2)
         new = posterior(said, table, share)
-        if np.abs(new - good).max() < 1e-9:
+        if not n or np.abs(new - good).max() < 1e-9:
             break
         good = new
     return table, share
