@@ -122,7 +122,7 @@ def equivalence_key(url: Column | str) -> Column:
     """Path and identity parameters; of a repeated one, the last value at the place of the first."""
     own = _sorted(F.filter(params(url), lambda x: F.lower(param_key(x)).isin(*IDENTITY)))
     keys = F.array_distinct(F.transform(own, param_key))
-    last = F.transform(keys, lambda k: F.element_at(F.filter(own, lambda x: param_key(x) == k), -1))
+    last = F.transform(keys, lambda k: F.try_element_at(F.filter(own, lambda x: param_key(x) == k), F.lit(-1)))
     return F.when(is_http(url), _joined(url, last)).otherwise(_c(url))
 
 
@@ -158,7 +158,7 @@ def adjusted_priority(of_kind: Column | str, demoted: Column) -> Column:
 
 def extension(url: Column | str) -> Column:
     """The file extension of the last part of the path; a dot that begins it does not count."""
-    last = F.element_at(F.filter(F.split(path(url), "/"), lambda x: x != ""), -1)
+    last = F.try_element_at(F.filter(F.split(path(url), "/"), lambda x: x != ""), F.lit(-1))
     return F.when(is_http(url) & last.rlike(r"^.+\.[^.]*$"), F.lower(F.regexp_extract(last, r"\.([^.]*)$", 1)))
 
 
@@ -192,7 +192,7 @@ def resolved(link: Column | str, base: Column | str) -> Column:
         F.array().cast("array<string>"),
         lambda held, x: F.when(x == ".", held).when(x == "..", F.when(F.size(held) > 1, F.slice(held, 1, F.size(held) - 1)).otherwise(held)).otherwise(F.array_append(held, x)),
     )
-    closed = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    closed = F.when(F.try_element_at(parts, F.lit(-1)).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
     rest = F.regexp_extract(full, r"^(?i)https?://[^/?#]+[^?#]*(.*)$", 1)
     clean = F.concat(origin(full), F.concat(F.array_join(kept, "/"), closed), rest)
     return F.when(is_http(full) & full.rlike(r"^(?i)https?://[^/?#]+[^?#]*/\.\.?(/|$|[?#])"), clean).otherwise(full)

@@ -202,7 +202,7 @@ def normalise(products: DataFrame) -> DataFrame:
     own = rows.groupBy("site", "key").agg(held.alias("rows"))
     names = F.filter(F.array_distinct(F.transform("rows", lambda r: r["label"])), lambda n: n.isNotNull() & ~n.contains(" - "))
     slugs = F.filter(F.transform("rows", lambda r: r["slug"]), lambda s: s.isNotNull() & (s != ""))
-    own = own.withColumn("slug", F.coalesce(F.get(slugs, 0), F.element_at(F.split("key", "/"), -1)))
+    own = own.withColumn("slug", F.coalesce(F.get(slugs, 0), F.try_element_at(F.split("key", "/"), F.lit(-1))))
     shortest = F.get(F.array_sort(F.transform(names, lambda n, i: F.struct(F.length(n).alias("l"), i.alias("i"), n.alias("n")))), 0)["n"]
     own = own.withColumn("name", F.coalesce(shortest, F.regexp_replace("slug", "-", " ")))
     variants = F.filter("rows", lambda r: F.lower(r["label"]).startswith(F.concat(F.lower("name"), F.lit(" - "))) & F.coalesce(r["price"], r["regular_price"]).isNotNull())

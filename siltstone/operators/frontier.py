@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.checkpoints import cut
 from siltstone.functions import urls as U
 
 PATTERN_CAP = 25
@@ -74,12 +75,19 @@ def admission(candidates: DataFrame, allowed: list[str], accepted: DataFrame | N
     else:
         own = own.withColumns({"old_canonical": F.lit(None).cast("boolean"), "old_equivalence": F.lit(None).cast("boolean"), "old_n": F.lit(None).cast("long")})
     eligible = F.col("alone").isNull() & F.col("late").isNull() & F.col("old_canonical").isNull() & F.col("old_equivalence").isNull()
-    # the first eligible link of an equivalence class is the one that may be admitted: canonical duplicates lie within a class
-    first = F.min(F.when(eligible, F.col("seq"))).over(Window.partitionBy("equivalence"))
-    own = own.withColumn("first", first)
-    leads = F.col("first") == F.col("seq")
-    order = F.coalesce("old_n", F.lit(0)) + F.sum(F.when(leads, 1).otherwise(0)).over(Window.partitionBy("pattern").orderBy("seq"))
-    own = own.withColumn("admitted", leads & (order <= cap)).withColumn("full_before", order - F.when(leads, 1).otherwise(0) >= cap)
+    # A class of equivalent links tries its members in order until one is admitted; a try fails only where its
+    # pattern is full by then.  Tries and failures only grow from round to round, so this ends; most often at once.
+    own = own.withColumn("eligible", eligible).withColumn("failed", F.lit(False))
+    while True:
+        first = F.min(F.when(F.col("eligible") & ~F.col("failed"), F.col("seq"))).over(Window.partitionBy("equivalence"))
+        tried = own.withColumn("tries", F.coalesce(first == F.col("seq"), F.lit(False)))
+        order = F.coalesce("old_n", F.lit(0)) + F.sum(F.when(F.col("tries") | F.col("failed"), 1).otherwise(0)).over(Window.partitionBy("pattern").orderBy("seq"))
+        own = cut(tried.withColumn("admitted", F.col("tries") & (order <= cap)).withColumn("more", F.col("tries") & (order > cap)))
+        if not own.where("more").limit(1).count():
+            break
+        own = own.withColumn("failed", F.col("failed") | F.col("more")).drop("tries", "admitted", "more")
+    before = F.coalesce("old_n", F.lit(0)) + F.sum(F.when(F.col("admitted"), 1).otherwise(0)).over(Window.partitionBy("pattern").orderBy("seq")) - F.when(F.col("admitted"), 1).otherwise(0)
+    own = own.withColumn("full_before", before >= cap)
     seen = lambda key: F.coalesce(F.min(F.when(F.col("admitted"), F.col("seq"))).over(Window.partitionBy(key)) < F.col("seq"), F.lit(False))
     reason = (
         F.when(F.col("alone").isNotNull(), F.col("alone"))
@@ -88,7 +96,7 @@ def admission(candidates: DataFrame, allowed: list[str], accepted: DataFrame | N
         .when(F.col("full_before"), F.lit("pattern_cap"))
         .otherwise(F.col("late"))
     )
-    return own.withColumn("reject_reason", reason).drop("alone", "late", "first", "admitted", "full_before", "old_canonical", "old_equivalence", "old_n")
+    return own.withColumn("reject_reason", reason).drop("alone", "late", "eligible", "failed", "tries", "admitted", "more", "full_before", "old_canonical", "old_equivalence", "old_n")
 
 
 def prioritised(tasks: DataFrame, order: str = "seq") -> DataFrame:
@@ -124,7 +132,7 @@ def breadth_first(start: DataFrame, edges: DataFrame, max_pages: int, max_depth:
     Each level is one join and one anti-join; it ends when nothing new is
     found or ``max_pages`` are.  The lineage is cut at every level.
     """
-    level = start.select("url", F.lit(0).alias("depth"), F.row_number().over(Window.orderBy("url")).cast("long").alias("found")).checkpoint()
+    level = cut(start.select("url", F.lit(0).alias("depth"), F.row_number().over(Window.orderBy("url")).cast("long").alias("found")))
     every, total = level, level.count()
     for depth in range(1, max_depth + 1):
         if total >= max_pages:
@@ -133,7 +141,7 @@ def breadth_first(start: DataFrame, edges: DataFrame, max_pages: int, max_depth:
         new = steps.groupBy("url").agg(F.min("by").alias("by")).join(every.select("url"), "url", "left_anti")
         order = Window.orderBy("by")
         # a level that would pass the limit is cut in order of discovery
-        level = new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_pages - total).select("url", F.lit(depth).alias("depth"), (F.lit(total) + F.col("n")).cast("long").alias("found")).checkpoint()
+        level = cut(new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_pages - total).select("url", F.lit(depth).alias("depth"), (F.lit(total) + F.col("n")).cast("long").alias("found")))
         size = level.count()
         if not size:
             break
@@ -144,10 +152,10 @@ def breadth_first(start: DataFrame, edges: DataFrame, max_pages: int, max_depth:
 
 def dependency_closure(start: DataFrame, edges: DataFrame, passes: int = 5, limit: int = 20_000) -> DataFrame:
     """Resources reached from ``start`` (url) over ``edges`` (source, target) in a bounded number of passes."""
-    every = start.select("url").distinct().checkpoint()
+    every = cut(start.select("url").distinct())
     for _ in range(passes):
         more = every.join(edges, F.col("url") == F.col("source")).select(F.col("target").alias("url")).distinct().join(every, "url", "left_anti")
-        grown = every.union(more).checkpoint()
+        grown = cut(every.union(more))
         size = grown.count()
         if size == every.count():
             break

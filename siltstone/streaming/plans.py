@@ -8,16 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.checkpoints import shared_folder
 from siltstone.registry import query
 from siltstone.sources.tables import table
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share, for checkpoints and results."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return at.rstrip("/")
-
-
 def event_stream(spark: SparkSession, folder: str, late: str = "10 minutes") -> DataFrame:
     """Events as a stream with a watermark; ``ts`` has to be a timestamp with time zone for one."""
     schema = table(spark, folder, "events").schema
@@ -27,7 +22,7 @@ def event_stream(spark: SparkSession, folder: str, late: str = "10 minutes") ->
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream to the end of its input; its results as a table in the shared folder."""
-    spark, at = stream.sparkSession, f"{shared(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, at = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         # a batch that is run again after a failure overwrites its own part
