@@ -40,7 +40,7 @@ from siltstone.llm.shared import discard, settle
 
 MINIMUM = 200
 GRAM = 56
-GROUP = 512
+GROUP = 4096  # runs have at most 2 * MINIMUM - GRAM bytes, so a group is about as large as a batch
 PIECE = 2 << 20
 BATCH = 1 << 20
 ANCHOR = "h long, whole long, doc long, f int, begin int, count int"
