@@ -182,12 +182,12 @@ def gradients(model: Model, x_in: np.ndarray, x_out: np.ndarray) -> tuple[float,
     return float(loss) / total, out
 
 
-def train(model: Model, windows: np.ndarray, rate: float, batch: int = 64) -> None:
+def train(model: Model, windows: np.ndarray, rate: float, batch: int = 8) -> None:
     """One pass of Adam over rows of WINDOW + 1 classes; updates ``model.weights``."""
     mean = {k: np.zeros_like(v) for k, v in model.weights.items()}
     square = {k: np.zeros_like(v) for k, v in model.weights.items()}
     for step, at in enumerate(range(0, len(windows), batch), 1):
-        own = windows[at : at + batch]
+        own = windows[at : at + batch].astype(np.int64)
         _, grads = gradients(model, own[:, :-1], own[:, 1:])
         norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
         for k, v in grads.items():
