@@ -85,7 +85,9 @@ def admission(candidates: DataFrame, allowed: list[str], accepted: DataFrame | N
         own = cut(tried.withColumn("admitted", F.col("tries") & (order <= cap)).withColumn("more", F.col("tries") & (order > cap)))
         if not own.where("more").limit(1).count():
             break
-        own = own.withColumn("failed", F.col("failed") | F.col("more")).drop("tries", "admitted", "more")
+        # what follows in the same class with the same pattern fails as well
+        full_from = F.min(F.when(F.col("more"), F.col("seq"))).over(Window.partitionBy("equivalence", "pattern"))
+        own = own.withColumn("failed", F.col("failed") | F.coalesce(F.col("eligible") & (full_from <= F.col("seq")), F.lit(False))).drop("tries", "admitted", "more")
     before = F.coalesce("old_n", F.lit(0)) + F.sum(F.when(F.col("admitted"), 1).otherwise(0)).over(Window.partitionBy("pattern").orderBy("seq")) - F.when(F.col("admitted"), 1).otherwise(0)
     own = own.withColumn("full_before", before >= cap)
     seen = lambda key: F.coalesce(F.min(F.when(F.col("admitted"), F.col("seq"))).over(Window.partitionBy(key)) < F.col("seq"), F.lit(False))
