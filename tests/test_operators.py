@@ -313,3 +313,53 @@ def test_audits(spark):
     assert {r.slug: r.issue for r in gates.page_audit(expected, built).collect()} == {"b": "empty", "c": "empty", "d": "missing"}
     row = spark.range(1).select(gates.sequence_similarity(F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, "axbd"))).alias("x"), gates.sequence_similarity(F.array(), F.array(F.lit("a"))).alias("y")).first()
     assert tuple(row) == (0.5, 1.0)
+
+
+# --- products in pages, and sites ---------------------------------------------------------------------------------
+
+SHOP = """<html><head><meta property="og:type" content="product"><meta property="og:title" content="Robe"><meta property="product:price:amount" content="12">
+<script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "Robe", "sku": "R1", "image": [{"url": "/a.png"}, "b.png"], "brand": {"name": "B"}, "offers": [{"price": 12.5, "priceCurrency": "EUR"}],
+ "hasVariant": [{"sku": "R1-S", "size": "S", "offers": {"price": "12"}}, {"sku": "R1-M", "size": "M"}]}]}</script><script type="application/ld+json">{broken</script>
+<script id="__NEXT_DATA__" type="application/json">{"props": {"p": {"@type": "Product", "name": "Other", "sku": "O"}}}</script></head>
+<body><h1>Robe</h1><div itemscope itemtype="https://schema.org/Product"><span itemprop="name">Micro</span><span itemprop="price" content="3"></span></div><span class="price">€ 12,50</span><button>Add to cart</button><img class="gallery" data-src="z.png" src="s.png"></body></html>"""
+
+
+def test_product_extractors_and_merge(spark):
+    from siltstone.operators import products as P
+
+    pages = spark.createDataFrame([("x.com", 0, "https://x.com/p/robe", SHOP), ("x.com", 1, "https://x.com/about", "<h1>About</h1>"), ("x.com", 2, "https://x.com/n", None)], "site string, place int, url string, html string")
+    found = P.extract(pages).orderBy("seq").collect()
+    assert [(r.discovery_sources[0], r.name, r.price) for r in found] == [("jsonLd", "Robe", "12.5"), ("embedded", "Other", None), ("microdata", "Micro", "3"), ("openGraph", "Robe", "12"), ("html", "Robe", "12,50")]
+    one = found[0]
+    assert (one.images, one.brand, one.currency, one.slug, one.url) == (["https://x.com/a.png", "https://x.com/p/b.png"], "B", "EUR", "robe", "https://x.com/p/robe")
+    assert [(v.sku, v.attributes) for v in one.variants] == [("R1-S", {"size": "S"}), ("R1-M", {"size": "M"})]
+    merged = {r.name: r for r in C.merge(P.extract(pages)).collect()}
+    assert set(merged) == {"Robe", "Other", "Micro"} and merged["Robe"].merged == 2 and merged["Robe"].discovery_sources == ["jsonLd", "openGraph", "html"]
+    assert P.source_counts(P.extract(pages)).first().jsonLd == 1
+    roles = [(r.order, r.role, r.filename, r.mime_type) for r in P.media(P.extract(pages)).where("seq = 0").orderBy("order").collect()]
+    assert roles == [(0, "featured", "a.png", "image/png"), (1, "gallery", "b.png", "image/png")]
+
+
+def test_site_models(spark):
+    from siltstone.operators import site
+
+    pages = spark.createDataFrame([("s", 0, '<link href="/wp-content/x"><div class="elementor">'), ("s", 1, "woocommerce yoast"), ("t", 0, "plain")], "site string, place int, html string")
+    got = {(r.site, r.name): r.rank for r in site.detections(pages).collect()}
+    assert got == {("s", "WordPress"): 1, ("s", "WooCommerce"): 2, ("s", "Elementor"): 1, ("s", "Yoast SEO"): 1}
+    links = spark.createDataFrame([("s", 0, "https://www.facebook.com/shop/"), ("s", 1, "https://facebook.com/sharer?u=1"), ("s", 2, "https://www.Facebook.com/Shop"), ("s", 3, "https://x.com/me"), ("s", 4, "https://y.org/a")], "site string, place int, url string")
+    assert [(r.platform, r.url) for r in site.social_profiles(links).orderBy("n").collect()] == [("facebook", "https://www.Facebook.com/Shop"), ("twitter", "https://x.com/me")]
+    values = spark.createDataFrame([("s", 1, ["b", "c"]), ("s", 0, ["a", "b"])], "site string, place int, v array<string>")
+    assert [r.value for r in site.facets(values, "v", 2).orderBy("n").collect()] == ["a", "b"]
+    menus = spark.createDataFrame([("s", 0, False, ["1", "2", "3", "4"]), ("s", 1, True, ["Home", "Shop"]), ("s", 2, False, ["One two", "Three", "Four"])], "site string, menu int, semantic boolean, labels array<string>")
+    assert [r.menu for r in site.best_menu(menus).orderBy("n").collect()] == [1, 2, 0]
+    page = spark.createDataFrame([("https://x.com/", None, "d" * 100, ["A long heading of the page itself"], "text", [("a.png", None), ("b.png", "alt")])], "url string, title string, description string, h1 array<string>, content string, images array<struct<src: string, alt: string>>")
+    assert sorted((r.kind, r.page_type, r.target) for r in site.proposals(page).collect()) == [("image_alt", "home", "a.png"), ("title", "home", "title")]
+    held = spark.createDataFrame([("s", "es", "<p>1 https://a.com"), ("s", "es", "<p>22 https://b.com"), ("s", "es", "<b>x")], "site string, locale string, fragment string")
+    assert site.fragment_consensus(held).first().fragment == "<p>22 https://b.com"
+    wanted = spark.createDataFrame([("h", 400, 800)], "slug string, w int, h int")
+    shots = spark.createDataFrame([("h", 1000, 800, "d", 0), ("h", 390, 844, "m", 1)], "slug string, w int, h int, capture string, place int")
+    assert site.nearest_viewport(wanted, shots).first().capture == "m"
+    nodes = spark.createDataFrame([("u", ["a", "a"], ["f"])], "url string, media array<string>, forms array<string>").withColumns({c: F.lit(None).cast("array<string>") for c in ("components", "widgets", "products")})
+    assert sorted((r.target, r.type) for r in site.edges(nodes).collect()) == [("a", "media"), ("f", "form")]
+    declared = spark.createDataFrame([("s", "a"), ("s", "b")], "site string, slug string")
+    assert site.capture_integrity(declared, declared.where("slug = 'a'").withColumn("html", F.lit("<p>"))).first().complete is False
