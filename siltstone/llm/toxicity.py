@@ -38,7 +38,7 @@ LABELLED = 50_000
 BUCKET_BITS = 20
 PREFIXES = (7, 6, 5, 4)
 PRIOR = 500.0
-SURE = 2.5
+SURE = 2.0
 TOLL = 0.05
 CUT = 1.0
 THRESHOLD = 0.3
