@@ -192,11 +192,13 @@ def across(members: DataFrame, sets: DataFrame) -> DataFrame:
             ids, of, blocks = ([x[i] for x in held] for i in (3, 4, 5))
             if len(set(of)) < 2:
                 return None
-            found = forest(ids, of, blocks, [np.frombuffer(x[6], np.uint64) for x in held], held[0][1] != held[0][2])
+            found = forest(ids, of, blocks, [x[6] for x in held], held[0][1] != held[0][2])
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]) if found else None
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            # sets stay in the batch's own memory
+            sets_of = (np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(6))
+            for row in zip(*(c.to_pylist() for c in batch.columns[:6]), sets_of, strict=True):
                 if held and row[:3] != held[0][:3]:
                     if (out := solve()) is not None:
                         yield out
