@@ -111,7 +111,6 @@ def merge(products: DataFrame) -> DataFrame:
             at |= dict.fromkeys(_keys(out[i]), i)
         return pd.DataFrame(out)[columns]
 
-    columns = [c.split()[0] for c in PRODUCT.split(", ") if "struct" not in c and ":" not in c]
     columns = ["site", "seq", "source_url", *FIELDS, *LISTS, "variants", "merged"]
     return own.groupBy("site", "part").applyInPandas(fold, PRODUCT + ", merged int")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -144,31 +142,23 @@ def cooldowns(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: i
 def concurrency(outcomes: DataFrame, key: str, order: str, base: int, adaptive: bool = True) -> DataFrame:
     """Workers after each outcome (ok, limited, in_cooldown): halved (or one less) when limited, one more after three successes.
 
-    One run is folded in order over sorted batches; only the count and the
-    successes are held.
+    The outcomes of one run are folded in order.
     """
 
-    def fold(key_values: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        workers, successes = base, 0
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                if row.outcome == "limited":
-                    workers, successes = max(1, workers // 2 if adaptive else workers - 1), 0
-                elif row.outcome == "ok":
-                    successes += 1
-                    if adaptive and successes >= 3 and not row.in_cooldown:
-                        workers = min(base, workers + 1)
-                out.append(workers)
-            yield pdf[[key, order]].assign(workers=out)
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, workers, successes, out = pdf.sort_values(order), base, 0, []
+        for row in pdf.itertuples(index=False):
+            if row.outcome == "limited":
+                workers, successes = max(1, workers // 2 if adaptive else workers - 1), 0
+            elif row.outcome == "ok":
+                successes += 1
+                if adaptive and successes >= 3 and not row.in_cooldown:
+                    workers = min(base, workers + 1)
+            out.append(workers)
+        return pdf[[key, order]].assign(workers=out)
 
     kinds = dict(outcomes.dtypes)
-    schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, workers int"
-
-    def whole(key_values: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat(list(fold(key_values, iter([pdf.sort_values(order)]))))
-
-    return outcomes.groupBy(key).applyInPandas(whole, schema)
+    return outcomes.groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, workers int")
 
 
 def due_retries(pending: DataFrame, now_ms: int) -> DataFrame:
