@@ -20,9 +20,9 @@ OTHER, END = CLASSES - 2, CLASSES - 1
 START = CLASSES  # stands before a text; never a target
 VOCABULARY = 50_257
 WIDTH = 24
-HIDDEN = 32
+HIDDEN = 48
 WINDOW = 64
-STRIDE = 58
+STRIDE = 48
 PRIOR = 5.0
 NAMES = ("E", "P", "Q", "K", "V", "O", "W1", "W2", "U", "T")
 
