@@ -34,7 +34,8 @@ def shapes() -> dict[str, tuple[int, int]]:
 
 def initial(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    scale = {"E": 0.3, "P": 0.1, "O": 0.05, "W2": 0.05, "U": 0.05, "T": 0.05}
+    # with U and T at zero an untrained network adds nothing to the counts
+    scale = {"E": 0.3, "P": 0.1, "O": 0.05, "W2": 0.05, "U": 0.0, "T": 0.0}
     return {k: rng.normal(0, scale.get(k, s[0] ** -0.5), s).astype(np.float32) for k, s in shapes().items()}
 
 
@@ -136,11 +137,13 @@ def log_probabilities(model: Model, x_in: np.ndarray, x_out: np.ndarray, first:
 
 
 def gradients(model: Model, x_in: np.ndarray, x_out: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of a batch and its gradients."""
+    """Mean loss of a batch and its gradients; negative entries are padding and are not predicted."""
     w = model.weights
     n, size = x_in.shape
+    x_in = np.where(x_in < 0, END, x_in)
     s = layers(w, x_in)
-    before, target, g = x_in.ravel(), x_out.ravel(), s["g"]
+    kept = np.flatnonzero(x_out.ravel() >= 0)
+    before, target, g = x_in.ravel()[kept], x_out.ravel()[kept], s["g"][kept]
     total, out = len(target), {}
 
     def output(u: np.ndarray, bias: np.ndarray, g_own: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -160,6 +163,8 @@ def gradients(model: Model, x_in: np.ndarray, x_out: np.ndarray) -> tuple[float,
             more, out["T"][own], part = output(w["T"][own], model.class_bias[k][before[rows]], g[rows], target[rows] - k * SIZE)
             loss += more
             dg[rows] += part
+    inner, dg = dg, np.zeros_like(s["g"])
+    dg[kept] = inner
     out["W2"] = s["z"].T @ dg
     dz = (dg @ w["W2"].T) * (s["z"] > 0)
     out["W1"] = s["h"].T @ dz
@@ -172,13 +177,13 @@ def gradients(model: Model, x_in: np.ndarray, x_out: np.ndarray) -> tuple[float,
     parts = {"Q": np.matmul(ds, s["k"]) * WIDTH**-0.5, "K": np.matmul(ds.transpose(0, 2, 1), s["q"]), "V": np.matmul(s["a"].transpose(0, 2, 1), dm)}
     dx = dh
     for c, part in parts.items():
-        part = part.reshape(total, WIDTH)
+        part = part.reshape(n * size, WIDTH)
         out[c] = s["x"].T @ part
         dx = dx + part @ w[c].T
     out["P"] = np.zeros_like(w["P"])
     out["P"][:size] = dx.reshape(n, size, WIDTH).sum(axis=0)
     out["E"] = np.zeros_like(w["E"])
-    np.add.at(out["E"], before, dx)
+    np.add.at(out["E"], x_in.ravel(), dx)
     return float(loss) / total, out
 
 
