@@ -2,9 +2,10 @@
 
 Each permutation gives two signature values, the minimum and the maximum of
 the permuted shingle hashes, so half as many permutations are evaluated.
-BANDS bands of ROWS values are keys; at the threshold a linked pair shares no
-band with probability (1 - 0.85**6)**24, about 1 in 100,000, and much less
-above it.
+BANDS bands of ROWS values are keys, or for a threshold as in SPREADS; at the
+threshold a linked pair shares no band with probability (1 - 0.85**6)**24,
+about 1 in 100,000, and much less above it; at 80 % with (1 - 0.8**5)**36,
+under 1 in a million.
 
 1. Documents with equal sets collapse to one class (a fingerprint of the set).
 2. Each class is compared with one other: the most central class of those that
@@ -43,11 +44,13 @@ PERCENT = 85
 ROWS = 6
 BANDS = 24
 BLOCK = 256
-PERMUTATIONS = ROWS * BANDS // 2
+# rows and bands up to a threshold in percent
+SPREADS = {80: (5, 36), 100: (ROWS, BANDS)}
+PERMUTATIONS = max(rows * bands for rows, bands in SPREADS.values()) // 2
 
 with np.errstate(over="ignore"):
     FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    PLACES = mix(np.arange(101, 101 + ROWS, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
+    PLACES = mix(np.arange(101, 101 + max(rows for rows, _ in SPREADS.values()), dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,19 +74,27 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return hashes, np.searchsorted(own, np.arange(n + 1))
 
 
-def band_keys(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """BANDS keys for each non-empty set; begin: where each set starts."""
-    out = np.zeros((BANDS, len(begin)), dtype=np.uint64)
-    for k in range(PERMUTATIONS):
+def spread(percent: int) -> tuple[int, int]:
+    """Rows and bands for a threshold of 80 % or more."""
+    if not min(SPREADS) <= percent <= 100:
+        raise ValueError(f"no bands for a threshold of {percent} %")
+    return SPREADS[min(most for most in SPREADS if percent <= most)]
+
+
+def band_keys(hashes: np.ndarray, begin: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
+    """The keys of ``bands`` bands for each non-empty set; begin: where each set starts."""
+    out = np.zeros((bands, len(begin)), dtype=np.uint64)
+    for k in range(rows * bands // 2):
         permuted = hashes * FACTORS[k]
         for j, value in ((2 * k, np.minimum.reduceat(permuted, begin)), (2 * k + 1, np.maximum.reduceat(permuted, begin))):
-            out[j // ROWS] += mix(value) * PLACES[j % ROWS]
-    out += np.arange(1, BANDS + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
-    return mix(out.reshape(-1)).reshape(BANDS, -1).T
+            out[j // rows] += mix(value) * PLACES[j % rows]
+    out += np.arange(1, bands + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    return mix(out.reshape(-1)).reshape(bands, -1).T
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, a fingerprint (f, g) of the set and its band keys; null where the set is empty."""
+    in_band, bands = spread(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,13 +103,13 @@ def signatures(docs: DataFrame) -> DataFrame:
                 size = np.diff(bounds)
                 some = np.flatnonzero(size)
                 begin = bounds[some]
-                keys = np.zeros((b - a, BANDS), dtype=np.uint64)
+                keys = np.zeros((b - a, bands), dtype=np.uint64)
                 prints = np.zeros((2, b - a), dtype=np.uint64)
                 if len(some):
-                    keys[some] = band_keys(hashes, begin)
+                    keys[some] = band_keys(hashes, begin, in_band, bands)
                     prints[0, some] = np.add.reduceat(mix(hashes + np.uint64(0x5851F42D4C957F2D)), begin)
                     prints[1, some] = np.bitwise_xor.reduceat(mix(hashes * np.uint64(0xDA942042E4DD58B5)), begin)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(size.astype(np.int64)), pa.array(prints[0].view(np.int64)), pa.array(prints[1].view(np.int64)), lists],
                     ["doc_id", "n_shingles", "f", "g", "bands"],
@@ -124,11 +135,11 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def reaches(both: int | np.ndarray, p: int | np.ndarray, q: int | np.ndarray) -> bool | np.ndarray:
-    return 100 * both >= PERCENT * (p + q - both)
+def reaches(both: int | np.ndarray, p: int | np.ndarray, q: int | np.ndarray, percent: int = PERCENT) -> bool | np.ndarray:
+    return 100 * both >= percent * (p + q - both)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold; repeated rows only repeat a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +147,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(bool(reaches(len(p) + len(q) - len(np.union1d(p, q)), len(p), len(q))))
+                keep.append(bool(reaches(len(p) + len(q) - len(np.union1d(p, q)), len(p), len(q), percent)))
             kept = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
@@ -144,7 +155,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def forest(ids: list[int], component: list[int], block: list[int], sets: list[np.ndarray], crossed: bool) -> list[tuple[int, int]]:
+def forest(ids: list[int], component: list[int], block: list[int], sets: list[np.ndarray], crossed: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between components of the members of one group, as many as join them; only between blocks if ``crossed``."""
     n = len(ids)
     size = np.array([len(x) for x in sets])
@@ -160,7 +171,7 @@ def forest(ids: list[int], component: list[int], block: list[int], sets: list[np
             part = np.zeros((n, 4096), dtype=np.float32)
             part[rows[x:y], columns[x:y] - at] = 1
             both += part @ part.T
-    linked = reaches(both.astype(np.int64), size[:, None], size[None, :])
+    linked = reaches(both.astype(np.int64), size[:, None], size[None, :], percent)
     of, sides = np.array(component), np.array(block)
     linked &= of[:, None] != of[None, :]
     if crossed:
@@ -182,7 +193,7 @@ def forest(ids: list[int], component: list[int], block: list[int], sets: list[np
     return out
 
 
-def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between components within buckets: ``members`` has key, id, component and how many members its bucket has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +203,7 @@ def across(members: DataFrame, sets: DataFrame) -> DataFrame:
             ids, of, blocks = ([x[i] for x in held] for i in (3, 4, 5))
             if len(set(of)) < 2:
                 return None
-            found = forest(ids, of, blocks, [x[6] for x in held], held[0][1] != held[0][2])
+            found = forest(ids, of, blocks, [x[6] for x in held], held[0][1] != held[0][2], percent)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]) if found else None
 
         for batch in batches:
@@ -214,10 +225,10 @@ def across(members: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text); ``percent`` of the union is shared by a linked pair."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = settle(signatures(docs), "signatures")
+    signed = settle(signatures(docs, percent), "signatures")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = signed.where(linkable).groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     classes = settle(classes, "classes")
@@ -232,11 +243,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = shared.select(F.col("id").alias("doc_id")).distinct()
     one = docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     sets = settle(full_sets(one), "sets")
-    links = settle(confirm(tried, sets), "links")
+    links = settle(confirm(tried, sets, percent), "links")
     labels = components(links)
     told = shared.join(labels, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
     mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    more = settle(across(told.join(mixed, "key"), sets), "more_links")
+    more = settle(across(told.join(mixed, "key"), sets, percent), "more_links")
     discard(shared, sets)
     if more.limit(1).count():
         labels = components(links.union(more))
@@ -246,7 +257,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates; all columns stay, and rows that link with nothing."""
-    gone = settle(near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_duplicates")
+    gone = settle(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "near_duplicates")
     return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
