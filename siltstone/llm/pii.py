@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.endings import ENDINGS
+
 KINDS = ("email", "ip", "card", "phone")
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 MASKS = {k: f"<{k.upper()}>" for k in KINDS}
@@ -84,8 +86,14 @@ def _any_of(points: list[int]) -> str:
     return "[" + "".join(re.escape(chr(a)) if a == b else f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in runs) + "]"
 
 
-# Last labels that end an address said in words.
-ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "uk", "de", "fr", "es", "it", "nl", "ch", "at", "mx", "ar", "example", "test", "invalid")
+# Words that an address said in words does not begin or end with, as they stand in sentences.
+BEFORE_AT = frozenset(
+    "look looks looked looking it me us him her them you one all more here there not only also still even is are was were be been arrive arrived arrives stay stayed live lives meet met shop visit buy find found"
+    " available online site website page pages read see start starts started time times day home work school best least most first last sold based located hosted register sign up out back down over in on and or".split()
+)
+OPENERS = frozenset("the a an this that these those his her its our your their my no any each every el la los las un una le les der die das ein eine o os as".split())
+AFTER_DOT = frozenset("in it is as so to no at be me my us am do".split())
+CLOSERS = frozenset("on the and or an of by if up we he she they you your his her its our not but for from with was are were when then than that this which who".split())
 
 
 _words = "|".join(sorted(DIGITS, key=len, reverse=True))
@@ -93,11 +101,12 @@ SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|{_words})(?:[\s,]+|-|\s*(?:\.|(?<!\w)(
 SPELLED_PART = re.compile(rf"({_words})|(plus)|(\.|{DOT_WORDS})|[\s,-]+", re.I)
 OPEN, SHUT = r"[\[({<]", r"[\])}>]"
 BRACKETED = re.compile(rf"\s*{OPEN}\s*(?:({AT_WORDS}|@)|({DOT_WORDS}|\.))\s*{SHUT}\s*", re.I)
-SAID = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)(\s+(?:{AT_WORDS})\s+|@)([A-Za-z0-9-]+(?:\s+(?:{DOT_WORDS})\s+[A-Za-z0-9-]+)+)(?![\w-])", re.I)
-SAID_DOT = re.compile(rf"\s+(?:{DOT_WORDS})\s+", re.I)
+SAID = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)(\s+(?:{AT_WORDS})\s+|@)([A-Za-z0-9-]+(?:(?:\s+(?:{DOT_WORDS})\s+|\.)[A-Za-z0-9-]+)+)(?![\w-])", re.I)
+SAID_DOT = re.compile(rf"\s+(?:{DOT_WORDS})\s+|\.", re.I)
 
 SIGN_DISGUISE = re.compile(rf"{OPEN}\s*(?:{AT_WORDS}|{DOT_WORDS}|@|\.)\s*{SHUT}")
 SIGN_DOT = re.compile(rf"\s(?:{DOT_WORDS})\s")
+SIGN_AT = re.compile(rf"[a-z0-9._%+-]\s+(?:{AT_WORDS})\s+[a-z0-9-]+\.[a-z0-9]")
 SIGN_SPELLED = re.compile(rf"(?:{_words})(?:[\s,.-]+(?:{DOT_WORDS})?[\s,.-]*)(?:{_words})(?:[\s,.-]+(?:{DOT_WORDS})?[\s,.-]*)(?:{_words})")
 
 
@@ -176,21 +185,41 @@ def normalise(text: str) -> Rewritten:
     out.put([(m.start(), m.end(), "@" if m[1] else ".") for m in BRACKETED.finditer(out.text)])
     edits = []
     for m in SAID.finditer(out.text):
-        if m[3].split()[-1].lower() not in ENDINGS:
-            continue
-        if m[2] != "@":
+        dots = _dots(m, out.text)
+        if m[2] != "@" and dots:
             edits.append((*m.span(2), "@"))
-        edits += [(*x.span(), ".") for x in SAID_DOT.finditer(out.text, *m.span(3))]
+        edits += [(*x.span(), ".") for x in dots if x.group() != "."]
     out.put(edits)
     return out
 
 
+def _dots(m: re.Match, text: str) -> list[re.Match]:
+    """The dots of an address said in words, up to the last label that can end it; none if none can.
+
+    Where at and a dot are both said, any word of letters can; else a top-level domain.
+    """
+    dots, said = list(SAID_DOT.finditer(text, *m.span(3))), m[2] != "@"
+    opened = said and text[m.start(3) : dots[0].start()].lower() in OPENERS
+    ends = [x.start() for x in dots[1:]] + [m.end(3)]
+    while dots:
+        last = text[dots[-1].end() : ends[len(dots) - 1]].lower()
+        spoken = any(x.group() != "." for x in dots)
+        if said and spoken:
+            fits = len(last) >= 2 and last.isalpha() and last not in CLOSERS
+        else:
+            fits = last in ENDINGS and not (said and m[1].lower() in BEFORE_AT)
+        if fits and not (opened and last in AFTER_DOT):
+            return dots
+        dots.pop()
+    return []
+
+
 def disguised(text: str) -> bool:
     """Whether a transducer may have something to rewrite."""
     if not text.isascii() and sign_folded().search(text):
         return True
     low = text.lower()
-    return bool(SIGN_DISGUISE.search(low) or SIGN_DOT.search(low) or SIGN_SPELLED.search(low))
+    return bool(SIGN_DISGUISE.search(low) or SIGN_DOT.search(low) or SIGN_AT.search(low) or SIGN_SPELLED.search(low))
 
 
 def spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:

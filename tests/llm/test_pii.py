@@ -61,6 +61,18 @@ def test_disguises_map_back_to_the_source():
             assert pii.mask(lead + text + " end") == lead + pii.MASKS[kind] + " end"
 
 
+def test_said_addresses_of_all_endings():
+    every = ("jane at example dot ru", "jane@example dot ru", "jane at example.com", "jane at mail dot example dot dev", "jane at example.co dot jp", "j.doe at example dot ca", "jane at example [dot] ai")
+    for text in every:
+        for lead, tail in (("", ""), ("Write to ", " today"), ("é: ", ".")):
+            assert pii.mask(lead + text + tail) == lead + "<EMAIL>" + tail, (text, pii.mask(lead + text + tail))
+
+
+def test_sentences_with_at_and_a_dot_are_left_alone():
+    for text in ("look at the dot in it", "see more at example.com", "arrived at 9.30 today", "he was at version 2.1 dot on"):
+        assert "<EMAIL>" not in pii.mask(text), text
+
+
 def test_ordinary_words_are_left_alone():
     for text in ("look at the dot on it", "one two of three", "at home (at) last", "he arrived at noon dot", "zero or one"):
         _, every = pii.spans(text)
