@@ -173,6 +173,18 @@ def fragment_consensus(spark, folder):
     return own.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("fragment")).cast("long").alias("longest"))
 
 
+@query(r"""WITH f AS (SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS site, nullif(lower(regexp_extract(html, '(?is)<html[^>]*?\slang\s*=\s*["'']([^"'']+)["'']', 1)), '') AS locale, regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1) AS fragment FROM pages),
+k AS (SELECT site, locale, fragment, substr(regexp_replace(regexp_replace(regexp_replace(fragment, 'https?://[^\s"''<>]+', '{url}', 'g'), '[0-9]+', '{n}', 'g'), '\s+', ' ', 'g'), 1, 600) AS key FROM f WHERE fragment <> ''),
+g AS (SELECT site, locale, key, count(*) AS n, arg_max(fragment, (length(fragment), fragment)) AS fragment FROM k GROUP BY ALL)
+SELECT site, locale, n, fragment FROM g QUALIFY row_number() OVER (PARTITION BY site, locale ORDER BY n DESC, length(fragment) DESC, fragment DESC) = 1""")
+def fragment_winners(spark, folder):
+    """The whole job of the operator: of each host and page language the footer that most pages share, by 600 characters."""
+    from siltstone.operators.site import fragment_consensus as winners
+
+    own = pages(spark, folder).select(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("site"), H.language("html").alias("locale"), F.regexp_extract("html", r"(?is)<footer[^>]*>(.*?)</footer>", 1).alias("fragment"))
+    return winners(own.where("fragment <> ''"))
+
+
 @query(f"SELECT page_id, lower(regexp_extract(html, '(?is)<html[^>]*?\\slang\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1)) AS lang, len(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) AS items FROM pages")
 def page_language(spark, folder):
     return pages(spark, folder).select("page_id", H.language("html").alias("lang"), F.size(F.regexp_extract_all("html", F.lit("(?is)<li[^>]*>(.*?)</li>"), 1)).cast("long").alias("items"))

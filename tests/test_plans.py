@@ -47,3 +47,12 @@ def test_scans_read_only_what_is_asked_for(spark):
     assert "ReadSchema: struct<page_id:bigint,url:string>" in plan
     plan = registry.QUERIES["pricing_summary"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(l_shipdate" in plan and "l_comment" not in plan
+
+
+def test_footers_that_begin_alike_are_told_apart(spark, tmp_path):
+    foot = lambda x: f'<html lang="en"><footer><div class="footer">{x}</div></footer></html>'
+    found = ["About us 1", "Contact", "About us 22"]
+    pages = [(i, f"https://a.example/{i}", foot(x)) for i, x in enumerate(found)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = registry.QUERIES["fragment_winners"](spark, str(tmp_path)).collect()
+    assert [(r.site, r.locale, r.n, r.fragment) for r in rows] == [("a.example", "en", 2, '<div class="footer">About us 22</div>')]
