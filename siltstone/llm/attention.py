@@ -3,7 +3,7 @@
 A class is one of the most frequent ids, the end of a text, or all other ids
 together.  Classes form GROUPS groups; a class is predicted as its group, then
 itself within the group, so the two softmaxes are short.  Their logits start
-from smoothed counts of class pairs; one attention layer and one hidden layer
+from smoothed counts of class pairs, and so do the classes' places; one attention layer and one hidden layer
 over a window of classes add to them.
 """
 
@@ -14,7 +14,8 @@ from dataclasses import dataclass, field
 import numpy as np
 
 GROUPS = 32
-SIZE = 32
+BITS = 5
+SIZE = 1 << BITS
 CLASSES = GROUPS * SIZE
 OTHER, END = CLASSES - 2, CLASSES - 1
 START = CLASSES  # stands before a text; never a target
@@ -43,10 +44,11 @@ def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in NAMES])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def views(values: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights as parts of one array."""
     out, at = {}, 0
     for k, s in shapes().items():
-        out[k] = np.array(values[at : at + s[0] * s[1]], dtype=np.float32).reshape(s)
+        out[k] = values[at : at + s[0] * s[1]].reshape(s)
         at += s[0] * s[1]
     return out
 
@@ -59,6 +61,9 @@ class Model:
     class_bias: np.ndarray  # (GROUPS, CLASSES + 1, SIZE)
     weights: dict[str, np.ndarray] = field(default_factory=initial)
 
+    def __post_init__(self) -> None:
+        self.group_factor, self.class_factor = np.exp(self.group_bias), np.exp(self.class_bias).reshape(-1, SIZE)
+
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The class of each id by how often it occurs, and the log probability of each id within the class of the others."""
@@ -82,127 +87,205 @@ def biases(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return smooth(by_group.sum(axis=2)), smooth(np.ascontiguousarray(by_group.transpose(1, 0, 2)))
 
 
+def start_embedding(pairs: np.ndarray, scale: float = 0.4) -> np.ndarray:
+    """Places of the classes by what follows them and what they follow: leading singular vectors of the pairs' log ratios."""
+    expected = (pairs.sum(axis=1, keepdims=True) + 1) * (pairs.sum(axis=0, keepdims=True) + 1) / max(pairs.sum(), 1)
+    u, s, v = np.linalg.svd(np.log1p(pairs / expected), full_matrices=False)
+    half = WIDTH // 2
+    out = np.zeros((CLASSES + 1, WIDTH))
+    out[:, :half] = u[:, :half] * np.sqrt(s[:half])
+    out[:CLASSES, half:] = v[: WIDTH - half].T * np.sqrt(s[: WIDTH - half])
+    out -= out.mean(axis=0)
+    # the sign of a singular vector is arbitrary; the largest entry is taken to be positive
+    out *= np.where(out[np.abs(out).argmax(axis=0), np.arange(WIDTH)] < 0, -1, 1) * scale / np.maximum(out.std(axis=0), 1e-9)
+    return out.astype(np.float32)
+
+
 MASK = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 MOST = 60.0
+AT_ONCE = 32  # windows whose attention is in memory at once
 
 
-def layers(w: dict[str, np.ndarray], x_in: np.ndarray) -> dict[str, np.ndarray]:
-    """Masked attention over a batch of windows of classes."""
-    n, size = x_in.shape
-    x = w["E"][x_in] + w["P"][:size]
-    wide = x.reshape(n * size, WIDTH)
-    q, k, v = ((wide @ w[c]).reshape(n, size, WIDTH) for c in "QKV")
-    q *= WIDTH**-0.5
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    np.clip(a, -MOST, MOST, out=a)  # then no largest entry has to be taken off
-    np.exp(a, out=a)
-    a *= MASK[:size, :size]
-    a /= a.sum(axis=2, keepdims=True)
-    m = np.matmul(a, v).reshape(n * size, WIDTH)
-    h = wide + m @ w["O"]
-    z = np.maximum(h @ w["W1"], 0)
-    return {"x": wide, "q": q, "k": k, "v": v, "a": a, "m": m, "h": h, "z": z, "g": h + z @ w["W2"]}
+@dataclass
+class Ready:
+    """What scoring looks up instead of multiplying: the layers' linear maps of each class and each position."""
 
+    asks: tuple[np.ndarray, np.ndarray]  # the class itself and its query
+    tells: tuple[np.ndarray, np.ndarray]  # its key, what its value adds, and 1
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probability of one entry of each row; overwrites ``logits`` with unnormalised probabilities."""
-    np.minimum(logits, MOST, out=logits)
-    own = logits[np.arange(len(at)), at]
-    np.exp(logits, out=logits)
-    return own - np.log(logits.sum(axis=1))
 
+def prepare(model: Model) -> Ready:
+    w = model.weights
+    ask = lambda x: np.concatenate([x, x @ w["Q"] * w["Q"].dtype.type(WIDTH**-0.5)], axis=1)
+    tell = lambda x, one: np.concatenate([x @ w["K"], x @ w["V"] @ w["O"], np.full((len(x), 1), one, x.dtype)], axis=1)
+    return Ready((ask(w["E"]), ask(w["P"])), (tell(w["E"], 1), tell(w["P"], 0)))
 
-def by_group(target: np.ndarray) -> list[np.ndarray]:
-    """The rows whose target is in each group."""
-    group = (target // SIZE).astype(np.int8)
-    order = np.argsort(group, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(group, minlength=GROUPS))[:-1])
 
+def _hidden(w: dict[str, np.ndarray], ready: Ready, x_in: np.ndarray, first: int) -> np.ndarray:
+    """The last layer's output from position ``first`` on; positions before it are only attended to."""
+    n, size = x_in.shape
+    own = np.take(ready.asks[0], x_in[:, first:], axis=0)
+    own += ready.asks[1][first:size]
+    told = np.take(ready.tells[0], x_in, axis=0)
+    told += ready.tells[1][:size]
+    x, q, k, v = own[:, :, :WIDTH], own[:, :, WIDTH:], told[:, :, :WIDTH], told[:, :, WIDTH:]
+    m = np.empty((n, size - first, WIDTH + 1), own.dtype)
+    # in two parts, so that the first queries do not meet the last keys, which they must not see
+    for a, b in ((first, (first + size) // 2), ((first + size) // 2, size)):
+        seen = np.matmul(q[:, a - first : b - first], k[:, :b].transpose(0, 2, 1))
+        if max(seen.max(initial=0), -seen.min(initial=0)) > MOST:
+            np.clip(seen, -MOST, MOST, out=seen)
+        np.exp(seen, out=seen)
+        seen[:, :, a:] *= MASK[: b - a, : b - a]
+        np.matmul(seen, v[:, :b], out=m[:, a - first : b - first])
+    m = m.reshape(-1, WIDTH + 1)
+    h = m[:, :WIDTH] / m[:, WIDTH:]
+    h += x.reshape(-1, WIDTH)
+    z = h @ w["W1"]
+    np.maximum(z, 0, out=z)
+    h += z @ w["W2"]
+    return h
+
+
+def _log_share(logits: np.ndarray, at: np.ndarray, own_bias: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Log of the softmax of logits plus biases at one entry of each row; factors: exp of the biases."""
+    if logits.max() > MOST:
+        np.minimum(logits, MOST, out=logits)
+    own = logits[np.arange(len(at)), at] + own_bias
+    np.exp(logits, out=logits)
+    return own - np.log(np.einsum("ij,ij->i", logits, factors))
 
-def log_probabilities(model: Model, x_in: np.ndarray, x_out: np.ndarray, first: int = 0) -> np.ndarray:
+
+def log_probabilities(model: Model, x_in: np.ndarray, x_out: np.ndarray, first: int = 0, ready: Ready | None = None) -> np.ndarray:
     """Natural log of the probability of each target class of a batch of windows, from position ``first`` on."""
-    w = model.weights
+    w, ready = model.weights, ready or prepare(model)
     n, size = x_in.shape
-    g = layers(w, x_in)["g"].reshape(n, size, WIDTH)[:, first:].reshape(-1, WIDTH)
+    if not n:
+        return np.zeros((0, size - first), w["E"].dtype)
+    g = np.concatenate([_hidden(w, ready, x_in[i : i + AT_ONCE], first) for i in range(0, n, AT_ONCE)])
     before, target = x_in[:, first:].ravel(), x_out[:, first:].ravel()
-    logits = g @ w["U"].T
-    logits += model.group_bias[before]
-    out = _log_softmax_at(logits, target // SIZE)
-    for k, rows in enumerate(by_group(target)):
-        if len(rows):
-            logits = g[rows] @ w["T"][k * SIZE : (k + 1) * SIZE].T
-            logits += model.class_bias[k][before[rows]]
-            out[rows] += _log_softmax_at(logits, target[rows] - k * SIZE)
+    group, place = target >> BITS, target & (SIZE - 1)
+    out = _log_share(g @ w["U"].T, group, model.group_bias[before, group], np.take(model.group_factor, before, axis=0))
+    # rows of one group stand together, so each group is one product
+    order, cuts = by_group(target)
+    g, place, row = np.take(g, order, axis=0), place[order], (group * (CLASSES + 1) + before)[order]
+    logits = np.empty((len(g), SIZE), g.dtype)
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a < b:
+            np.matmul(g[a:b], w["T"][k * SIZE : (k + 1) * SIZE].T, out=logits[a:b])
+    out[order] += _log_share(logits, place, model.class_bias.reshape(-1, SIZE)[row, place], np.take(model.class_factor, row, axis=0))
     return out.reshape(n, size - first)
 
 
-def gradients(model: Model, x_in: np.ndarray, x_out: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss of a batch and its gradients; negative entries are padding and are not predicted."""
-    w = model.weights
+def by_group(target: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Rows ordered by the group of their target, and where each group starts."""
+    group = (target >> BITS).astype(np.int8)
+    return np.argsort(group, kind="stable"), [0, *np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()]
+
+
+def gradients(model: Model, x_in: np.ndarray, x_out: np.ndarray, out: dict[str, np.ndarray] | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss of a batch and its gradients (written to ``out``); negative entries are padding and are not predicted."""
+    w, d = model.weights, WIDTH
     n, size = x_in.shape
-    x_in = np.where(x_in < 0, END, x_in)
-    s = layers(w, x_in)
+    kind = w["E"].dtype
+    out = out or {k: np.empty_like(v) for k, v in w.items()}
+    seen, scale = np.where(x_in < 0, END, x_in).ravel(), kind.type(d**-0.5)
     kept = np.flatnonzero(x_out.ravel() >= 0)
-    before, target, g = x_in.ravel()[kept], x_out.ravel()[kept], s["g"][kept]
-    total, out = len(target), {}
-
-    def output(u: np.ndarray, bias: np.ndarray, g_own: np.ndarray, at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        p = g_own @ u.T
-        p += bias
-        loss = -_log_softmax_at(p, at).sum()
+    before, target = seen[kept], x_out.ravel()[kept]
+    # forwards
+    x = np.take(w["E"], seen, axis=0)
+    x.reshape(n, size, d)[:] += w["P"][:size]
+    maps = np.concatenate([w["Q"] * scale, w["K"], w["V"]], axis=1)
+    q, k, v = np.split((x @ maps).reshape(n, size, 3 * d), 3, axis=2)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    np.clip(a, -MOST, MOST, out=a)
+    np.exp(a, out=a)
+    a *= MASK[:size, :size]
+    a /= a.sum(axis=2, keepdims=True)
+    m = np.matmul(a, v).reshape(n * size, d)
+    h = x + m @ w["O"]
+    z = np.maximum(h @ w["W1"], 0)
+    g = np.take(h + z @ w["W2"], kept, axis=0)
+    # the two softmaxes, and back through them
+    total, group, place = kind.type(len(target)), target >> BITS, target & (SIZE - 1)
+    at = np.arange(len(target))
+
+    def shares(p: np.ndarray, factors: np.ndarray, own: np.ndarray) -> float:
+        """Turns logits into what the loss loses by them; gives the summed loss."""
+        np.minimum(p, MOST, out=p)
+        np.exp(p, out=p)
+        p *= factors
         p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(at)), at] -= 1
+        loss = -np.log(p[at, own] + kind.type(1e-30)).sum(dtype=np.float64)
+        p[at, own] -= 1
         p /= total
-        return loss, p.T @ g_own, p @ u
-
-    loss, out["U"], dg = output(w["U"], model.group_bias[before], g, target // SIZE)
-    out["T"] = np.zeros_like(w["T"])
-    for k, rows in enumerate(by_group(target)):
-        if len(rows):
-            own = slice(k * SIZE, (k + 1) * SIZE)
-            more, out["T"][own], part = output(w["T"][own], model.class_bias[k][before[rows]], g[rows], target[rows] - k * SIZE)
-            loss += more
-            dg[rows] += part
-    inner, dg = dg, np.zeros_like(s["g"])
+        return loss
+
+    p = g @ w["U"].T
+    loss = shares(p, np.take(model.group_factor, before, axis=0), group)
+    np.matmul(p.T, g, out=out["U"])
+    dg = p @ w["U"]
+    order, cuts = by_group(target)
+    ordered, p, back = np.take(g, order, axis=0), np.empty((len(g), SIZE), kind), np.empty_like(g)
+    blocks = [(slice(a, b), slice(k * SIZE, (k + 1) * SIZE)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+    for rows, own in blocks:
+        np.matmul(ordered[rows], w["T"][own].T, out=p[rows])
+    loss += shares(p, np.take(model.class_factor, (group * (CLASSES + 1) + before)[order], axis=0), place[order])
+    out["T"][:] = 0
+    for rows, own in blocks:
+        np.matmul(p[rows].T, ordered[rows], out=out["T"][own])
+        np.matmul(p[rows], w["T"][own], out=back[rows])
+    dg[order] += back
+    # back through the layers
+    inner, dg = dg, np.zeros_like(h)
     dg[kept] = inner
-    out["W2"] = s["z"].T @ dg
-    dz = (dg @ w["W2"].T) * (s["z"] > 0)
-    out["W1"] = s["h"].T @ dz
-    dh = dg + dz @ w["W1"].T
-    out["O"] = s["m"].T @ dh
-    dm = (dh @ w["O"].T).reshape(n, size, WIDTH)
-    da = np.matmul(dm, s["v"].transpose(0, 2, 1))
-    ds = s["a"] * (da - (da * s["a"]).sum(axis=2, keepdims=True))
-    # the queries were scaled in place
-    parts = {"Q": np.matmul(ds, s["k"]) * WIDTH**-0.5, "K": np.matmul(ds.transpose(0, 2, 1), s["q"]), "V": np.matmul(s["a"].transpose(0, 2, 1), dm)}
-    dx = dh
-    for c, part in parts.items():
-        part = part.reshape(n * size, WIDTH)
-        out[c] = s["x"].T @ part
-        dx = dx + part @ w[c].T
-    out["P"] = np.zeros_like(w["P"])
-    out["P"][:size] = dx.reshape(n, size, WIDTH).sum(axis=0)
-    out["E"] = np.zeros_like(w["E"])
-    np.add.at(out["E"], x_in.ravel(), dx)
-    return float(loss) / total, out
-
-
-def train(model: Model, windows: np.ndarray, rate: float, batch: int = 8) -> None:
+    np.matmul(z.T, dg, out=out["W2"])
+    dz = dg @ w["W2"].T
+    dz *= z > 0
+    np.matmul(h.T, dz, out=out["W1"])
+    dx = dg + dz @ w["W1"].T
+    np.matmul(m.T, dx, out=out["O"])
+    dm = (dx @ w["O"].T).reshape(n, size, d)
+    da = np.matmul(dm, v.transpose(0, 2, 1))
+    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
+    da *= a
+    parts = np.concatenate([np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dm)], axis=2).reshape(n * size, 3 * d)
+    wide = x.T @ parts
+    out["Q"][:], out["K"][:], out["V"][:] = wide[:, :d] * scale, wide[:, d : 2 * d], wide[:, 2 * d :]
+    dx += parts @ maps.T
+    out["P"][:] = 0
+    out["P"][:size] = dx.reshape(n, size, d).sum(axis=0)
+    out["E"][:] = 0
+    order = np.argsort(seen, kind="stable")
+    starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
+    out["E"][seen[order[starts]]] = np.add.reduceat(np.take(dx, order, axis=0), starts, axis=0)
+    return loss / len(target), out
+
+
+def train(model: Model, windows: np.ndarray, rate: float, batch: int = 16) -> None:
     """One pass of Adam over rows of WINDOW + 1 classes; updates ``model.weights``."""
-    mean = {k: np.zeros_like(v) for k, v in model.weights.items()}
-    square = {k: np.zeros_like(v) for k, v in model.weights.items()}
+    every = flat(model.weights)
+    model.weights, grad = views(every), np.zeros_like(every)
+    grads, mean, square, step_of = views(grad), np.zeros_like(every), np.zeros_like(every), np.empty_like(every)
     for step, at in enumerate(range(0, len(windows), batch), 1):
         own = windows[at : at + batch].astype(np.int64)
-        _, grads = gradients(model, own[:, :-1], own[:, 1:])
-        norm = np.sqrt(sum(float((v * v).sum()) for v in grads.values()))
-        for k, v in grads.items():
-            v *= min(1.0, 1.0 / max(norm, 1e-9))
-            mean[k] += 0.1 * (v - mean[k])
-            square[k] += 0.01 * (v * v - square[k])
-            model.weights[k] -= rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-6)
-
-
-def text_score(model: Model, found: np.ndarray, bounds: np.ndarray, batch: int = 192) -> np.ndarray:
+        gradients(model, own[:, :-1], own[:, 1:], grads)
+        norm = float(np.sqrt(grad @ grad))
+        if norm > 1:
+            grad /= np.float32(norm)
+        mean += np.float32(0.1) * (grad - mean)
+        np.multiply(grad, grad, out=step_of)
+        step_of -= square
+        step_of *= np.float32(0.01)
+        square += step_of
+        np.sqrt(square, out=step_of)
+        step_of += np.float32(1e-6 * np.sqrt(1 - 0.99**step))
+        np.divide(mean, step_of, out=step_of)
+        step_of *= np.float32(rate * np.sqrt(1 - 0.99**step) / (1 - 0.9**step))
+        every -= step_of
+
+
+def text_score(model: Model, found: np.ndarray, bounds: np.ndarray, batch: int = 384) -> np.ndarray:
     """Natural log probability of each text: classes with END after each, joined; bounds: where each text starts.
 
     Windows of one text overlap by WINDOW - STRIDE classes; each class is scored once.
@@ -213,16 +296,19 @@ def text_score(model: Model, found: np.ndarray, bounds: np.ndarray, batch: int =
     text = np.repeat(np.arange(len(size)), 1 + more)
     number = np.arange(len(text)) - np.repeat(np.cumsum(1 + more) - 1 - more, 1 + more)
     start = bounds[text] + number * STRIDE
-    padded = np.concatenate([[START], found, np.full(WINDOW, END)]).astype(np.int16)
+    room = bounds[text + 1] - start  # classes from the window's first on
+    targets = np.concatenate([found, np.full(WINDOW, END)]).astype(np.int64)
+    padded = np.concatenate([[START], targets])
     padded[bounds[:-1]] = np.where(size > 0, START, padded[bounds[:-1]])  # END of the text before is not seen
-    targets = np.concatenate([found, np.full(WINDOW, END)]).astype(np.int16)
-    places = np.arange(WINDOW)
+    every_in, every_out = (np.lib.stride_tricks.sliding_window_view(x, WINDOW) for x in (padded, targets))
+    ready = prepare(model)
     for first, chosen in ((0, np.flatnonzero(number == 0)), (WINDOW - STRIDE, np.flatnonzero(number > 0))):
+        # short windows with short ones, as long as the longest of them
+        chosen = chosen[np.argsort(np.minimum(room[chosen], WINDOW), kind="stable")]
         for at in range(0, len(chosen), batch):
             own = chosen[at : at + batch]
-            index = start[own][:, None] + places
-            seen = padded[index].astype(np.int64)
-            inside = index < bounds[text[own] + 1][:, None]
-            scored = log_probabilities(model, np.where(inside, seen, END), targets[index].astype(np.int64), first)
-            np.add.at(out, text[own], np.where(inside[:, first:], scored, 0).sum(axis=1, dtype=np.float64))
+            width = int(min(room[own[-1]], WINDOW))
+            scored = log_probabilities(model, every_in[start[own], :width], every_out[start[own], :width], first, ready)
+            scored[np.arange(first, width) >= room[own][:, None]] = 0  # of the text behind
+            np.add.at(out, text[own], scored.sum(axis=1, dtype=np.float64))
     return out
