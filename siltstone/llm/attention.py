@@ -162,18 +162,24 @@ def log_probabilities(model: Model, x_in: np.ndarray, x_out: np.ndarray, first:
     n, size = x_in.shape
     if not n:
         return np.zeros((0, size - first), w["E"].dtype)
-    g = np.concatenate([_hidden(w, ready, x_in[i : i + AT_ONCE], first) for i in range(0, n, AT_ONCE)])
     before, target = x_in[:, first:].ravel(), x_out[:, first:].ravel()
-    group, place = target >> BITS, target & (SIZE - 1)
-    out = _log_share(g @ w["U"].T, group, model.group_bias[before, group], np.take(model.group_factor, before, axis=0))
+    group, place, rows = target >> BITS, target & (SIZE - 1), AT_ONCE * (size - first)
+    g, out = np.empty((len(target), WIDTH), w["E"].dtype), np.empty(len(target), w["E"].dtype)
+    for i in range(0, n, AT_ONCE):
+        own = slice(i * (size - first), i * (size - first) + rows)
+        g[own] = _hidden(w, ready, x_in[i : i + AT_ONCE], first)
+        out[own] = _log_share(g[own] @ w["U"].T, group[own], model.group_bias[before[own], group[own]], np.take(model.group_factor, before[own], axis=0))
     # rows of one group stand together, so each group is one product
     order, cuts = by_group(target)
     g, place, row = np.take(g, order, axis=0), place[order], (group * (CLASSES + 1) + before)[order]
-    logits = np.empty((len(g), SIZE), g.dtype)
+    more, logits, done = np.empty_like(out), np.empty_like(g, shape=(len(g), SIZE)), 0
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if a < b:
             np.matmul(g[a:b], w["T"][k * SIZE : (k + 1) * SIZE].T, out=logits[a:b])
-    out[order] += _log_share(logits, place, model.class_bias.reshape(-1, SIZE)[row, place], np.take(model.class_factor, row, axis=0))
+        if b - done >= rows or (k == GROUPS - 1 and b > done):
+            own, done = slice(done, b), b
+            more[own] = _log_share(logits[own], place[own], model.class_bias.reshape(-1, SIZE)[row[own], place[own]], np.take(model.class_factor, row[own], axis=0))
+    out[order] += more
     return out.reshape(n, size - first)
 
 

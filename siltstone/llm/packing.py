@@ -1,8 +1,8 @@
 """Packing of documents into training windows by Karmarkar-Karp differencing.
 
 Each task encodes its documents and packs them in chunks of CHUNK_TOKENS
-tokens.  Whole windows are cut from the front of long documents; the rest of
-each document is cut into items of at most ITEM_TOKENS.  Multiway
+tokens.  A document is cut into items: of LONG_ITEM tokens as long as a window
+or more of it is left, then of ITEM_TOKENS at most.  Multiway
 differencing merges partial partitions, largest difference first, heavy slots
 of one onto light slots of the other, into near-equal windows.  If one
 exceeds the capacity, the window count rises by one and the merge is redone.
@@ -31,7 +31,7 @@ from siltstone.llm.bytetext import text_slices
 from siltstone.llm.subwords import encode_slice, encoder
 
 WINDOW = 2048
-ITEM_TOKENS = 256
+LONG_ITEM, ITEM_TOKENS = 1024, 256
 CHUNK_TOKENS = 262_144
 #: Windows that lack more than this are cut at powers of two instead of padded.
 LOOSE = WINDOW // 16
@@ -110,11 +110,8 @@ def pack_chunk(doc_ids: list[int], bounds: np.ndarray, ids: np.ndarray, first: i
     sequence = first
     for doc in range(len(doc_ids)):
         total, start = int(bounds[doc + 1] - bounds[doc]), 0
-        while total - start >= WINDOW:
-            put(doc, start, WINDOW, sequence, 0, WINDOW)
-            start, sequence = start + WINDOW, sequence + 1
         while start < total:
-            length = min(ITEM_TOKENS, total - start)
+            length = LONG_ITEM if total - start >= WINDOW else min(ITEM_TOKENS, total - start)
             items.append((doc, start, length))
             start += length
     for own in windows([length for _, _, length in items]):
@@ -135,11 +132,11 @@ def pack_chunk(doc_ids: list[int], bounds: np.ndarray, ids: np.ndarray, first: i
     return out
 
 
-def pack(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """One row per piece of each document of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(ranks_path)
+        coder = encoder(vocabulary_path)
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 40
         doc_ids, parts, sizes, held = [], [], [], 0

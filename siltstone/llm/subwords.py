@@ -1,13 +1,14 @@
 """Subword ids of whole text columns, each distinct piece encoded once.
 
-A byte-level vocabulary first cuts the text into pieces by a fixed pattern
-and encodes each piece by itself.  The cut is done here with arrays over
-code points; a piece met before in this worker is not encoded again.
+A byte-level vocabulary first cuts the text at its special tokens, then into
+pieces by a fixed pattern, and encodes each piece by itself.  The cut is done
+here with arrays over code points; a piece met before in this worker is not
+encoded again.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -79,15 +80,10 @@ def piece_starts(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-class Encoder:
-    """Encodes joined texts; remembers the pieces of its worker up to a bound."""
+class Memory:
+    """Ids of the pieces that a worker has met, up to a bound."""
 
-    def __init__(self, ranks_path: str, pattern: str):
-        import tiktoken
-
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def __init__(self) -> None:
         self.forget()
 
     def forget(self) -> None:
@@ -110,45 +106,78 @@ class Encoder:
         self.known[key] = k
         return k
 
+    def ragged(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces in order, and how many each piece has."""
+        size = self.size[numbers]
+        total = int(size.sum())
+        begin = np.cumsum(size) - size
+        index = np.arange(total) + np.repeat(self.at[numbers] - begin, size)
+        return self.pool[index], size
+
+
+class Encoder(Memory):
+    """Encodes joined texts with a vocabulary file of ``tokenizers``, its special tokens included."""
+
+    def __init__(self, vocabulary_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(vocabulary_path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def spans_of_specials(self, raw: bytes, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens stand in joined texts, leftmost first, none across two texts."""
+        if not any(s in raw for s in self.special):
+            return []
+        found = [m.span() for m in regex.finditer(b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))), raw, overlapped=True)]
+        out: list[tuple[int, int]] = []
+        for a, b in found:
+            text = int(np.searchsorted(offsets, a, side="right"))
+            if b <= offsets[text] and (not out or a >= out[-1][1]):
+                out.append((a, b))
+        return out
+
     def pieces(self, data: np.ndarray, at_byte: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The number of each piece in this encoder's memory; at_byte: where each code point starts in data."""
         if len(self.known) > CACHE_PIECES:
             self.forget()
         hashes = span_hash(prefix_hash(code_values()[codes]), starts, ends)
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        known, encode, raw = self.known, self.encoding._core_bpe.encode_single_piece, data.tobytes()
+        known, raw = self.known, data.tobytes()
         begin, stop = at_byte[starts[first]].tolist(), at_byte[ends[first]].tolist()
         numbers = [known.get(key, -1) for key in distinct.tolist()]
-        for i in np.flatnonzero(np.array(numbers) < 0).tolist():
-            numbers[i] = self._add(int(distinct[i]), encode(raw[begin[i] : stop[i]]))
+        new = np.flatnonzero(np.array(numbers) < 0).tolist()
+        # a piece by itself is cut no further, and a special token is met whole
+        for i, found in zip(new, self.tokenizer.encode_batch_fast([raw[begin[i] : stop[i]].decode() for i in new], add_special_tokens=False), strict=True):
+            numbers[i] = self._add(int(distinct[i]), found.ids)
         return np.array(numbers, dtype=np.int64)[inverse]
 
-    def ragged(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces in order, and how many each piece has."""
-        size = self.size[numbers]
-        total = int(size.sum())
-        begin = np.cumsum(size) - size
-        index = np.arange(total) + np.repeat(self.at[numbers] - begin, size)
-        return self.pool[index], size
-
 
 @lru_cache(2)
-def encoder(ranks_path: str | None = None) -> Encoder:
+def encoder(vocabulary_path: str | None = None) -> Encoder:
     import public_tokenizers
 
-    return Encoder(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return Encoder(vocabulary_path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def encode_slice(data: np.ndarray, offsets: np.ndarray, coder: Encoder, end: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text of a slice of UTF-8 bytes, with END_ID after each if ``end``: (ids, offsets)."""
     lead = (data & 0xC0) != 0x80
-    codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+    raw = data.tobytes()
+    codes = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
     before = np.zeros(len(data) + 1, dtype=np.int64)
     np.cumsum(lead, out=before[1:])
     at = before[offsets]
     n = len(offsets) - 1
     if len(codes):
-        starts = piece_starts(codes, at)
+        special = before[np.array(coder.spans_of_specials(raw, offsets), dtype=np.int64).reshape(-1, 2)]
+        starts = piece_starts(codes, np.unique(np.concatenate([at, special.ravel()])) if len(special) else at)
+        if len(special):  # one piece each
+            within = np.zeros(len(codes) + 1, dtype=np.int8)
+            within[special[:, 0] + 1] = 1
+            within[special[:, 1]] -= 1
+            starts = starts[np.cumsum(within)[starts] == 0]
         ends = np.append(starts[1:], len(codes))
         at_byte = np.append(np.flatnonzero(lead), len(data))
         ids, size = coder.ragged(coder.pieces(data, at_byte, codes, starts, ends))

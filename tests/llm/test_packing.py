@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 
 from siltstone.llm import packing
 
-TEXTS = [None, "", "it's John's can't we'll 'sure", "a  b\n\n c \n", "!'s x's' é'è  12 3 ,,,", "word " * 9000, "日本 語'm ’s", "same", "same", "<|endoftext|>"]
+TEXTS = [None, "", "it's John's can't we'll 'sure", "a  b\n\n c \n", "!'s x's' é'è  12 3 ,,,", "word " * 9000, "日本 語'm ’s", "same", "same", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>start", "end  <|endoftext|>",
+         "fused<|endoftext|>words<|endoftext|><|endoftext|>'s", "<|endoftext", "|> <|endoftext|<|endoftext|>|>", "\n <|endoftext|>\n\n x", "endoftext|>"]
 
 
 def public_ids(texts):
@@ -16,7 +17,6 @@ def public_ids(texts):
     from tokenizers import Tokenizer
 
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    coder.encode_special_tokens = True
     return [[*coder.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
 
 
