@@ -1,11 +1,15 @@
 """Main text of raw web pages by tree scoring.
 
 A page is read into a tree with HTML's implied end tags.  Elements that are
-not article text by their kind, role or class are pruned.  Each paragraph
-earns points for its length and commas and passes them to its ancestors, less
-with each level; a container's points are discounted by its link density.  The
-best container is kept (or the article element around it), with those of its
-siblings that hold text of the same kind.
+never article text by their kind or role are pruned; so are containers whose
+class or id names such a part, unless they hold the page's heading or its main
+element, and text elements so named if they are advertising or mostly links.
+Each paragraph earns points for its length and commas and passes them to its
+ancestors, less with each level; a container's points are discounted by its
+link density, and elements and names that tell an article add to them.  The
+best container is kept with those of its siblings that hold text of its kind;
+an article or main element around it is kept as a whole if its own points are
+a fifth of the best ones at least.  Nothing inside what is kept is dropped.
 
 Each page is handled by itself inside a task, in time linear in its length:
 there is no shuffle, and memory is bounded by one batch of pages.
@@ -44,11 +48,16 @@ AGAINST = frozenset(
     "ad ads advert advertisement advertising adbox adslot adsense sponsor sponsored promo promotion promoted banner billboard cookie cookies consent gdpr notice notices notification alert popup popover modal overlay"
     " interstitial sidebar sidebars aside rail nav navbar navigation menu menus breadcrumb breadcrumbs crumbs footer foot footnav masthead topbar header comment comments commentlist disqus reply replies respond"
     " discussion feedback share sharing social related recommended recommendation recommendations newsletter subscribe subscription signup login signin form search searchbox widget widgets toolbar pager pagination"
-    " paging skip hidden disclaimer legal copyright outbrain taboola shoutbox trackback trackbacks pingback teaser teasers paywall warning toc".split()
+    " paging skip hidden disclaimer copyright outbrain taboola shoutbox trackback trackbacks pingback teaser teasers paywall".split()
 )
+ADVERTS = frozenset("ad ads advert advertisement advertising adbox adslot adsense sponsor sponsored promo promotion promoted banner outbrain taboola cookie cookies consent gdpr".split())
 FOR = frozenset("article body content entry main post story text page column hentry blog prose".split())
 LEADS = frozenset("has with no without is not".split())
 LINKS_ALLOWED = 0.6
+#: Elements that hold text themselves; their names count less than those of containers.
+TEXTUAL = frozenset("p pre blockquote td th dd dt li figcaption".split())
+CORE = ("article", "main")
+LEAST = 0.2
 
 TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|["'])*+)(?:>|\Z)|[!?][^>]*+(?:>|\Z)|/(?=[^a-zA-Z])[^>]*+(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
@@ -57,12 +66,15 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "against", "weight", "length", "linked", "commas", "blocks", "own", "gone", "points")
+    __slots__ = ("tag", "parent", "parts", "against", "advert", "weight", "length", "linked", "links", "commas", "blocks", "own", "gone", "points", "block", "inside", "core")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.parts = tag, parent, []
-        self.against = self.gone = False
-        self.weight = self.length = self.linked = self.commas = self.own = 0
+        #: nearest block around it, and whether an article or main element is around it
+        self.block = parent if parent is None or parent.tag in BLOCK or parent.parent is None else parent.block
+        self.inside = parent is not None and (parent.inside or parent.tag in CORE)
+        self.against = self.advert = self.gone = self.core = False
+        self.weight = self.length = self.linked = self.links = self.commas = self.own = 0
         self.blocks = False
         self.points = 0.0
 
@@ -71,10 +83,11 @@ def _judge_names(node: Node, value: str) -> None:
     """Mark a node for the words of a class or id."""
     for name in value.split():
         parts = [x.lower() for x in NAMES.findall(name)]
-        if not parts or parts[0] in LEADS:
+        if not parts or any(x in LEADS for x in parts):
             continue
         if any(x in AGAINST for x in parts):
             node.against = True
+            node.advert |= any(x in ADVERTS for x in parts)
         elif any(x in FOR for x in parts):
             node.weight = 25
 
@@ -85,37 +98,71 @@ def _read_attributes(node: Node, source: str) -> None:
         if name in ("class", "id"):
             _judge_names(node, html.unescape(value))
         elif name == "role":
-            node.against |= value.strip().lower() in ROLES
+            node.gone |= value.strip().lower() in ROLES
             if value.strip().lower() in ("main", "article"):
                 node.weight = 25
         elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and UNSEEN.search(value)):
             node.gone = True
 
 
-def _close(open_: list[Node], tags: tuple[str, ...] | frozenset[str], until: frozenset[str]) -> None:
-    """End the innermost open element of ``tags``, if no element of ``until`` is in between."""
-    for i in range(len(open_) - 1, 0, -1):
-        tag = open_[i].tag
-        if tag in tags:
-            del open_[i:]
-            return
-        if tag in until:
-            return
-
-
 P_SCOPE = frozenset("td th table button object caption body html div section article aside main nav header footer form ul ol dl li blockquote fieldset".split())
-LIST_SCOPE = frozenset(("ul", "ol", "menu", "dir", "table", "body"))
-ROW_SCOPE = frozenset(("table", "body"))
+ANYWHERE = frozenset("table tbody thead tfoot html body article main section".split())
+#: Elements over which an end tag does not reach, by the name of the scope.
+SCOPES = {
+    "none": frozenset(),
+    "block": BLOCK,
+    "p": P_SCOPE,
+    "list": frozenset("ul ol menu dir table body".split()),
+    "row": frozenset("table body".split()),
+    "cell": frozenset("table body tr".split()),
+    "line": frozenset("table body tbody".split()),
+    "dl": frozenset("dl body".split()),
+    "select": frozenset("select datalist".split()),
+    "table": frozenset(("table",)),
+}
+SCOPES_OF: dict[str, list[str]] = {}
+for _name, _tags in SCOPES.items():
+    for _tag in _tags:
+        SCOPES_OF.setdefault(_tag, []).append(_name)
+
+
+class Open:
+    """The open elements, with the places of each kind and scope, so that each step takes constant time."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places, self.scopes = [root], {}, {name: [] for name in SCOPES}
+
+    def push(self, node: Node) -> None:
+        at = len(self.stack)
+        self.stack.append(node)
+        self.places.setdefault(node.tag, []).append(at)
+        for name in SCOPES_OF.get(node.tag, ()):
+            self.scopes[name].append(at)
+
+    def pop(self) -> None:
+        tag = self.stack.pop().tag
+        self.places[tag].pop()
+        for name in SCOPES_OF.get(tag, ()):
+            self.scopes[name].pop()
+
+    def close(self, scope: str, *tags: str) -> None:
+        """End the innermost open element of ``tags``, if no other element of the scope is inside it."""
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+        limit = self.scopes[scope]
+        if at and (not limit or limit[-1] <= at):
+            while len(self.stack) > at:
+                self.pop()
 
 
 def tree(source: str) -> list[Node]:
     """Nodes of a page in document order, the root first."""
     root = Node("#root", None)
-    nodes, open_, at, n = [root], [root], 0, len(source)
+    nodes, open_, at, n = [root], Open(root), 0, len(source)
+    stack = open_.stack
 
     def text(a: int, b: int) -> None:
         if a < b:
-            open_[-1].parts.append(html.unescape(source[a:b]))
+            stack[-1].parts.append(html.unescape(source[a:b]))
 
     while at < n:
         m = TAG.search(source, at)
@@ -129,34 +176,34 @@ def tree(source: str) -> list[Node]:
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                open_[-1].parts.append(" ")
-            elif tag in BLOCK:
-                _close(open_, (tag,), P_SCOPE - {"p"} if tag == "p" else frozenset(("table",)) if tag not in ("table", "tbody", "thead", "tfoot", "html", "body", "article", "main", "section") else frozenset())
+                stack[-1].parts.append(" ")
+            elif tag == "p":
+                open_.close("p", "p")
             else:
-                _close(open_, (tag,), BLOCK)
+                open_.close("block" if tag not in BLOCK else "none" if tag in ANYWHERE else "table", tag)
             continue
         if tag in ENDS_P:
-            _close(open_, ("p",), P_SCOPE)
-            if tag in HEADINGS and open_[-1].tag in HEADINGS:
+            open_.close("p", "p")
+            if tag in HEADINGS and stack[-1].tag in HEADINGS:
                 open_.pop()
         if tag == "li":
-            _close(open_, ("li",), LIST_SCOPE)
+            open_.close("list", "li")
         elif tag in ("dt", "dd"):
-            _close(open_, ("dt", "dd"), frozenset(("dl", "body")))
+            open_.close("dl", "dt", "dd")
         elif tag in ("td", "th"):
-            _close(open_, ("td", "th"), ROW_SCOPE | {"tr"})
+            open_.close("cell", "td", "th")
         elif tag == "tr":
-            _close(open_, ("tr",), ROW_SCOPE | {"tbody"})
+            open_.close("line", "tr")
         elif tag in ("tbody", "thead", "tfoot"):
-            _close(open_, ("tbody", "thead", "tfoot"), ROW_SCOPE)
+            open_.close("row", "tbody", "thead", "tfoot")
         elif tag == "option":
-            _close(open_, ("option",), frozenset(("select", "datalist")))
+            open_.close("select", "option")
         elif tag == "a":
-            _close(open_, ("a",), BLOCK)
+            open_.close("block", "a")
         elif tag == "body":
-            _close(open_, ("head",), frozenset())
-        node = Node(tag, open_[-1])
-        open_[-1].parts.append(node)
+            open_.close("none", "head")
+        node = Node(tag, stack[-1])
+        stack[-1].parts.append(node)
         nodes.append(node)
         if m[3]:
             _read_attributes(node, m[3])
@@ -164,7 +211,7 @@ def tree(source: str) -> list[Node]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             at = end.end() if end else n
         elif tag not in VOID:
-            open_.append(node)
+            open_.push(node)
     return nodes
 
 
@@ -172,34 +219,32 @@ def prune(nodes: list[Node], by_name: bool = True) -> None:
     """Mark what is not article text; a header inside an article keeps its headings."""
     for node in nodes[1:]:
         up = node.parent
-        if up.gone:
+        if up.gone or node.tag in DROPPED or node.tag in RAW or (node.tag == "header" and not node.inside):
             node.gone = True
-        elif node.tag in DROPPED or (node.tag in RAW):
+        elif up.tag == "header" and node.tag in BLOCK and node.tag not in HEADINGS and node.tag != "div":
             node.gone = True
-        elif by_name and node.against and node.tag not in ("html", "body", "main"):
-            node.gone = not (node.tag in HEADINGS and _inside(node, ("article", "main")))
+    if not by_name:
+        return
+    measure(nodes)
+    single = sum(node.tag == "article" for node in nodes) == 1
+    for node in reversed(nodes):
+        node.core |= not node.gone and not (node.against and node.tag == "article") and (node.tag in ("main", "h1") or (single and node.tag == "article"))
+        if node.core and node.parent is not None:
+            node.parent.core = True
     for node in nodes[1:]:
-        if node.tag == "header" and not node.gone and not _inside(node, ("article", "main")):
-            node.gone = True
-        elif node.parent.gone:
+        if node.parent.gone:
             node.gone = True
-        elif node.parent.tag == "header" and node.tag not in HEADINGS and node.tag in BLOCK and node.tag != "div":
-            node.gone = True
-
-
-def _inside(node: Node, tags: tuple[str, ...]) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in tags:
-            return True
-        up = up.parent
-    return False
+        elif node.against and not node.core and node.tag not in ("html", "body"):
+            if node.tag in TEXTUAL or node.tag not in BLOCK:
+                node.gone = node.advert or (node.linked > 0 and density(node) > LINKS_ALLOWED)
+            elif node.tag not in HEADINGS or not node.inside:
+                node.gone = True
 
 
 def measure(nodes: list[Node]) -> None:
     """Text, link and comma counts of each node that is left, from the leaves up."""
     for node in nodes:
-        node.length = node.linked = node.commas = node.own = 0
+        node.length = node.linked = node.links = node.commas = node.own = 0
         node.blocks = False
         node.points = 0.0
     for node in reversed(nodes):
@@ -212,11 +257,12 @@ def measure(nodes: list[Node]) -> None:
                 node.own += size
                 node.commas += x.count(",") + x.count("，") + x.count("、") + x.count("،")
         if node.tag == "a":
-            node.linked = node.length
+            node.linked, node.links = node.length, 1
         up = node.parent
         if up is not None:
             up.length += node.length
             up.linked += node.linked
+            up.links += node.links
             up.commas += node.commas
             if node.tag in BLOCK:
                 up.blocks = True
@@ -226,7 +272,7 @@ def measure(nodes: list[Node]) -> None:
 
 
 PARAGRAPHS = frozenset("p pre blockquote td dd li figcaption".split())
-BY_TAG = {"article": 10, "main": 5, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ul": -3, "ol": -3, "dl": -3, "address": -3, "th": -5} | dict.fromkeys(HEADINGS, -5)
+BY_TAG = {"article": 25, "main": 10, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ul": -3, "ol": -3, "dl": -3, "address": -3, "th": -5} | dict.fromkeys(HEADINGS, -5)
 SHORT = 25
 
 
@@ -246,12 +292,12 @@ def score(nodes: list[Node]) -> Node | None:
             points, level, up = 1.0 + node.commas * node.own / node.length + min(node.own // 100, 3), 1, node
         else:
             continue
-        while up is not None and level <= 5:
-            if up.tag != "#root" and up.tag in BLOCK:
-                touched[id(up)] = up
-                up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * (level - 1))
-                level += 1
-            up = up.parent
+        if up is not None and up.tag not in BLOCK:
+            up = up.block
+        while up is not None and up.parent is not None and level <= 5:
+            touched[id(up)] = up
+            up.points += points / (1 if level == 1 else 2 if level == 2 else 3 * (level - 1))
+            up, level = up.block, level + 1
     best, found = float("-inf"), None
     for node in nodes:
         if id(node) in touched:
@@ -263,21 +309,26 @@ def score(nodes: list[Node]) -> Node | None:
 
 
 def around(best: Node) -> Node:
-    """The article element that the best container is in, else the main element, else itself."""
-    for tag in ("article", "main"):
-        up = best
-        while up is not None:
-            if up.tag == tag:
-                return up
-            up = up.parent
+    """The article element around the best container, else the main element, if it has a fifth of the points; else the container."""
+    found: dict[str, Node] = {}
+    up = best
+    while up is not None:
+        if up.tag in CORE:
+            found.setdefault(up.tag, up)
+        up = up.parent
+    for tag in CORE:
+        if tag in found and found[tag].points >= LEAST * best.points and density(found[tag]) < 0.5:
+            return found[tag]
     return best
 
 
 def kept_parts(best: Node) -> list[Node]:
-    """The best container and those of its siblings that hold text of its kind, in page order."""
-    if best.tag in ("article", "main", "body", "html") or best.parent is None:
+    """The container and those of its siblings that hold text of its kind, in page order; of a whole page, all but lists of links."""
+    if best.tag in ("body", "html") or best.parent is None:
+        return [x for x in best.parts if isinstance(x, str) or not _link_list(x)]
+    if best.tag == "main":
         return [best]
-    least = max(10.0, best.points * 0.2)
+    least = max(10.0, best.points * LEAST)
     out = []
     for x in best.parent.parts:
         if isinstance(x, str) or x.gone:
@@ -289,19 +340,10 @@ def kept_parts(best: Node) -> list[Node]:
 
 
 def _link_list(node: Node) -> bool:
-    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.length > 0 and density(node) > LINKS_ALLOWED and sum(1 for _ in _links(node)) > 1
-
+    return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links > 1 and density(node) > LINKS_ALLOWED
 
-def _links(node: Node) -> Iterator[Node]:
-    stack = [node]
-    while stack:
-        x = stack.pop()
-        if x.tag == "a":
-            yield x
-        stack.extend(y for y in x.parts if not isinstance(y, str) and not y.gone)
 
-
-def render(parts: list[Node]) -> str:
+def render(parts: list[Node | str]) -> str:
     """Text of nodes in page order; blocks and line breaks separate words."""
     out: list[str] = []
     stack: list[Node | str] = list(reversed(parts))
@@ -311,7 +353,7 @@ def render(parts: list[Node]) -> str:
             out.append(x)
         elif x.tag == "br" or x.tag == "hr":
             out.append(" ")
-        elif not x.gone and not _link_list(x):
+        elif not x.gone:
             if x.tag in BLOCK:
                 out.append(" ")
                 stack.append(" ")
@@ -327,8 +369,7 @@ def main_text(source: str | None) -> str:
     prune(nodes)
     measure(nodes)
     if not nodes[0].length:
-        for node in nodes:
-            node.gone = False
+        nodes = tree(source)
         prune(nodes, by_name=False)
         measure(nodes)
     best = score(nodes)

@@ -47,6 +47,45 @@ def test_deep_and_long_pages_are_linear():
         assert time.time() - began < 20
 
 
+LINKS = '<ul><li><a href="/x">One link here</a></li><li><a href="/y">Another link here</a></li></ul>'
+
+
+def test_scoring_decides_without_article_elements():
+    # the longest first paragraph is not where the article is
+    page = f"<body><div id=top><p>{P2}</p>{LINKS}{LINKS}{LINKS}{LINKS}</div><div id=x><div>{LINKS}</div><div><p>{P1}</p><p>{P2}</p><p>Short.</p><p>{P1}</p></div></div><table><tr><td>{LINKS}</table></body>"
+    assert main_text(page) == f"{P1} {P2} Short. {P1}"
+    # an article element that holds little does not win over a container with many paragraphs
+    teaser = "<article><h2>Next up</h2><p>Read on, soon.</p></article>"
+    assert main_text(f"<body><div>{teaser}{teaser}{LINKS}</div><div><div><p>{P1}</p><p>{P2}</p><p>{P1}</p></div></div></body>") == f"{P1} {P2} {P1}"
+
+
+def test_several_articles_and_sections():
+    posts = "".join(f"<article><h2>Post {i}</h2><p>{P1}</p><p>{P2}</p></article>" for i in range(3))
+    assert main_text(f"<body><main>{posts}</main></body>") == " ".join(f"Post {i} {P1} {P2}" for i in range(3))
+    parts = "".join(f"<section><h2>Part {i}</h2><div><p>{P1}</p></div></section>" for i in range(8))
+    assert main_text(f"<body><nav>{LINKS}</nav><article>{parts}</article></body>") == " ".join(f"Part {i} {P1}" for i in range(8))
+
+
+def test_nothing_inside_the_article_is_dropped():
+    page = f"""<body><article><h1>T</h1><p>{P1}</p><p class=warning>Beware.</p><p class='legal-history'>Of 1900.</p><div class="no-sidebar"><p>Kept.</p></div>
+    <p>{P2}</p><h2>References</h2>{LINKS}</article></body>"""
+    assert main_text(page) == f"T {P1} Beware. Of 1900. Kept. {P2} References One link here Another link here"
+
+
+def test_named_parts_inside_the_article_go():
+    page = f"""<body class="sidebar-page"><div class="banner-layout"><article><h1>T</h1><p>{P1}</p><div class="ad">Buy, now, cheap.</div><p class="advert">Buy it.</p>
+    <div class="share-links">{LINKS}</div><p class="related"><a href=/z>See this</a></p><p>{P2}</p><div id="comments"><article class="comment"><p>{P1} {P1}</p></article></div></article></div></body>"""
+    assert main_text(page) == f"T {P1} {P2}"
+
+
+def test_deep_nesting_takes_linear_time():
+    n = 100_000
+    for source in ("<div>" * n + P1 + "</section>" * n, "<b>" * n + f"<p>{P1}" * 2000, "<article><header>" * n, "<p><a>" * n, "<ul><li>" * n + "</b>" * n):
+        began = time.time()
+        main_text(source)
+        assert time.time() - began < 30
+
+
 def brute(page):
     """The text of the article element of the synthetic pages, by patterns that fit only them."""
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
