@@ -16,13 +16,15 @@ under 1 in a million.
    lost, and no pairs are emitted.
 
 No bucket is collected: buckets are aggregated and joined, blocks have about
-BLOCK classes.
+BLOCK classes and BLOCK_BYTES of sets, and the pairs of blocks are dealt to
+tasks in turn.  Keys that many rows share are joined by join_hot(), and a pivot of
+many classes is copied, once for about SALT of them.
 
 Edge cases: null, empty or blank texts have no shingles, link with nothing and
 are kept; so are rows without doc_id, whose component_id is null; fewer than
 five words form one shingle; repeated rows share a class; ties go to the
-smallest doc_id; where rows with other texts repeat a doc_id, the smallest text
-stands for it when links are confirmed; very long texts are taken whole; other columns are ignored;
+smallest doc_id; rows with other texts that repeat a doc_id are one document,
+linked with whatever one of its texts is linked with; very long texts are taken whole; other columns are ignored;
 an empty table gives no rows.
 """
 
@@ -37,13 +39,15 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.bytetext import LOWER, mix, prefix_hash, span_hash, text_slices, words
 from siltstone.llm.components import components
-from siltstone.llm.shared import discard, settle
+from siltstone.llm.shared import discard, join_hot, settle
 
 WORDS = 5
 PERCENT = 85
 ROWS = 6
 BANDS = 24
 BLOCK = 256
+BLOCK_BYTES = 32 << 20
+SALT = 1024
 # rows and bands up to a threshold in percent
 SPREADS = {80: (5, 36), 100: (ROWS, BANDS)}
 PERMUTATIONS = max(rows * bands for rows, bands in SPREADS.values()) // 2
@@ -140,7 +144,7 @@ def reaches(both: int | np.ndarray, p: int | np.ndarray, q: int | np.ndarray, pe
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold; repeated rows only repeat a link."""
+    """The pairs (a, b, near: how many may have this a) whose full sets reach the threshold; repeated rows only repeat a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +156,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(kept), batch.column(1).filter(kept)], ["a", "b"])
 
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("p")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("q"))
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    # a power of two of copies of each left set
+    copies = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("near") / SALT, F.lit(1.0))))).cast("int")
+    pairs = pairs.withColumn("copies", copies).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    copied = pairs.select("a", "copies").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).join(left.hint("merge"), "a")
+    return pairs.join(right.hint("merge"), "b").join(copied.hint("merge"), ["a", "copies", "salt"]).select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
 def forest(ids: list[int], component: list[int], block: list[int], sets: list[np.ndarray], crossed: bool, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -194,7 +202,7 @@ def forest(ids: list[int], component: list[int], block: list[int], sets: list[np
 
 
 def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between components within buckets: ``members`` has key, id, component and how many members its bucket has."""
+    """Links (a, b) between components within buckets: ``members`` has key, id, component, and how many members and shingles its bucket has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -218,11 +226,14 @@ def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
         if held and (out := solve()) is not None:
             yield out
 
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id", "component", "block")
     whole = dealt.join(sets.hint("merge"), "id").select("key", "x", "y", "id", "component", "block", "hashes")
-    return whole.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
+    # one after the other, so that the pairs of blocks of a large bucket are spread evenly
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.pmod(F.xxhash64("key") + F.expr("shiftright(cast(y as long) * (y + 1), 1)") + F.col("x"), F.lit(tasks)).cast("int")
+    return whole.repartitionById(tasks, turn).sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -230,29 +241,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(signatures(docs, percent), "signatures")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    classes = signed.where(linkable).groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = signed.where(linkable).groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"), F.count(F.lit(1)).alias("often"))
     classes = settle(classes, "classes")
-    keys = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = settle(keys.join(often.hint("merge"), "key"), "buckets")
+    keys = classes.select(F.col("rep").alias("id"), "n_shingles", F.explode("bands").alias("key"))
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).where("members > 1")
+    often = settle(often.withColumn("often", F.col("members")), "bucket_sizes")
+    shared = settle(join_hot(keys.drop("n_shingles"), often, ["key"]), "buckets")
     # the most central class of a bucket shares most buckets with others
     central = shared.groupBy("id").agg(F.sum("members").alias("central"))
-    pivots = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("pivot"))
-    tried = shared.join(pivots, "key").where("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"))
-    tried = tried.groupBy("id").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("minus"))).alias("top")).select((-F.col("top.minus")).alias("a"), F.col("id").alias("b"))
+    pivots = shared.join(central, "id").groupBy("key").agg(F.max(F.struct("central", (-F.col("id")).alias("minus"))).alias("top"), F.max("members").alias("often")).select("key", (-F.col("top.minus")).alias("pivot"), "often")
+    pivots = settle(pivots, "pivots")
+    tried = join_hot(shared, pivots, ["key"]).where("id != pivot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("bands"), F.max("members").alias("near"))
+    tried = tried.groupBy("id").agg(F.max(F.struct("bands", (-F.col("pivot")).alias("minus"), "near")).alias("top")).select((-F.col("top.minus")).alias("a"), F.col("id").alias("b"), F.col("top.near").alias("near"))
+    tried = settle(tried, "tried")
     named = shared.select(F.col("id").alias("doc_id")).distinct()
-    one = docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # each text once, also where rows repeat a doc_id
+    one = docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
     sets = settle(full_sets(one), "sets")
     links = settle(confirm(tried, sets, percent), "links")
     labels = components(links)
-    told = shared.join(labels, "id", "left").select("key", "id", "members", F.coalesce("component", "id").alias("component"))
-    mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    more = settle(across(told.join(mixed, "key"), sets, percent), "more_links")
+    told = settle(shared.join(labels, "id", "left").select("key", "id", "members", "shingles", F.coalesce("component", "id").alias("component")), "told")
+    mixed = settle(told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("members").alias("often")).where("low != high").select("key", "often"), "mixed")
+    more = settle(across(join_hot(told, mixed, ["key"]), sets, percent), "more_links")
     discard(shared, sets)
     if more.limit(1).count():
         labels = components(links.union(more))
-    named = classes.select("f", "g", "n_shingles", "rep").join(labels, F.col("rep") == F.col("id"), "left").select("f", "g", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    found = signed.where(linkable).join(named, ["f", "g", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    named = classes.select("f", "g", "n_shingles", "rep", "often").join(labels, F.col("rep") == F.col("id"), "left").select("f", "g", "n_shingles", "often", F.coalesce("component", "rep").alias("component"))
+    found = join_hot(signed.where(linkable).drop("bands"), settle(named, "classes_named"), ["f", "g", "n_shingles"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = signed.where(~linkable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -202,8 +202,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; no row is shuffled."""
-    rules = learn(settle(measures(docs), "measures"), labels)
-    whole = measures(docs, [F.struct(*[F.col(c) for c in docs.columns])])
-    # a generator stands between the measures and the rules, so that the optimiser does not copy the measures into each rule
-    whole = whole.select(F.inline(F.array(F.struct(*whole.columns))))
+    # measured once: the rows wait in the shared folder until the rules are known
+    whole = settle(measures(docs, [F.struct(*[F.col(c) for c in docs.columns])]), "measured_documents")
+    rules = learn(whole.drop("_carried0"), labels)
     return whole.where(~base_failed() & (verdict(rules) == 0)).select(*[F.col("_carried0")[c].alias(c) for c in docs.columns])

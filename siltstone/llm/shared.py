@@ -6,6 +6,10 @@ import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key is hot if more than a HOT-th of all rows have it, and over LEAST.
+HOT, LEAST = 4096, 4096
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,3 +38,19 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         gc.collect()
         spark._jvm.System.gc()
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in column ``often`` how many of the rows have it.
+
+    The hot keys, fewer than HOT whatever the size, go to all tasks; the others
+    are joined by hash.  So no task gets more than its share and one key of
+    less than a HOT-th of the rows.
+    """
+    total, top = table.agg(F.sum("often"), F.max("often")).first()
+    bound = max((total or 0) // HOT, LEAST)
+    if (top or 0) <= bound:
+        return rows.join(table.drop("often").hint("merge"), on)
+    hot = F.broadcast(table.where(F.col("often") > bound).drop("often"))
+    rest = rows.join(F.broadcast(table.where(F.col("often") > bound).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(rest.join(table.where(F.col("often") <= bound).drop("often").hint("merge"), on))

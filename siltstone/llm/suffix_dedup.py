@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bytetext import mix, powers, prefix_hash, span_hash, text_slices
-from siltstone.llm.shared import discard, settle
+from siltstone.llm.shared import discard, join_hot, settle
 
 MINIMUM = 200
 GRAM = 56
 GROUP = 4096  # runs have at most 2 * MINIMUM - GRAM bytes, so a group is about as large as a batch
 PIECE = 2 << 20
 BATCH = 1 << 20
-ANCHOR = "h long, whole long, doc long, f int, begin int, count int"
+ANCHOR = "h long, whole long, doc long, f long, begin int, count int"
 NO_ID = -(1 << 63)
 
 
@@ -208,7 +208,7 @@ def stretches(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[head], np.diff(np.append(head, len(starts)))
 
 
-FOUND = "doc long, f int, begin int, count int"
+FOUND = "doc long, f long, begin int, count int"
 
 
 def by_transform(snippets: DataFrame, minimum: int) -> DataFrame:
@@ -222,7 +222,7 @@ def by_transform(snippets: DataFrame, minimum: int) -> DataFrame:
                 out += [(doc, f, begin + int(a), int(n)) for a, n in zip(*stretches(own), strict=True)]
         if not out:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc", "f", "begin", "count"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc", "f", "begin", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
@@ -247,16 +247,23 @@ def by_count(snippets: DataFrame, minimum: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, raw, doc, f, begin, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = np.frombuffer(raw, np.uint8)
-                at = np.arange(len(data) - minimum + 1)
-                keys = span_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1)), at, at + minimum).view(np.int64)
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, h)), pa.array(keys), pa.array(np.full(n, doc)), pa.array(np.full(n, f, np.int32)), pa.array((at + begin).astype(np.int32)), pa.array(np.full(n, alone))], ["h", "key", "doc", "f", "begin", "alone"]
-                )
+            # the runs of a batch one after the other; windows that cross from one to the next are left out
+            raw = batch.column(1).cast(pa.large_binary())
+            offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+            data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(raw) and raw.buffers()[2] is not None else np.zeros(0, np.uint8)
+            starts = offsets - offsets[0] if len(raw) else np.zeros(1, np.int64)
+            count = np.maximum(np.diff(starts) - minimum + 1, 0)
+            own = np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            at = starts[own] + place
+            keys = span_hash(prefix_hash(data.astype(np.uint64) + np.uint64(1)), at, at + minimum).view(np.int64)
+            same = pa.array(own)
+            begin = batch.column(4).to_numpy()[own] + place
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(same), pa.array(keys), batch.column(2).take(same), batch.column(3).take(same), pa.array(begin.astype(np.int32)), batch.column(5).take(same)], ["h", "key", "doc", "f", "begin", "alone"]
+            )
 
-    keyed = snippets.select("h", "bytes", "doc", "f", "begin", "alone").mapInArrow(run, "h long, key long, doc long, f int, begin int, alone boolean")
+    keyed = snippets.select("h", "bytes", "doc", "f", "begin", "alone").mapInArrow(run, "h long, key long, doc long, f long, begin int, alone boolean")
     twice = keyed.groupBy("h", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "key")
     return keyed.where("alone").join(twice, ["h", "key"], "left_semi").select("doc", "f", "begin", F.lit(1).alias("count"))
 
@@ -275,21 +282,22 @@ def snippets_of(docs: DataFrame, wanted: DataFrame, minimum: int) -> DataFrame:
 
     # rows that repeat doc and text have the same runs; one of them is enough
     joined = docs.join(wanted, ["doc", "f"]).select("doc", "f", "text", "own")
-    return joined.mapInArrow(run, "h long, bytes binary, doc long, f int, begin int, alone boolean, hot boolean")
+    return joined.mapInArrow(run, "h long, bytes binary, doc long, f long, begin int, alone boolean, hot boolean")
 
 
 def windows_found(docs: DataFrame, minimum: int, gram: int, group: int) -> DataFrame:
     """All repeated windows of ``docs`` (doc, f, text) as (doc, f, begin, count)."""
     every = settle(anchors(docs, minimum, gram), "anchors")
-    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("n > 1").select("h", (F.col("low") != F.col("high")).alias("mixed"))
-    hits = settle(every.join(often, "h"), "anchors_hit")
+    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("often"), F.min("whole").alias("low"), F.max("whole").alias("high")).where("often > 1")
+    often = settle(often.select("h", (F.col("low") != F.col("high")).alias("mixed"), "often"), "anchors_often")
+    hits = settle(join_hot(every, often, ["h"]), "anchors_hit")
     discard(every)
     mixed = hits.where("mixed")
     # rows that repeat doc and text count as two
-    classes = settle(mixed.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "f", "begin", "count")).alias("one")), "anchor_classes")
-    copied = mixed.join(classes.where("n > 1").select("h", "whole"), ["h", "whole"], "left_semi")
-    sizes = classes.groupBy("h").agg((F.count(F.lit(1)) > group).alias("hot"))
-    wanted = classes.join(sizes, "h").select("one.doc", "one.f", F.struct("h", F.col("one.begin").alias("begin"), F.col("one.count").alias("count"), (F.col("n") == 1).alias("alone"), "hot").alias("x")).groupBy("doc", "f").agg(F.collect_list("x").alias("own"))
+    classes = settle(mixed.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("often"), F.min(F.struct("doc", "f", "begin", "count")).alias("one")), "anchor_classes")
+    copied = join_hot(mixed, classes.where("often > 1").select("h", "whole", "often"), ["h", "whole"])
+    sizes = settle(classes.groupBy("h").agg((F.count(F.lit(1)) > group).alias("hot"), F.count(F.lit(1)).alias("often")), "anchor_sizes")
+    wanted = join_hot(classes.withColumnRenamed("often", "n"), sizes, ["h"]).select("one.doc", "one.f", F.struct("h", F.col("one.begin").alias("begin"), F.col("one.count").alias("count"), (F.col("n") == 1).alias("alone"), "hot").alias("x")).groupBy("doc", "f").agg(F.collect_list("x").alias("own"))
     snippets = settle(snippets_of(docs, wanted, minimum), "snippets")
     found = by_transform(snippets.where("not hot"), minimum).union(by_count(snippets.where("hot"), minimum))
     out = settle(hits.where("not mixed").select("doc", "f", "begin", "count").union(copied.select("doc", "f", "begin", "count")).union(found), "repeats")
@@ -299,7 +307,7 @@ def windows_found(docs: DataFrame, minimum: int, gram: int, group: int) -> DataF
 
 def _keyed(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("f"), "text")
+    return own.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("f"), "text")
 
 
 def covered(begin: np.ndarray, count: np.ndarray, minimum: int) -> list[tuple[int, int]]:

@@ -4,10 +4,12 @@ Heuristic labellers vote good, bad or nothing on each text.  Documents with
 equal votes are counted together by Spark, so at most 3 ** LABELLERS counts of
 votes stand for all documents; from them expectation-maximisation estimates
 how often each labeller votes what on good and on bad texts, and the posterior
-of each combination of votes.  The posteriors are the labels on which a
-logistic model over hashed byte trigrams, and places for the votes, is trained, on at most SAMPLE
-documents (those with the smallest hash of their doc_id).  Every text is then
-scored whole.
+of each combination of votes.  It starts from the majority of votes, and a prior
+of PRIOR texts, whatever the size of the corpus, only keeps rates from 0.
+The posteriors are the labels on which a logistic model over hashed byte
+trigrams, and places for the votes, is trained, on at most SAMPLE documents and
+ENTRIES of their trigrams (those with the smallest hash of their doc_id first).
+Every text is then scored whole.
 
 Edge cases: a null or empty text has no words and no trigrams; a text without
 trigrams gets the posterior of its votes as score; repeated rows are scored
@@ -34,8 +36,10 @@ VOTE = 1.0  # of a vote's place, where trigrams have their share of the text tim
 EPOCHS = 6
 GOOD, BAD, NONE = 2, 1, 0
 THRESHOLD = 0.5
-#: Prior rates of bad votes on good and on bad texts, and the weight of the first against the data.
-FALSE_RATE, TRUE_RATE, PRIOR = 0.005, 0.25, 3.0
+#: Texts that the prior stands for, and its rates of no vote, bad and good votes on bad and on good texts.
+PRIOR = 2.0
+RATES = np.array([[0.3, 0.5, 0.2], [0.3, 0.05, 0.65]])
+ENTRIES = 40_000_000
 
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>{}[]=~^\\"]] = True
@@ -130,29 +134,20 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] // 3 ** np.arange(len(LABELLERS)) % 3
 
 
-def accuracies(said: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+def accuracies(said: np.ndarray, counts: np.ndarray, rounds: int = 300) -> tuple[np.ndarray, float]:
     """Expectation-maximisation over combinations of votes: P(vote | class) as (class, labeller, vote), and P(good).
 
-    Starts from the share of good votes, which also names the classes.
+    Starts from the share of good votes among all, which also names the classes.
     """
-    n, m = said.shape
     hot = (said[:, :, None] == np.arange(3)).astype(float)
     good = ((said == GOOD).sum(1) + 1.0) / ((said != NONE).sum(1) + 2.0)
-    # one clear vote against a text is rarer than votes for it, and says more
-    good = np.where((said == BAD).any(axis=1), good * 0.3, good)
-    total = counts.sum()
     for _ in range(rounds):
         weight = np.stack([(1 - good) * counts, good * counts])
-        table = np.einsum("ci,ijv->cjv", weight, hot) + 0.5
-        # a prior in proportion to the texts: labellers seldom call a good text bad, and do call bad ones so
-        for c, rate, strength in ((1, FALSE_RATE, PRIOR * total), (0, TRUE_RATE, 0.5 * weight[0].sum() + 1)):
-            other = table[c][:, [NONE, GOOD]].sum(axis=1, keepdims=True)
-            table[c][:, [NONE, GOOD]] *= 1 + (1 - rate) * strength / other
-            table[c][:, BAD] += rate * strength
+        table = np.einsum("ci,ijv->cjv", weight, hot) + PRIOR * RATES[:, None, :]
         table /= table.sum(axis=2, keepdims=True)
-        share = (weight[1].sum() + 1) / (weight.sum() + 2)
+        share = (weight[1].sum() + PRIOR / 2) / (weight.sum() + PRIOR)
         new = posterior(said, table, share)
-        if not n or np.abs(new - good).max() < 1e-9:
+        if not len(said) or np.abs(new - good).max() < 1e-9:
             break
         good = new
     return table, share
@@ -216,8 +211,14 @@ def learn(docs: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     chosen = settle(seen.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id"), "sample_ids")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py()) for batch in batches for i in range(batch.num_rows)), key=lambda r: (r[0], r[3]))
-        samples = [(np.frombuffer(r[1], np.uint32).astype(np.int64), np.frombuffer(r[2], np.float32).astype(float), r[3]) for r in rows]
+        samples, held = [], 0
+        for batch in batches:  # in order of the hash
+            for at, x, label in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                if held > ENTRIES:
+                    break
+                at = np.frombuffer(at.as_buffer(), np.uint32).astype(np.int32)
+                held += len(at)
+                samples.append((at, np.frombuffer(x.as_buffer(), np.float32).copy(), label.as_py()))
         yield pa.RecordBatch.from_arrays([pa.array([fit(samples, WEIGHTS).tobytes()], pa.binary())], ["weights"])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +235,9 @@ def learn(docs: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
                     x.append(np.concatenate([many / max(len(own), 1), np.full(places.shape[1], VOTE / SCALE)]).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(at, pa.binary()), pa.array(x, pa.binary()), pa.array(label)], ["doc_id", "at", "x", "label"])
 
-    # at most SAMPLE rows of at most BUCKETS entries meet in one task
+    # at most SAMPLE rows and about ENTRIES of their entries are held in one task
     sample = _texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(features, "doc_id long, at binary, x binary, label double")
-    found = settle(sample, "sample_features").repartition(1).mapInArrow(train, "weights binary").collect()
+    found = settle(sample, "sample_features").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "label", "at").mapInArrow(train, "weights binary").collect()
     return table, share, np.frombuffer(found[0].weights) if found else np.zeros(WEIGHTS)
 
 

@@ -59,6 +59,62 @@ def test_held_out_labels_of_the_synthetic_table(spark):
     assert sum(kept) > 0.98 * len(kept) and sum(gone) > 0.85 * len(gone)
 
 
+def test_accuracies_match_plain_em_on_every_row():
+    rng = np.random.default_rng(2)
+    m = len(W.LABELLERS)
+    good = rng.random(3000) < 0.7
+    said = np.where(rng.random((3000, m)) < 0.3, W.NONE, np.where(good[:, None] ^ (rng.random((3000, m)) < 0.1), W.GOOD, W.BAD))
+    patterns, counts = np.unique(said, axis=0, return_counts=True)
+    table, share = W.accuracies(patterns, counts.astype(float))
+    # one row after the other, one labeller after the other
+    p = [(sum(v == W.GOOD for v in row) + 1) / (sum(v != W.NONE for v in row) + 2) for row in said.tolist()]
+    for _ in range(300):
+        plain = np.tile(W.PRIOR * W.RATES[:, None, :], (1, m, 1))
+        for j in range(m):
+            for v in range(3):
+                here = said[:, j] == v
+                plain[1, j, v] += np.sum(np.asarray(p)[here])
+                plain[0, j, v] += np.sum(1 - np.asarray(p)[here])
+        plain /= plain.sum(axis=2, keepdims=True)
+        rate = (sum(p) + W.PRIOR / 2) / (len(p) + W.PRIOR)
+        odds = [np.prod(plain[c][np.arange(m), said], axis=1) * w for c, w in ((0, 1 - rate), (1, rate))]
+        new = odds[1] / (odds[0] + odds[1])
+        done = np.abs(new - p).max() < 1e-9
+        p = new
+        if done:
+            break
+    assert np.allclose(table, plain, atol=1e-6) and abs(share - rate) < 1e-6
+    # the data, not the prior, set the rates
+    assert abs(table[1, :, W.BAD].mean() - 0.07) < 0.01 and abs(table[0, :, W.GOOD].mean() - 0.07) < 0.01
+
+
+def test_scores_match_brute_force(spark):
+    texts = [*TEXTS, "Some plain words stand here. " * 30, "### $$$ " * 40, "Wörter, und noch mehr Wörter.\n" * 20]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    table, share, w = W.learn(frame)
+    rows = W.score(frame).collect()
+    assert len(rows) == 2 * len(texts)
+    import pyarrow as pa
+
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        [(_, _, flat, offsets)] = list(text_slices(pa.array([data.decode()])))
+        said = W.votes(W.measures(flat, offsets))[0]
+        odds = [np.prod([table[c, j, v] for j, v in enumerate(said)]) * s for c, s in ((0, 1 - share), (1, share))]
+        after = odds[1] / sum(odds)
+        assert abs(r.posterior - after) < 1e-6
+        grams = [(int.from_bytes(data[i : i + 3], "little") * 2_654_435_761 % 2**32) >> 16 for i in range(len(data) - 2)]
+        z = sum(w[g] for g in grams) / max(len(grams), 1) * W.SCALE + sum(w[W.BUCKETS + 3 * j + v] for j, v in enumerate(said)) * W.VOTE + w[-1]
+        assert abs(r.score - (1 / (1 + np.exp(-z)) if grams else after)) < 1e-6
+
+
+def test_long_texts_and_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(W, "ENTRIES", 50)
+    frame = spark.createDataFrame([(i, "Plain words, of some length, stand here.") for i in range(40)] + [(99, "long words here. " * 200_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in W.score(frame).collect()}
+    assert len(rows) == 41 and all(0 <= r.score <= 1 for r in rows.values()) and rows[0].score == rows[1].score
+
+
 def test_edge_cases(spark):
     frame = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(TEXTS)] + [(None, "x"* 5000, 1.0)], "doc_id long, text string, score double")
     rows = W.score(frame).collect()
