@@ -40,7 +40,7 @@ LABELLED = 50_000
 BUCKET_BITS = 20
 PREFIXES = (7, 6, 5, 4)
 PRIOR = 500.0
-SURE = 2.0
+SURE = 4.0
 TOLL = 0.05
 THRESHOLD = 0.3
 STEP = 0.05

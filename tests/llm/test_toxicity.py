@@ -78,3 +78,24 @@ def test_no_labels_and_empty_table(spark):
     docs, labels, _, _ = fixture(spark)
     assert all(r.predicted == 0 for r in toxicity.score(docs.limit(5), labels.limit(0)).collect())
     assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+def test_cross_validation_reads_training_rows_only(spark):
+    docs, labels, _, _ = fixture(spark)
+    flipped = labels.selectExpr("doc_id", "CASE WHEN crc32(cast(doc_id as string)) % 4 = 2 THEN 1 - toxic ELSE toxic END AS toxic")
+    a, b = (toxicity.cross_validate(docs, rows, parts=2) for rows in (labels, flipped))
+    assert a == b and 0 < a < 0.3
+
+
+def test_repeated_rows_long_texts_and_code_points(spark):
+    docs, labels, truth, texts = fixture(spark)
+    long = "ñandú word1 " * 60_000 + "grumf blarg snirk " * 8 + "word2 " * 1000
+    more = docs.select("doc_id", "text").unionByName(docs.where("doc_id < 9").select("doc_id", "text")).unionByName(spark.createDataFrame([(80_000, long), (80_000, long)], "doc_id long, text string"))
+    rows = toxicity.score(more, labels).collect()
+    assert len(rows) == len(texts) + 11
+    by_id = {}
+    for r in rows:
+        assert by_id.setdefault(r.doc_id, r.score) == r.score
+    for r in rows:
+        if r.doc_id == 80_000:
+            assert any("grumf blarg" in long[p.begin : p.end] and p.end - p.begin < 400 for p in r.passages)
