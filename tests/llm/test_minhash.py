@@ -98,3 +98,42 @@ def test_forest_joins_what_all_pairs_join():
                 if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both) and (not crossed or block[i] != block[j]):
                     merge(i, j)
         assert got == sorted(map(sorted, parts)) and len(got) < 40
+
+
+def test_hot_keys_and_copied_pivots(spark, monkeypatch):
+    from siltstone.llm import shared
+
+    monkeypatch.setattr(shared, "HOT", 50)
+    monkeypatch.setattr(shared, "LEAST", 2)
+    monkeypatch.setattr(minhash, "SALT", 2)
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(900)}" for _ in range(120)]
+    docs = corpus(9)
+    for i in range(60):  # exact copies and near copies of one text
+        own = list(base)
+        for _ in range(i % 4):
+            own[rng.randrange(len(own))] = f"edit{i}"
+        docs.append((20_000 + i, " ".join(own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs)
+
+
+def test_all_texts_of_a_repeated_doc_id_count(spark):
+    rng = random.Random(10)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    docs = [(7, a), (7, b), (3, b + " x"), (9, a + " y"), (11, c)]
+    rows = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(7, 3), (3, 3), (9, 3), (11, 11)} and len(rows) == 5
+
+
+def test_join_hot_is_a_join(spark, monkeypatch):
+    from siltstone.llm import shared
+
+    monkeypatch.setattr(shared, "LEAST", 3)
+    rows = spark.createDataFrame([(i % 3 if i < 30 else i, i) for i in range(50)], "k long, v long")
+    table = rows.groupBy("k").count().where("k != 2 and k < 45").selectExpr("k", "k * 10 AS w", "count AS often")
+    for hot in (4096, 10, 1):
+        monkeypatch.setattr(shared, "HOT", hot)
+        got = {(r.k, r.v, r.w) for r in shared.join_hot(rows, table, ["k"]).select("k", "v", "w").collect()}
+        assert got == {(k, v, k * 10) for k, v in ((i % 3 if i < 30 else i, i) for i in range(50)) if k != 2 and k < 45}
