@@ -59,5 +59,32 @@ def test_pieces_cover_each_id_once(spark):
         assert at <= 2048
 
 
+def test_ids_of_a_whole_table_are_those_of_the_vocabulary_file():
+    import pyarrow.parquet as pq
+
+    from siltstone.llm.bytetext import text_slices
+    from siltstone.llm.subwords import encode_slice, encoder
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text")
+    got = []
+    for a, b, data, offsets in text_slices(texts):
+        ids, bounds = encode_slice(data, offsets, encoder())
+        got += [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(b - a)]
+    assert got == public_ids(texts.to_pylist())
+
+
+def test_long_documents_go_through_differencing():
+    import zlib as z
+
+    ids = np.arange(300_000) % 50_000
+    found = packing.pack_chunk([1, 2], np.array([0, 299_000, 300_000]), ids, 0)
+    filled = {}
+    for s, n in zip(found["sequence_id"], found["length"], strict=True):
+        filled[s] = filled.get(s, 0) + n
+    assert sum(filled.values()) == 300_000 and max(filled.values()) <= 2048 and len(filled) <= 300_000 / 2048 * 1.06
+    assert max(found["length"]) <= packing.LONG_ITEM
+    assert found["ids_crc32"][0] == z.crc32(ids[found["start"][0] : found["start"][0] + found["length"][0]].astype("<u4").tobytes())
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
