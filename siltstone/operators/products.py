@@ -9,6 +9,7 @@ position, which ``catalog.merge`` needs.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,9 +21,11 @@ from siltstone.functions.text import mime_type, slug
 from siltstone.operators import catalog as C
 from siltstone.operators import dom
 
-EXTRACTORS = ("jsonLd", "rdfa", "embedded", "microdata", "openGraph", "inline", "html")
+EXTRACTORS = ("jsonLd", "rdfa", "embedded", "magento", "microdata", "openGraph", "inline", "html")
+#: Room for the products of one extractor on one page in ``seq``.
+MOST = 10_000_000
 DOCUMENTS = ("pdf", "doc", "docx", "xls", "xlsx", "zip")
-JSON_PRODUCT = "struct<sku: string, gtin: string, mpn: string, name: string, url: string, price: string, sale_price: string, currency: string, availability: string, description: string, brand: string, images: array<string>, categories: array<string>, variants: array<" + C.VARIANT + ">>"
+JSON_PRODUCT = "struct<sku: string, gtin: string, mpn: string, name: string, url: string, price: string, regular_price: string, sale_price: string, currency: string, availability: string, description: string, brand: string, images: array<string>, categories: array<string>, tags: array<string>, variants: array<" + C.VARIANT + ">>"
 
 
 def _text(x: object) -> str | None:
@@ -72,11 +75,96 @@ def _product(x: dict) -> dict:
             variants.append({"id": _text(v.get("@id")), "sku": _text(v.get("sku")), "price": _text(o.get("price") or v.get("price")), "sale_price": None, "stock_status": _text(o.get("availability")), "image": _text(v.get("image")), "attributes": {k: v for k, v in named.items() if v}})
     return {
         "sku": _text(x.get("sku")), "gtin": next((t for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8") if (t := _text(x.get(k)))), None), "mpn": _text(x.get("mpn")), "name": _text(x.get("name")), "url": _text(x.get("url")),
-        "price": _text(offer.get("price") or offer.get("lowPrice") or x.get("price")), "sale_price": _text(offer.get("salePrice")), "currency": _text(offer.get("priceCurrency")), "availability": _text(offer.get("availability")),
-        "description": _text(x.get("description")), "brand": _text(x.get("brand")), "images": images, "categories": [t for c in _list(x.get("category")) if (t := _text(c))], "variants": variants,
+        "price": _text(offer.get("price") or offer.get("lowPrice") or x.get("price")), "regular_price": None, "sale_price": _text(offer.get("salePrice")), "currency": _text(offer.get("priceCurrency")), "availability": _text(offer.get("availability")),
+        "description": _text(x.get("description")), "brand": _text(x.get("brand")), "images": images, "categories": [t for c in _list(x.get("category")) if (t := _text(c))], "tags": [t for c in _list(x.get("keywords")) if (t := _text(c))], "variants": variants,
     }
 
 
+# Names under which a theme's variant tells its options.
+OPTIONS = ("option1", "option2", "option3", "color", "colour", "size", "material", "pattern")
+
+
+def _addresses(x: object) -> list[str]:
+    """Addresses of images, given as texts or as objects."""
+    out = []
+    for i in _list(x):
+        if isinstance(i, dict):
+            i = next((i[k] for k in ("url", "src", "contentUrl", "image") if i.get(k)), None)
+        if isinstance(i, str) and i.strip():
+            out.append(i.strip())
+    return out
+
+
+def _themed(x: dict) -> dict:
+    """A product as shop themes write it into a page: title, variants and images, without a type."""
+    first = lambda o, *names: next((t for n in names if (t := _text(o.get(n))) is not None), None)
+    own = [v for v in _list(x.get("variants")) if isinstance(v, dict)]
+    variants = [
+        {
+            "id": _text(v.get("id")), "sku": _text(v.get("sku")), "price": _text(v.get("price")), "sale_price": first(v, "sale_price", "salePrice"), "stock_status": "outofstock" if v.get("available") is False else None,
+            "image": next(iter(_addresses(v.get("image")) or _addresses(v.get("featured_image"))), None), "attributes": {k.replace("colour", "color"): t for k in OPTIONS if (t := _text(v.get(k)))},
+        }
+        for v in own
+    ]
+    return {
+        "sku": _text(x.get("sku")), "gtin": None, "mpn": None, "name": first(x, "title", "name"), "url": _text(x.get("url")), "price": _text(x.get("price")), "regular_price": first(x, "regular_price", "regularPrice"),
+        "sale_price": first(x, "sale_price", "salePrice"), "currency": _text(x.get("currency")), "availability": None, "description": first(x, "description", "body_html"), "brand": first(x, "vendor", "brand"),
+        "images": [*_addresses(x.get("images")), *_addresses(x.get("media")), *[i for v in own for i in _addresses(v.get("image"))]],
+        "categories": [t for c in _list(x.get("product_type") or x.get("category")) if (t := _text(c))], "tags": [t for c in _list(x.get("tags")) if (t := _text(c))], "variants": variants,
+    }
+
+
+ASSIGNED = re.compile(r"[=(]\s*(?=[{\[])")
+DECODER = json.JSONDecoder()
+
+
+def values_in(text: str) -> Iterator[object]:
+    """JSON values of a script: its whole text, or whatever stands after an equals sign or as an argument in it."""
+    try:
+        yield json.loads(text)
+        return
+    except (ValueError, RecursionError):
+        pass
+    at = 0
+    while (m := ASSIGNED.search(text, at)) is not None:
+        try:
+            value, at = DECODER.raw_decode(text, m.end())
+            yield value
+        except (ValueError, RecursionError):
+            at = m.end()
+
+
+def _states_of(texts) -> list[dict]:
+    """Products in the data that scripts assign: typed ones, and objects with variants, title and images."""
+    out = []
+    for text in texts if texts is not None else []:
+        for value in values_in(text):
+            out += [_product(x) for x in walk(value)]
+            stack = [value]
+            while stack:
+                x = stack.pop()
+                if isinstance(x, dict) and not _is(x, "product", "productgroup"):
+                    if x is not value and x.get("variants") and x.get("title") and x.get("images"):
+                        out.append(_themed(x))
+                    else:
+                        stack.extend(reversed(list(x.values())))
+                elif isinstance(x, list):
+                    stack.extend(reversed(x))
+    return out
+
+
+def _inline_of(texts) -> list[dict]:
+    """Scripts that are one product themselves: an object without a type that has a title, variants or images."""
+    out = []
+    for text in texts if texts is not None else []:
+        for x in values_in(text):
+            if isinstance(x, dict) and "@type" not in x and "@graph" not in x:
+                found = _themed(x)
+                if found["name"] or found["variants"] or found["images"]:
+                    out.append(found)
+    return out
+
+
 def _products_of(texts) -> list[dict]:
     """Products in a list of JSON texts; a text that does not parse has none."""
     out = []
@@ -88,19 +176,34 @@ def _products_of(texts) -> list[dict]:
     return out
 
 
-def json_products(scripts: Column) -> Column:
+def json_products(scripts: Column, find=_products_of) -> Column:
     def of(column: pd.Series) -> pd.Series:
-        return column.map(_products_of)
+        return column.map(find)
 
     return F.pandas_udf(of, f"array<{JSON_PRODUCT}>")(scripts)
 
 
-def _embedded() -> Column:
-    """Texts of scripts that hold a page's state as JSON: frameworks' data islands and assigned objects."""
-    scripts = F.filter(dom.of_tag("script"), lambda n: F.coalesce(dom.attr(n, "type"), F.lit("")) != "application/ld+json")
-    data = F.filter(scripts, lambda n: F.coalesce(dom.attr(n, "id"), F.lit("")).isin("__NEXT_DATA__", "__NUXT_DATA__") | (F.coalesce(dom.attr(n, "type"), F.lit("")) == "application/json"))
-    state = F.filter(F.transform(scripts, lambda n: F.regexp_extract(n["text"], r"(?s)=\s*(\{.*\"@type\".*\})\s*;?\s*$", 1)), lambda t: t != "")
-    return F.concat(F.transform(data, lambda n: n["text"]), state)
+def _scripts() -> Column:
+    """Texts of a page's own scripts, without JSON-LD; framework data islands are among them."""
+    own = F.filter(dom.of_tag("script"), lambda n: (F.lower(F.coalesce(dom.attr(n, "type"), F.lit(""))) != "application/ld+json") & (dom.attr(n, "src").isNull() | (dom.attr(n, "type") == "application/json")))
+    return F.filter(F.transform(own, lambda n: n["text"]), lambda t: t.rlike(r"[{\[]"))
+
+
+def _mage_init() -> Column:
+    return F.filter(F.transform(dom.NODES, lambda n: dom.attr(n, "data-mage-init")), lambda t: t.isNotNull())
+
+
+def _html_variants() -> Column:
+    """Variants that elements of the page tell by their data attributes."""
+    own = F.filter(dom.NODES, lambda n: dom.attr(n, "data-variant-id").isNotNull() | dom.attr(n, "data-sku").isNotNull())
+    names = ("color", "size", "material", "pattern")
+
+    def variant(n: Column) -> Column:
+        named = F.map_filter(F.map_from_arrays(F.array(*[F.lit(k) for k in names]), F.array(*[dom.attr(n, f"data-{k}") for k in names])), lambda _, v: v.isNotNull())
+        data = lambda name: dom.attr(n, f"data-{name}")
+        return F.struct(F.coalesce(data("variant-id"), data("sku")).alias("id"), data("sku").alias("sku"), data("price").alias("price"), data("sale-price").alias("sale_price"), data("stock-status").alias("stock_status"), data("image").alias("image"), named.alias("attributes"))
+
+    return F.transform(own, variant).cast(f"array<{C.VARIANT}>")
 
 
 def _row(source: str, **columns: Column) -> Column:
@@ -110,7 +213,7 @@ def _row(source: str, **columns: Column) -> Column:
 
 
 def _from_json(source: str, found: Column) -> Column:
-    fields = ("sku", "gtin", "mpn", "name", "url", "price", "sale_price", "currency", "availability", "description", "brand", "images", "categories", "variants")
+    fields = ("sku", "gtin", "mpn", "name", "url", "price", "regular_price", "sale_price", "currency", "availability", "description", "brand", "images", "categories", "tags", "variants")
     return F.transform(found, lambda p: _row(source, **{c: p[c] for c in fields}))
 
 
@@ -148,27 +251,29 @@ def _html() -> Column:
     buys = F.exists(dom.NODES, lambda n: n["tag"].isin("button", "a", "input") & (F.concat_ws(" ", named(n), F.lower(dom.inner_text(n)), F.lower(dom.attr(n, "value"))).rlike(r"add-to-cart|add to cart|añadir al carrito|comprar|buy now")))
     price = F.regexp_extract(dom.inner_text(F.get(prices, 0)), r"([0-9]+(?:[.,][0-9]+)*)", 1)
     gallery = F.filter(dom.of_tag("img"), lambda n: named(n).rlike("gallery|product|zoom") | dom.attr(n, "data-zoom-image").isNotNull())
-    row = _row("html", name=F.get(dom.headings(1), 0), price=F.nullif(price, F.lit("")), images=F.array_distinct(F.filter(F.transform(gallery, lambda n: F.coalesce(dom.attr(n, "data-src"), dom.attr(n, "src"))), lambda s: s.isNotNull())))
+    row = _row("html", name=F.get(dom.headings(1), 0), price=F.nullif(price, F.lit("")), images=F.array_distinct(F.filter(F.transform(gallery, lambda n: F.coalesce(dom.attr(n, "data-src"), dom.attr(n, "src"))), lambda s: s.isNotNull())), variants=_html_variants())
     return F.when((root | ((F.size(prices) > 0) & buys)) & (F.size(dom.headings(1)) > 0), F.array(row)).otherwise(F.array().cast(row_type()))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """All product records of pages (site, place, url, html) in order, addresses resolved, with slugs."""
     own = dom.parsed(pages.select("site", "place", "url", "html"))
-    own = own.withColumn("_ld", json_products(dom.json_ld())).withColumn("_embedded", json_products(_embedded()))
+    own = own.withColumn("_ld", json_products(dom.json_ld())).withColumn("_embedded", json_products(_scripts(), _states_of))
+    own = own.withColumn("_magento", json_products(_mage_init())).withColumn("_inline", json_products(_scripts(), _inline_of))
     schema_item = lambda n, name: F.coalesce(dom.attr(n, name), F.lit("")).rlike(r"(?i)(^|[:/])product$")
     parts = {
         "jsonLd": _from_json("jsonLd", F.col("_ld")),
         "rdfa": _properties("property", F.filter(dom.NODES, lambda n: schema_item(n, "typeof"))),
         "embedded": _from_json("embedded", F.col("_embedded")),
+        "magento": _from_json("magento", F.col("_magento")),
         "microdata": _properties("itemprop", F.filter(dom.NODES, lambda n: schema_item(n, "itemtype"))),
         "openGraph": _open_graph(),
+        "inline": _from_json("inline", F.col("_inline")),
         "html": _html(),
     }
-    kinds = [k for k in EXTRACTORS if k in parts]
-    every = F.flatten(F.array(*[_numbered(parts[k], n) for n, k in enumerate(kinds)]))
+    every = F.flatten(F.array(*[_numbered(parts[k], n) for n, k in enumerate(EXTRACTORS)]))
     long = own.select("site", "place", "url", F.explode(every).alias("x"))
-    seq = (F.col("place") * 100_000 + F.col("x.n")).cast("long")
+    seq = F.col("place").cast("long") * len(EXTRACTORS) * MOST + F.col("x.n")
     c = {name: F.col(f"x.p.{name}") for name in (*C.FIELDS, *C.LISTS, "variants")}
     c["url"] = F.coalesce(U.resolved(c["url"], F.col("url")), F.col("url"))
     base = F.col("url")
@@ -178,7 +283,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def _numbered(found: Column, extractor: int) -> Column:
-    return F.transform(found.cast(row_type()), lambda p, i: F.struct((F.lit(extractor * 1000) + i).alias("n"), p.alias("p")))
+    return F.transform(found.cast(row_type()), lambda p, i: F.struct((F.lit(extractor * MOST) + i).cast("long").alias("n"), p.alias("p")))
 
 
 def source_counts(products: DataFrame, *by: str) -> DataFrame:

@@ -340,6 +340,55 @@ def test_product_extractors_and_merge(spark):
     assert roles == [(0, "featured", "a.png", "image/png"), (1, "gallery", "b.png", "image/png")]
 
 
+THEMED = """<h1>Cape</h1><script>window.theme = {"currency": "EUR"}; window.Shopify = {}; Shopify.product = {"@type": "Product", "name": "Cape", "sku": "C1"}; track();</script>
+<script type="application/json">{"id": 9, "title": "Cape", "vendor": "B", "product_type": "Coats", "tags": ["new"], "images": ["/c1.png", {"src": "/c2.png"}],
+ "variants": [{"id": 1, "sku": "C1-R", "price": 40, "option1": "Red", "available": false, "featured_image": {"src": "/r.png"}}, {"id": 2, "sku": "C1-B", "colour": "Blue"}]}</script>
+<script>var state = {"page": {"items": [{"title": "Scarf", "images": ["s.png"], "variants": [{"sku": "S1"}]}]}}; other(1);</script>
+<div data-mage-init='{"x": {"@type": "Product", "name": "Magic", "sku": "M1"}}'></div>
+<div class="product-detail"><span data-variant-id="v1" data-sku="C1-X" data-price="7" data-color="red"></span></div>"""
+
+
+def test_platform_payloads_and_variants_in_html(spark):
+    from siltstone.operators import products as P
+
+    found = P.extract(spark.createDataFrame([("x.com", 3, "https://x.com/p/cape", THEMED)], "site string, place int, url string, html string")).orderBy("seq").collect()
+    got = [(r.discovery_sources[0], r.name, r.sku) for r in found]
+    assert got == [("embedded", "Cape", "C1"), ("embedded", "Scarf", None), ("magento", "Magic", "M1"), ("inline", "Cape", None), ("html", "Cape", None)]
+    cape = found[3]
+    assert (cape.brand, cape.categories, cape.tags, cape.images) == ("B", ["Coats"], ["new"], ["https://x.com/c1.png", "https://x.com/c2.png"])
+    assert [(v.sku, v.price, v.stock_status, v.image, v.attributes) for v in cape.variants] == [("C1-R", "40", "outofstock", "/r.png", {"option1": "Red"}), ("C1-B", None, None, None, {"color": "Blue"})]
+    assert [(v.id, v.sku, v.price, v.attributes) for v in found[4].variants] == [("v1", "C1-X", "7", {"color": "red"})]
+    counts = P.source_counts(P.extract(spark.createDataFrame([("x.com", 3, "https://x.com/p/cape", THEMED)], "site string, place int, url string, html string"))).first()
+    assert (counts.inline, counts.magento, counts.embedded, counts.html) == (1, 1, 2, 1)
+
+
+def test_small_rules_of_catalogue_and_gates(spark):
+    row = lambda **c: spark.range(1).select(*[v.alias(k) for k, v in c.items()]).first()
+    got = row(a=rules.status_class(F.lit(503)), b=rules.status_class(F.lit(404)), c=rules.status_class(F.lit(301)), d=rules.status_class(F.lit(200)), e=rules.indexability(F.lit(404), F.lit(True)), f=rules.indexability(F.lit(200), F.lit(True)), g=rules.indexability(F.lit(200), F.lit(False)))
+    assert tuple(got) == ("server_error", "client_error", "redirect", "ok", "error", "noindex", "indexable")
+    got = row(a=rules.sales_readiness(F.lit(2), F.lit(1), F.lit(True)), b=rules.sales_readiness(F.lit(0), F.lit(0), F.lit(False)), c=rules.sales_readiness(F.lit(99), F.lit(1), F.lit(True)))
+    assert tuple(got) == (100 - 16 - 3 - 8, 78, 0)
+    assert row(a=C.category_difference(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y")))).a == ["x"]
+    groups = spark.createDataFrame([("s", "k", 5, 2), ("s", "k", 3, 4), ("s", "k", 4, 4), ("s", "j", 1, 0)], "site string, key string, seq long, n_variants int")
+    assert {tuple(r) for r in C.best_group(groups).collect()} == {("s", "k", 3, 4), ("s", "j", 1, 0)}
+    shown = spark.createDataFrame([("s", 1, None, "a", ["i"]), ("s", 2, "3", "b", ["i"]), ("s", 3, "4", "c", ["j"]), ("t", 4, None, None, None)], "site string, seq long, price string, name string, images array<string>")
+    assert {(r.site, r.seq) for r in C.best_sample(shown).collect()} == {("s", 2), ("t", 4)}
+    stock = spark.createDataFrame([("p", 2, True, {"c": "x"}), ("p", 1, False, {"c": "w"}), ("p", 3, True, {"c": "y"})], "product_sku string, pos int, in_stock boolean, attributes map<string,string>")
+    assert C.default_attributes(stock).first().attributes == {"c": "x"}
+    told = spark.createDataFrame([("s", 1, []), ("s", 2, []), ("t", 1, ["x"])], "site string, target_id int, issues array<string>")
+    want = spark.createDataFrame([("s", 2), ("t", 1), ("u", 1)], "site string, expected int")
+    assert {r.site: r.status for r in C.import_status(told, want).collect()} == {"s": "pass", "t": "needs_review", "u": "needs_review"}
+
+
+def test_variants_are_reconciled(spark):
+    kind = "struct<sku: string, regular_price: string, sale_price: string, stock_status: string, attributes: map<string,string>, image: string>"
+    one = ("A", "5", None, "instock", {"Color": "Rojo"}, "i.png")
+    rows = [(one, ("A", "5.00", None, "instock", {"color": "rojo"}, "j.png"), True), (one, ("B", "6", None, "outofstock", {"color": "azul"}, None), True), (one, None, True), (one, one, False)]
+    got = [r.issues for r in C.variant_reconciliation(spark.createDataFrame(rows, f"source {kind}, target {kind}, same_parent boolean")).collect()]
+    assert got[0] == [] and got[2] == got[3] == ["missing-variant"]
+    assert got[1] == ["variant-sku-mismatch", "variant-regular-price-mismatch", "variant-stock-status-mismatch", "variant-attributes-mismatch", "variant-image-missing"]
+
+
 def test_site_models(spark):
     from siltstone.operators import site
 
