@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as S
 from siltstone.functions import urls as U
 
-# Signs of platforms, frameworks, builders and plugins: kind, name, pattern, confidence.
+# Signs of platforms, frameworks, builders and plugins, our own: kind, name, pattern, confidence.
 SIGNS = (
     ("platform", "WordPress", r"/wp-content/|/wp-includes/|name=\"generator\" content=\"wordpress", 0.95), ("platform", "Shopify", r"cdn\.shopify\.com|shopify\.theme", 0.95), ("platform", "PrestaShop", r"prestashop|/modules/ps_", 0.9),
     ("platform", "Magento", r"mage/cookies|magento|/static/version", 0.85), ("platform", "Wix", r"wixstatic\.com|wix\.com", 0.9), ("platform", "Squarespace", r"squarespace\.com|static1\.squarespace", 0.9), ("platform", "Webflow", r"webflow\.(com|io)|data-wf-page", 0.9),

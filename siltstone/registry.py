@@ -25,5 +25,5 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from siltstone.plans import commerce, events, frontier, pages, relational, urls  # noqa: F401
+    from siltstone.plans import commerce, derived, events, frontier, pages, relational, urls  # noqa: F401
     from siltstone.streaming import plans  # noqa: F401
