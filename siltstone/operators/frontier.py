@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.checkpoints import cut
 from siltstone.functions import urls as U
+from siltstone.operators.ranks import numbered
 
 PATTERN_CAP = 25
 
@@ -30,8 +31,8 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 def numbered_slugs(rows: DataFrame, slug: str, order: str, out: str = "numbered") -> DataFrame:
     """slug, slug-2, slug-3 ... in order."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(order))
-    return rows.withColumn(out, F.when(n == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string"))))
+    n = F.col("_n")
+    return numbered(rows, [order], [slug], "_n").withColumn(out, F.when(n == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string")))).drop("_n")
 
 
 def content_fingerprint(title: Column, canonical: Column, links: Column) -> Column:
@@ -57,6 +58,9 @@ def admission(candidates: DataFrame, allowed: list[str], accepted: DataFrame | N
     Reasons in order: invalid, asset, duplicate, equivalent, pattern_cap,
     domain, robots.  Only admitted links count as seen, and only they count
     towards the cap; links rejected by domain or robots hide no later ones.
+    ``seq`` tells candidates apart.  No class or pattern is gathered: its first
+    members and its full place are aggregated and joined back, and of a pattern
+    at most ``cap`` rows are ranked.
     """
     own = candidates.withColumn("normalized", U.normalized("url"))
     own = own.withColumn("canonical", U.canonical("normalized")).withColumn("equivalence", U.equivalence_key("normalized")).withColumn("pattern", U.pattern_key("normalized"))
@@ -78,19 +82,28 @@ def admission(candidates: DataFrame, allowed: list[str], accepted: DataFrame | N
     # A class of equivalent links tries its members in order until one is admitted; a try fails only where its
     # pattern is full by then.  Tries and failures only grow from round to round, so this ends; most often at once.
     own = own.withColumn("eligible", eligible).withColumn("failed", F.lit(False))
+    own = cut(own.withColumn("room", cap - F.coalesce("old_n", F.lit(0))))  # addresses are read once
     while True:
-        first = F.min(F.when(F.col("eligible") & ~F.col("failed"), F.col("seq"))).over(Window.partitionBy("equivalence"))
-        tried = own.withColumn("tries", F.coalesce(first == F.col("seq"), F.lit(False)))
-        order = F.coalesce("old_n", F.lit(0)) + F.sum(F.when(F.col("tries") | F.col("failed"), 1).otherwise(0)).over(Window.partitionBy("pattern").orderBy("seq"))
-        own = cut(tried.withColumn("admitted", F.col("tries") & (order <= cap)).withColumn("more", F.col("tries") & (order > cap)))
+        first = own.where("eligible and not failed").groupBy("equivalence").agg(F.min("seq").alias("first"))
+        tried = own.join(first, "equivalence", "left").withColumn("tries", F.coalesce(F.col("first") == F.col("seq"), F.lit(False))).drop("first")
+        # the place at which a pattern is full: its room-th try, failed ones counted
+        ranked = tried.where("tries or failed").select("pattern", "seq", "room").withColumn("n", F.row_number().over(Window.partitionBy("pattern").orderBy("seq")))
+        full = ranked.where((F.col("n") <= cap) & (F.col("n") == F.col("room"))).select("pattern", F.col("seq").alias("full_at"))
+        within = (F.col("room") > 0) & F.coalesce(F.col("seq") <= F.col("full_at"), F.lit(True))
+        own = cut(tried.join(full, "pattern", "left").withColumn("admitted", F.col("tries") & within).withColumn("more", F.col("tries") & ~within).drop("full_at"))
         if not own.where("more").limit(1).count():
             break
         # what follows in the same class with the same pattern fails as well
-        full_from = F.min(F.when(F.col("more"), F.col("seq"))).over(Window.partitionBy("equivalence", "pattern"))
-        own = own.withColumn("failed", F.col("failed") | F.coalesce(F.col("eligible") & (full_from <= F.col("seq")), F.lit(False))).drop("tries", "admitted", "more")
-    before = F.coalesce("old_n", F.lit(0)) + F.sum(F.when(F.col("admitted"), 1).otherwise(0)).over(Window.partitionBy("pattern").orderBy("seq")) - F.when(F.col("admitted"), 1).otherwise(0)
-    own = own.withColumn("full_before", before >= cap)
-    seen = lambda key: F.coalesce(F.min(F.when(F.col("admitted"), F.col("seq"))).over(Window.partitionBy(key)) < F.col("seq"), F.lit(False))
+        full_from = own.where("more").groupBy("equivalence", "pattern").agg(F.min("seq").alias("full_from"))
+        own = own.drop("tries", "admitted", "more").join(full_from, ["equivalence", "pattern"], "left")
+        own = own.withColumn("failed", F.col("failed") | F.coalesce(F.col("eligible") & (F.col("full_from") <= F.col("seq")), F.lit(False))).drop("full_from")
+    taken = own.where("admitted")
+    last = taken.groupBy("pattern").agg(F.count(F.lit(1)).alias("n_taken"), F.max("seq").alias("last"))
+    own = own.join(last, "pattern", "left")
+    for key in ("canonical", "equivalence"):
+        own = own.join(taken.groupBy(key).agg(F.min("seq").alias(f"seen_{key}")), key, "left")
+    own = own.withColumn("full_before", (F.col("room") <= 0) | F.coalesce((F.col("n_taken") >= F.col("room")) & (F.col("last") < F.col("seq")), F.lit(False)))
+    seen = lambda key: F.coalesce(F.col(f"seen_{key}") < F.col("seq"), F.lit(False))
     reason = (
         F.when(F.col("alone").isNotNull(), F.col("alone"))
         .when(F.col("old_canonical").isNotNull() | seen("canonical"), F.lit("duplicate"))
@@ -98,7 +111,7 @@ def admission(candidates: DataFrame, allowed: list[str], accepted: DataFrame | N
         .when(F.col("full_before"), F.lit("pattern_cap"))
         .otherwise(F.col("late"))
     )
-    return own.withColumn("reject_reason", reason).drop("alone", "late", "eligible", "failed", "tries", "admitted", "more", "full_before", "old_canonical", "old_equivalence", "old_n")
+    return own.withColumn("reject_reason", reason).drop("alone", "late", "eligible", "failed", "tries", "admitted", "more", "full_before", "room", "n_taken", "last", "seen_canonical", "seen_equivalence", "old_canonical", "old_equivalence", "old_n")
 
 
 def prioritised(tasks: DataFrame, order: str = "seq") -> DataFrame:
@@ -132,18 +145,18 @@ def breadth_first(start: DataFrame, edges: DataFrame, max_pages: int, max_depth:
     """Pages reached from ``start`` (url) over ``edges`` (source, place, target), by level, with depth and order of discovery.
 
     Each level is one join and one anti-join; it ends when nothing new is
-    found or ``max_pages`` are.  The lineage is cut at every level.
+    found or ``max_pages`` are.  Levels are numbered range by range, and the
+    lineage is cut at each.
     """
-    level = cut(start.select("url", F.lit(0).alias("depth"), F.row_number().over(Window.orderBy("url")).cast("long").alias("found")))
+    level = cut(numbered(start.select("url"), ["url"], out="found").select("url", F.lit(0).alias("depth"), "found"))
     every, total = level, level.count()
     for depth in range(1, max_depth + 1):
         if total >= max_pages:
             break
         steps = level.join(edges, F.col("url") == F.col("source")).select(F.col("target").alias("url"), F.struct("found", "place").alias("by"))
         new = steps.groupBy("url").agg(F.min("by").alias("by")).join(every.select("url"), "url", "left_anti")
-        order = Window.orderBy("by")
         # a level that would pass the limit is cut in order of discovery
-        level = cut(new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= max_pages - total).select("url", F.lit(depth).alias("depth"), (F.lit(total) + F.col("n")).cast("long").alias("found")))
+        level = cut(numbered(new, ["by"]).where(F.col("n") <= max_pages - total).select("url", F.lit(depth).alias("depth"), (F.lit(total) + F.col("n")).cast("long").alias("found")))
         size = level.count()
         if not size:
             break

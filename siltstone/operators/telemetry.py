@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COUNTERS = ("queue_size", "knowledge_size", "discovered", "processed")
+#: Stretches of a trailing window by which events are spread.
+STRETCH = 64
 
 
 def trailing_count(events: DataFrame, key: str, ts: str, seconds: int, out: str = "n") -> DataFrame:
-    """How many events of a key lie in the time up to each event."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn(out, F.count(F.lit(1)).over(w))
+    """How many events of a key lie in the time up to each event.
+
+    A key's events are spread by stretches of time, and those in the last
+    ``seconds`` of a stretch are copied to the next one, so a hot key does not
+    lie in one task.
+    """
+    span = seconds * 1_000_000
+    at = F.unix_micros(ts)
+    stretch = lambda t: F.floor(t / F.lit(STRETCH * span))
+    spread = events.withColumn("_stretch", F.explode(F.array_distinct(F.array(stretch(at), stretch(at + span)))))
+    w = Window.partitionBy(key, "_stretch").orderBy(at).rangeBetween(-span, 0)
+    return spread.withColumn(out, F.count(F.lit(1)).over(w)).where(F.col("_stretch").eqNullSafe(stretch(at))).drop("_stretch")
 
 
 def trailing_mean(samples: DataFrame, key: str, at: str, value: str, span: int, out: str = "mean") -> DataFrame:
@@ -92,6 +105,28 @@ def stability(samples: DataFrame, key: str, order: str, tolerance: float = 0.05)
     return own
 
 
+def folded(rows: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable[[object, dict], tuple[object, object]], out: str, kind: pa.DataType, name: str) -> DataFrame:
+    """key, order and what ``step`` (state, row) yields for each row of a key, taken in order.
+
+    Keys are spread by hash and sorted within their partitions, where Spark
+    spills; a task holds one batch of rows and the state of the key at hand.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, here, state = False, None, None
+        for batch in batches:
+            told = []
+            for row in batch.to_pylist():
+                if not begun or row[key] != here:
+                    begun, here, state = True, row[key], start()
+                state, value = step(state, row)
+                told.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column(order), pa.array(told, kind)], [key, order, out])
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, {out} {name}")
+
+
 def verdicts(samples: DataFrame, key: str, order: str, required: int = 3) -> DataFrame:
     """The decision after each sample: continue, pause_discovery, complete or exhausted.
 
@@ -102,22 +137,18 @@ def verdicts(samples: DataFrame, key: str, order: str, required: int = 3) -> Dat
     """
     own = stability(samples, key, order)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, paused, since, out = pdf.sort_values(order), False, 0, []
-        for i, row in enumerate(pdf.itertuples(index=False)):
-            since = since + 1 if paused and row.stagnant else 0
-            if i and row.queue_size == 0 and row.active_workers == 0:
-                out.append("complete")
-                continue
-            if paused and since >= 3 * required:
-                out.append("exhausted")
-                continue
-            paused = row.stable_windows >= required or (paused and row.stagnant)
-            out.append("pause_discovery" if paused else "continue")
-        return pdf[[key, order]].assign(verdict=out)
+    def step(state: tuple[int, bool, int], row: dict) -> tuple[tuple[int, bool, int], str]:
+        seen, paused, since = state
+        since = since + 1 if paused and row["stagnant"] else 0
+        if seen and row["queue_size"] == 0 and row["active_workers"] == 0:
+            return (seen + 1, paused, since), "complete"
+        if paused and since >= 3 * required:
+            return (seen + 1, paused, since), "exhausted"
+        paused = row["stable_windows"] >= required or (paused and row["stagnant"])
+        return (seen + 1, paused, since), "pause_discovery" if paused else "continue"
 
-    kinds = dict(own.dtypes)
-    return own.groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, verdict string")
+    needed = list(dict.fromkeys((key, order, "queue_size", "active_workers", "stagnant", "stable_windows")))
+    return folded(own.select(*needed), key, order, lambda: (0, False, 0), step, "verdict", pa.string(), "string")
 
 
 def cooldowns(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 30, rest_s: float = 45.0) -> DataFrame:
@@ -126,17 +157,13 @@ def cooldowns(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: i
     The events of one key are folded in order of time; only the start of the
     last rest is held.
     """
-    counted = trailing_count(events.select(key, ts), key, ts, window_s).where(F.col("n") >= limit).select(key, F.unix_micros(ts).alias("at")).distinct()
+    counted = trailing_count(events.select(key, ts), key, ts, window_s).where(F.col("n") >= limit).select(key, F.unix_micros(ts).alias("start_us")).distinct()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, until = [], -1.0
-        for at in sorted(pdf["at"]):
-            if at >= until:
-                out.append(at)
-                until = at + rest_s * 1e6
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(out), "start_us": out})
+    def step(until: float, row: dict) -> tuple[float, bool]:
+        at = row["start_us"]
+        return (at + rest_s * 1e6, True) if at >= until else (until, False)
 
-    return counted.groupBy(key).applyInPandas(fold, f"`{key}` {dict(events.dtypes)[key]}, start_us long")
+    return folded(counted, key, "start_us", lambda: float("-inf"), step, "starts", pa.bool_(), "boolean").where("starts").drop("starts")
 
 
 def concurrency(outcomes: DataFrame, key: str, order: str, base: int, adaptive: bool = True) -> DataFrame:
@@ -145,20 +172,17 @@ def concurrency(outcomes: DataFrame, key: str, order: str, base: int, adaptive:
     The outcomes of one run are folded in order.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, workers, successes, out = pdf.sort_values(order), base, 0, []
-        for row in pdf.itertuples(index=False):
-            if row.outcome == "limited":
-                workers, successes = max(1, workers // 2 if adaptive else workers - 1), 0
-            elif row.outcome == "ok":
-                successes += 1
-                if adaptive and successes >= 3 and not row.in_cooldown:
-                    workers = min(base, workers + 1)
-            out.append(workers)
-        return pdf[[key, order]].assign(workers=out)
-
-    kinds = dict(outcomes.dtypes)
-    return outcomes.groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, workers int")
+    def step(state: tuple[int, int], row: dict) -> tuple[tuple[int, int], int]:
+        workers, successes = state
+        if row["outcome"] == "limited":
+            workers, successes = max(1, workers // 2 if adaptive else workers - 1), 0
+        elif row["outcome"] == "ok":
+            successes += 1
+            if adaptive and successes >= 3 and not row["in_cooldown"]:
+                workers = min(base, workers + 1)
+        return (workers, successes), workers
+
+    return folded(outcomes.select(key, order, "outcome", "in_cooldown"), key, order, lambda: (base, 0), step, "workers", pa.int32(), "int")
 
 
 def due_retries(pending: DataFrame, now_ms: int) -> DataFrame:

@@ -32,6 +32,28 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.parquet(f"{at}/out")
 
 
+def sessions(spark: SparkSession, folder: str, gap: str) -> DataFrame:
+    """Sessions of users (w, user_id, n) in append mode: each is told once, when the watermark has passed its end.
+
+    After the input has been read, the same query goes on with one event of
+    no user far ahead, which moves the watermark past all others.  That
+    event's own session stays open and is never told.
+    """
+    at = f"{shared_folder(spark)}/sessions-{uuid.uuid4().hex}"
+    events = table(spark, folder, "events").select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    schema = events.schema
+    events.limit(0).write.parquet(f"{at}/end")  # makes the folder that the stream watches
+    files = spark.readStream.schema(table(spark, folder, "events").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/events.parquet")
+    every = files.select(F.col("ts").cast("timestamp").alias("ts"), "user_id").union(spark.readStream.schema(schema).parquet(f"{at}/end"))
+    counted = every.withWatermark("ts", "10 minutes").groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    run = lambda: counted.writeStream.format("parquet").outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run()
+    last = spark.range(1).select(F.lit("9000-01-01").cast("timestamp").alias("ts"), F.lit(None).cast(schema["user_id"].dataType).alias("user_id"))
+    last.write.mode("append").parquet(f"{at}/end")
+    run()
+    return spark.read.schema(counted.schema).parquet(f"{at}/out")
+
+
 def latest(results: DataFrame, *keys: str) -> DataFrame:
     """Of updates, the last of each key."""
     others = [c for c in results.columns if c not in (*keys, "batch")]
@@ -72,6 +94,4 @@ def stream_hourly_counts(spark, folder):
  FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, count(*) AS n FROM g GROUP BY user_id, s""")
 def stream_sessions(spark, folder):
     # a session ends after half an hour without an event; an addition to the batch queries
-    own = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = own.groupBy(F.session_window("ts", "30 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("user_id", F.unix_timestamp("w.start").alias("start"), "n")
+    return sessions(spark, folder, "30 minutes").select("user_id", F.unix_timestamp("w.start").alias("start"), "n")

@@ -412,3 +412,26 @@ def test_site_models(spark):
     assert sorted((r.target, r.type) for r in site.edges(nodes).collect()) == [("a", "media"), ("f", "form")]
     declared = spark.createDataFrame([("s", "a"), ("s", "b")], "site string, slug string")
     assert site.capture_integrity(declared, declared.where("slug = 'a'").withColumn("html", F.lit("<p>"))).first().complete is False
+
+
+def test_numbers_of_a_hot_key_over_many_ranges(spark):
+    from siltstone.operators.ranks import numbered
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 < 2, F.lit("hot")).when(F.col("id") % 9 == 2, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), ((F.col("id") * 7919) % 3001).alias("at"), F.lit(1).alias("n_"))
+    got = sorted((r.k or "", r.at, r.n) for r in numbered(rows, ["at"], ["k"]).collect())
+    want, seen = [], {}
+    for k, at in sorted((r.k or "", r.at) for r in rows.collect()):
+        seen[k] = seen.get(k, 0) + 1
+        want.append((k, at, seen[k]))
+    assert got == want and seen["hot"] == 2000
+    assert [r.n for r in numbered(rows, ["at"]).orderBy("at").collect()] == list(range(1, 3001))
+    assert numbered(rows.limit(0), ["at"], ["k"]).count() == 0
+
+
+def test_trailing_counts_of_a_hot_key_over_stretches(spark):
+    rows = spark.range(2000).select(F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.lit("cold")).alias("k"), F.timestamp_micros(((F.col("id") * 7919) % 9001) * 500_000).alias("ts"), F.col("id"))
+    own = telemetry.trailing_count(rows.union(spark.createDataFrame([("hot", None, -1)], rows.schema)), "k", "ts", 7)
+    got = {r.id: r.n for r in own.collect()}
+    at = {r.id: (r.k, r.us) for r in rows.select("id", "k", F.unix_micros("ts").alias("us")).collect()}
+    want = {i: sum(k == k2 and us - 7_000_000 <= us2 <= us for k2, us2 in at.values()) for i, (k, us) in at.items()}
+    assert got == want | {-1: 1}
