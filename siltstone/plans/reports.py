@@ -17,17 +17,17 @@ SELECT i.url, status, title, described AS description_length, CASE WHEN page_id
  (page_id % 6 = 0)::INT AS missing_alt, words AS word_count, CASE WHEN status >= 400 THEN 'error' WHEN page_id % 11 = 0 THEN 'noindex' ELSE 'indexable' END AS indexability, coalesce(issues, '') AS issues FROM i LEFT JOIN j ON i.url = j.url""")
 def page_table(spark, folder):
     own = O.page_table(rich_pages(spark, folder))
-    return own.select("url", "status", "title", F.length("meta_description").alias("description_length"), "canonical", "robots", "missing_alt", "word_count", "indexability", "issues")
+    return own.select("url", "status", "title", F.length("meta_description").cast("long").alias("description_length"), "canonical", "robots", "missing_alt", F.col("word_count").cast("long").alias("word_count"), "indexability", "issues")
 
 
 @query(RICH + "SELECT url, coalesce(title, url) AS name, status, array_to_string(codes[:3], ', ') AS first, len(codes) AS n_issues FROM i")
 def report_rows(spark, folder):
-    return O.report_rows(judged(spark, folder))
+    return O.report_rows(judged(spark, folder)).withColumn("n_issues", F.col("n_issues").cast("long"))
 
 
 @query(RICH + """SELECT host, n AS place, url, code, severity FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY severity <> 'critical', url, place) AS n FROM s WHERE severity <> 'info') WHERE n <= 3""")
 def site_findings(spark, folder):
-    return O.findings(judged(spark, folder), "host")
+    return O.findings(judged(spark, folder), "host").withColumn("place", F.col("place").cast("long"))
 
 
 @query(SHOP + """, v AS (SELECT site, k, row, type, sku, parent, label, row_number() OVER () AS z FROM (
@@ -55,7 +55,7 @@ LINK = """<a\\b[^>]*\\bhref="([^"]*)"[^>]*>"""
 def editable_fields(spark, folder):
     own = table(spark, folder, "pages").select("page_id", O.editable_fields("html").alias("f"))
     of = lambda kind: F.filter("f", lambda x: x["kind"] == kind)
-    return own.select("page_id", F.size(of("link")).alias("links"), F.size(of("form")).alias("forms"), F.coalesce(F.get(of("link"), 0)["value"], F.lit("")).alias("first_link"))
+    return own.select("page_id", F.size(of("link")).cast("long").alias("links"), F.size(of("form")).cast("long").alias("forms"), F.coalesce(F.get(of("link"), 0)["value"], F.lit("")).alias("first_link"))
 
 
 @query("""WITH b AS (SELECT c_nationkey, max(c_custkey) AS k FROM customer GROUP BY c_nationkey) SELECT s_suppkey, k AS c_custkey FROM supplier JOIN b ON s_nationkey = c_nationkey""")
