@@ -73,6 +73,24 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ranked_search import search
+
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.whitening import GRID, whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), grid=GRID)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -84,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_whitening": op13_whitening,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
