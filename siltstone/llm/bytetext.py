@@ -91,14 +91,14 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``; words do not cross rows."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word ``[^\\x20\\x09-\\x0D]+``, or of each run of bytes not in ``between``; words do not cross rows."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
     inside = np.zeros(n + 2, dtype=bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~between[data]
     begin = inside[1:] & ~inside[:-1]
     stop = inside[:-1] & ~inside[1:]
     cut = offsets[(offsets > 0) & (offsets < n)]
