@@ -40,4 +40,4 @@ m AS (SELECT r, doc_id, 50 + (50 * len(w) * docs) // terms AS m FROM d, s WHERE
 x AS (SELECT item_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM i JOIN p USING (t) JOIN f USING (t) JOIN m USING (r) GROUP BY item_id, r)
 SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM x JOIN m USING (r) WHERE score > 0 QUALIFY rank <= 50"""
 
-ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op12_ranked_search": OP12}
+ORACLES: dict[str, str] = {"op2_suffix_dedup": OP2, "op7_minhash": OP7, "op11_warc": OP11, "op12_ranked_search": OP12}

@@ -102,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_packing": op9_packing,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_warc": op11_warc,
     "op12_ranked_search": op12_ranked_search,
     "op13_whitening": op13_whitening,
 }
