@@ -1,13 +1,17 @@
 """Pages as flat node lists.
 
-One Arrow pass reads each page once and gives an array of nodes in document
-order: id, parent, depth, tag, attributes, own text.  Everything else is
-column expressions over that array, so nothing is shuffled and no tree is
-built twice.
+One Arrow pass reads each page once and numbers its elements: ``id`` in
+document order, ``last`` that of the last element inside, so that one element is inside another
+if its id lies in (id, last] of that; ``first`` and ``stop`` bound its texts in the page's list
+``node_texts``.  Everything else is column expressions over these, so nothing is shuffled and no
+tree is built twice.  ``node_rows`` gives the same numbering as rows.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -19,60 +23,149 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 # Elements that an opening tag of a kind ends.
 ENDED = {"li": ("li",), "p": ("p",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd")}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-NODE = "struct<id: int, parent: int, depth: int, tag: string, attrs: map<string, string>, text: string>"
+NODE = "struct<id: int, parent: int, last: int, depth: int, first: int, stop: int, tag: string, attrs: map<string, string>, text: string>"
+#: Places among siblings as letters: 0 is "1", from 34 on "z".
+PLACES = "123456789abcdefghijklmnopqrstuvwxyz"
 
 
-class _Reader(HTMLParser):
-    """Collects (parent, depth, tag, attributes, texts) of each element; the root is node 0."""
+class _Element:
+    __slots__ = ("attrs", "children", "depth", "first", "last", "nth", "parent", "path", "stop", "tag", "texts")
+
+    def __init__(self, parent: int, depth: int, tag: str, attrs: list[tuple[str, str]], first: int, nth: int, path: str) -> None:
+        self.parent, self.depth, self.tag, self.attrs, self.first, self.nth, self.path = parent, depth, tag, attrs, first, nth, path
+        self.children, self.texts, self.last, self.stop = 0, [], 0, 0
+
+
+class Reader(HTMLParser):
+    """Collects the elements of a page and its texts in their order; the root is element 0."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes: list[list] = [[-1, 0, "#root", [], []]]
+        self.elements = [_Element(-1, 0, "#root", [], 0, 0, "")]
+        self.texts: list[str] = []
         self.open = [0]
+        self.often: Counter[str] = Counter()
+
+    def _end(self) -> None:
+        own = self.elements[self.open.pop()]
+        own.last, own.stop = len(self.elements) - 1, len(self.texts)
+        self.often[own.tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ended = ENDED.get(tag) or (("p",) if tag in ENDS_P else ())
-        if ended and self.nodes[self.open[-1]][2] in ended:
-            self.open.pop()
-        self.nodes.append([self.open[-1], len(self.open), tag, list({k: v or "" for k, v in reversed(attrs)}.items()), []])
-        if tag not in VOID:
-            self.open.append(len(self.nodes) - 1)
+        if ended and self.elements[self.open[-1]].tag in ended:
+            self._end()
+        above = self.elements[self.open[-1]]
+        path = above.path + PLACES[min(above.children, len(PLACES) - 1)]
+        self.elements.append(_Element(self.open[-1], len(self.open), tag, list({k: v or "" for k, v in reversed(attrs)}.items()), len(self.texts), above.children, path))
+        above.children += 1
+        self.open.append(len(self.elements) - 1)
+        self.often[tag] += 1
+        if tag in VOID:
+            self._end()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.pop()
+            self._end()
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.nodes[self.open[i]][2] == tag:
-                del self.open[i:]
-                return
+        if self.often[tag] > 0:  # else there is nothing to search for
+            while self.elements[self.open[-1]].tag != tag:
+                self._end()
+            self._end()
 
     def handle_data(self, data: str) -> None:
-        self.nodes[self.open[-1]][4].append(data)
+        self.elements[self.open[-1]].texts.append(len(self.texts))
+        self.texts.append(data)
 
+    def own_text(self, element: _Element) -> str:
+        return "".join(self.texts[i] for i in element.texts)
 
-def nodes_of(html: str | None) -> list[dict]:
-    reader = _Reader()
+
+def read(html: str | None) -> Reader:
+    reader = Reader()
     reader.feed(html or "")
     reader.close()
-    return [{"id": i, "parent": p, "depth": d, "tag": t, "attrs": a, "text": "".join(x)} for i, (p, d, t, a, x) in enumerate(reader.nodes)]
+    while reader.open:
+        reader._end()
+    return reader
+
+
+def nodes_of(html: str | None) -> list[dict]:
+    reader = read(html)
+    return _listed(reader)
+
+
+def _listed(reader: Reader) -> list[dict]:
+    return [
+        {"id": i, "parent": e.parent, "last": e.last, "depth": e.depth, "first": e.first, "stop": e.stop, "tag": e.tag, "attrs": e.attrs, "text": reader.own_text(e)}
+        for i, e in enumerate(reader.elements)
+    ]
 
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``nodes`` in place of the html column; a null page has only its root."""
+    """``pages`` with ``nodes`` and ``node_texts`` in place of the html column; a null page has only its root."""
     keep = [c for c in pages.columns if c != html]
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+    whole = [(name, pa.int32()) for name in ("id", "parent", "last", "depth", "first", "stop")]
+    kind = pa.list_(pa.struct([*whole, ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):  # a page at a time: node lists are wide
-                own = pa.array([nodes_of(batch.column(len(keep))[r].as_py())], kind)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(r, 1) for i in range(len(keep))), own], [*keep, "nodes"])
+                reader = read(batch.column(len(keep))[r].as_py())
+                own = [pa.array([_listed(reader)], kind), pa.array([reader.texts], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(r, 1) for i in range(len(keep))), *own], [*keep, "nodes", "node_texts"])
 
     kinds = dict(pages.dtypes)
-    return pages.select(*keep, F.col(html).cast("string")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"nodes array<{NODE}>"]))
+    return pages.select(*keep, F.col(html).cast("string")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"nodes array<{NODE}>", "node_texts array<string>"]))
+
+
+LEAD, LETTERS = 240, 80
+_LETTER = re.compile("[A-Za-z0-9]")
+
+
+def _lead(texts: list[str], first: int, stop: int) -> str:
+    """The text of an element, white space collapsed; of a long one as much as has LEAD characters and LETTERS letters or digits."""
+    most = 16
+    while True:
+        text = re.sub(r"\s+", " ", "".join(texts[first : min(stop, first + most)])).strip()
+        if first + most >= stop or (len(text) > LEAD and len(_LETTER.findall(text[:-1], 0)) >= LETTERS):
+            return text
+        most *= 4
+
+
+def node_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+    """A row for each element of each page (not its root), with the other columns of ``pages``.
+
+    ``node``, ``parent``, ``last`` and ``depth`` number it; ``nth`` is its place among the elements of
+    its parent and ``path`` those places from the root on, a letter of PLACES each; ``lead`` is the start of
+    its text; ``sources`` are the addresses of the images inside.
+    """
+    keep = [c for c in pages.columns if c != html]
+    kinds = dict(pages.dtypes)
+    names = ["node", "parent", "last", "depth", "nth", "children", "path", "parent_tag", "tag", "attrs", "lead", "sources"]
+    types = [pa.int32()] * 6 + [pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.list_(pa.string())]
+    told = "node int, parent int, last int, depth int, nth int, children int, path string, parent_tag string, tag string, attrs map<string, string>, lead string, sources array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                reader = read(batch.column(len(keep))[r].as_py())
+                images = [(i, dict(e.attrs)["src"]) for i, e in enumerate(reader.elements) if e.tag == "img" and "src" in dict(e.attrs)]
+                at, sources = [i for i, _ in images], [s for _, s in images]
+                rows = [
+                    (i, e.parent, e.last, e.depth, e.nth, e.children, e.path, reader.elements[e.parent].tag, e.tag, e.attrs, _lead(reader.texts, e.first, e.stop), sources[bisect_right(at, i) : bisect_right(at, e.last)])
+                    for i, e in enumerate(reader.elements)
+                    if i
+                ]
+                for a in range(0, len(rows), 4096):
+                    part = rows[a : a + 4096]
+                    own = [pa.array(x, t) for x, t in zip(zip(*part, strict=True), types, strict=True)]
+                    same = pa.array([r] * len(part))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(i).take(same) for i in range(len(keep))), *own], [*keep, *names])
+
+    return pages.select(*keep, F.col(html).cast("string")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), told]))
 
 
 NODES = "nodes"
@@ -88,16 +181,20 @@ def attr(node: Column, name: str) -> Column:
 
 
 def inner_text(node: Column) -> Column:
-    """Text of a node and all below it, white space collapsed.  Descendants follow their node until one is not deeper."""
-    end = F.array_min(F.transform(F.filter(NODES, lambda m: (m["id"] > node["id"]) & (m["depth"] <= node["depth"])), lambda m: m["id"]))
-    inside = F.filter(NODES, lambda m: (m["id"] >= node["id"]) & (end.isNull() | (m["id"] < end)))
-    return F.nullif(F.trim(F.regexp_replace(F.array_join(F.transform(inside, lambda m: m["text"]), " "), r"(?U)\s+", " ")), F.lit(""))
+    """Text of a node and all below it in its order, white space collapsed."""
+    own = F.slice("node_texts", node["first"] + 1, node["stop"] - node["first"])
+    return F.nullif(F.trim(F.regexp_replace(F.array_join(own, ""), r"(?U)\s+", " ")), F.lit(""))
 
 
 def below(node: Column, *tags: str) -> Column:
     """Descendants of a node with one of the tags, or any."""
-    end = F.array_min(F.transform(F.filter(NODES, lambda m: (m["id"] > node["id"]) & (m["depth"] <= node["depth"])), lambda m: m["id"]))
-    return F.filter(NODES, lambda m: (m["id"] > node["id"]) & (end.isNull() | (m["id"] < end)) & (m["tag"].isin(*tags) if tags else F.lit(True)))
+    every = F.slice(NODES, node["id"] + 2, node["last"] - node["id"])
+    return F.filter(every, lambda m: m["tag"].isin(*tags)) if tags else every
+
+
+def inside(node: Column, *tags: str) -> Column:
+    """Whether a node has an ancestor with one of the tags."""
+    return F.exists(of_tag(*tags), lambda m: (m["id"] < node["id"]) & (node["id"] <= m["last"]))
 
 
 def meta(*names: str) -> Column:
@@ -167,7 +264,6 @@ def forms() -> Column:
 
 def menus(limit: int = 80) -> Column:
     """Links of each navigation element, and where it stands."""
-    inside = lambda n, *tags: F.exists(F.filter(NODES, lambda m: m["tag"].isin(*tags) & (m["id"] < n["id"])), lambda m: F.exists(below(m), lambda x: x["id"] == n["id"]))
     place = lambda n: F.when(inside(n, "header"), F.lit("header")).when(inside(n, "footer"), F.lit("footer")).when(inside(n, "aside"), F.lit("sidebar")).otherwise(F.lit("main"))
     items = lambda n: F.slice(F.transform(F.filter(below(n, "a"), lambda m: attr(m, "href").isNotNull()), lambda m: F.struct(attr(m, "href").alias("href"), inner_text(m).alias("text"))), 1, limit)
     return F.transform(of_tag("nav"), lambda n: F.struct(place(n).alias("place"), items(n).alias("items")))
@@ -190,10 +286,55 @@ def part(tag: str) -> Column:
     )
 
 
+def header_facets() -> Column:
+    """Facets of a page's header: what it offers, its calls to action, whether it sticks, its heights, the tags of its children; null without one."""
+    said = lambda n: F.coalesce(attr(n, "class"), F.lit(""))
+    own = F.get(F.filter(NODES, lambda n: (n["tag"] == "header") | (n["attrs"]["role"] == "banner") | _has_class(n, "site-header") | (n["attrs"]["id"] == "header")), 0)
+    text, classes = F.lower(F.concat_ws(" ", inner_text(own), said(own))), F.lower(said(own))
+    search = F.exists(below(own), lambda m: ((m["tag"] == "input") & (m["attrs"]["type"] == "search")) | _has_class(m, "search") | (m["attrs"]["role"] == "search"))
+    calls = F.filter(F.transform(below(own, "a", "button"), inner_text), lambda t: t.isNotNull())
+    height = F.nullif(F.regexp_extract(F.coalesce(own["attrs"]["style"], F.lit("")), r"(?i)height\s*:\s*([^;]+)", 1), F.lit(""))
+    return F.when(
+        own.isNotNull(),
+        F.struct(
+            search.alias("search"),
+            text.rlike("cart|basket|bag|carrito|cesta").alias("cart"),
+            text.rlike("wishlist|favorit").alias("wishlist"),
+            text.rlike("login|account|my account|cuenta|acceder").alias("login"),
+            F.slice(F.array_distinct(calls), 1, 10).alias("calls"),
+            classes.rlike("sticky|fixed").alias("sticky"),
+            classes.rlike("transparent").alias("transparent"),
+            F.array_distinct(F.array_compact(F.array(own["attrs"]["height"], height))).alias("heights"),
+            F.array_distinct(F.transform(F.filter(below(own), lambda m: m["parent"] == own["id"]), lambda m: m["tag"])).alias("layout"),
+        ),
+    )
+
+
+def footer_facets() -> Column:
+    """Facets of a page's footer: columns, copyright line, social links; null without one."""
+    own = F.get(F.filter(NODES, lambda n: (n["tag"] == "footer") | (n["attrs"]["role"] == "contentinfo") | _has_class(n, "site-footer") | (n["attrs"]["id"] == "footer")), 0)
+    column = lambda m: _has_class(m, "column", "widget") | F.contains(F.coalesce(attr(m, "class"), F.lit("")), F.lit("col-"))
+    lines = F.filter(F.transform(below(own), inner_text), lambda t: t.rlike("(?i)©|copyright"))
+    social = F.filter(F.transform(below(own, "a"), lambda m: m["attrs"]["href"]), lambda h: h.rlike(r"facebook|instagram|linkedin|twitter|x\.com|youtube"))
+    return F.when(own.isNotNull(), F.struct(F.greatest(F.size(F.filter(below(own), column)), F.lit(1)).alias("columns"), F.get(lines, 0).alias("copyright"), social.alias("social")))
+
+
+def _has_class(node: Column, *names: str) -> Column:
+    return F.coalesce(F.arrays_overlap(F.split(F.coalesce(attr(node, "class"), F.lit("")), r"\s+"), F.array(*[F.lit(n) for n in names])), F.lit(False))
+
+
+def outermost(nodes: Column) -> Column:
+    """Of nodes in document order those inside no other of them, in one pass."""
+    none = F.struct(F.lit(-1).alias("reach"), F.array().cast(f"array<{NODE}>").alias("kept"))
+    step = lambda x, n: F.when(n["id"] > x["reach"], F.struct(n["last"].alias("reach"), F.concat(x["kept"], F.array(n)).alias("kept"))).otherwise(x)
+    return F.aggregate(nodes, none, step, lambda x: x["kept"])
+
+
 def sections(limit: int = 40) -> Column:
-    """Outermost sections with their heading, text length and blocks."""
-    roots = F.filter(NODES, lambda n: n["tag"].isin("section", "article", "main", "header", "footer", "aside") & ~F.exists(F.filter(NODES, lambda m: m["tag"].isin("section", "article", "aside", "header", "footer") & (m["id"] < n["id"])), lambda m: F.exists(below(m), lambda x: x["id"] == n["id"])))
+    """Outermost sections with their heading, text length and blocks; ``main`` holds others, and is one itself."""
     title = lambda n: F.get(F.filter(F.transform(below(n, "h1", "h2", "h3"), inner_text), lambda t: t.isNotNull()), 0)
+    parts = outermost(of_tag("section", "article", "header", "footer", "aside"))
+    roots = F.array_sort(F.concat(parts, F.filter(of_tag("main"), lambda n: ~inside(n, "section", "article", "aside", "header", "footer"))), lambda a, b: a["id"] - b["id"])
     return F.slice(F.transform(roots, lambda n: F.struct(n["tag"].alias("tag"), attr(n, "id").alias("anchor"), title(n).alias("title"), F.coalesce(F.length(inner_text(n)), F.lit(0)).alias("chars"), F.size(F.filter(below(n), lambda m: m["parent"] == n["id"])).alias("blocks"))), 1, limit)
 
 
@@ -211,7 +352,7 @@ def widgets(limit: int = 80) -> Column:
 def features(pages: DataFrame) -> DataFrame:
     """The whole row of a parsed page; pin it before use in several queries, as the pass runs Python."""
     own = parsed(pages)
-    keep = [c for c in own.columns if c != NODES]
+    keep = [c for c in own.columns if c not in (NODES, "node_texts")]
     return own.select(
         *keep,
         F.get(F.transform(of_tag("title"), inner_text), 0).alias("title"),
@@ -230,6 +371,8 @@ def features(pages: DataFrame) -> DataFrame:
         menus().alias("menus"),
         part("header").alias("header"),
         part("footer").alias("footer"),
+        header_facets().alias("header_facets"),
+        footer_facets().alias("footer_facets"),
         sections().alias("sections"),
         widgets().alias("widgets"),
     )
