@@ -65,7 +65,8 @@ def kind() -> Column:
 
 def media_ids(sources: Column, page: Column) -> Column:
     """Ids of the images at ``sources``, resolved against their page; what is no address is left out."""
-    return F.transform(F.filter(F.transform(sources, lambda s: U.normalized(U.resolved(s, page))), lambda u: u.isNotNull()), lambda u: stable_id("media", u))
+    whole = F.transform(F.transform(sources, lambda s: U.resolved(s, page)), U.normalized)
+    return F.transform(F.filter(whole, lambda u: u.isNotNull()), lambda u: stable_id("media", u))
 
 
 def in_sections(pages: DataFrame, key: str = "url") -> DataFrame:
@@ -187,7 +188,7 @@ def menus(nodes: DataFrame, key: str = "url", most: int = 80) -> DataFrame:
     return inside.select(
         key, "menu", stable_id("menu", F.concat_ws("-", key, F.col("menu").cast("string"), "position")).alias("menu_id"), "position", "name", "item",
         stable_id("nav-item", F.concat_ws("-", key, F.col("menu").cast("string"), F.col("item").cast("string"), "lead")).alias("item_id"),
-        F.coalesce(F.nullif(F.col("lead"), F.lit("")), "raw").alias("label"), U.normalized(U.resolved(F.col("raw"), F.col(key))).alias("href"),
+        F.coalesce(F.nullif(F.col("lead"), F.lit("")), "raw").alias("label"), F.get(F.transform(F.array(U.resolved(F.col("raw"), F.col(key))), U.normalized), 0).alias("href"),
     )
 
 

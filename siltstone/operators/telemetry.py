@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.machines import fold, verdict
+
 COUNTERS = ("queue_size", "knowledge_size", "discovered", "processed")
 #: Stretches of a trailing window by which events are spread.
 STRETCH = 64
@@ -128,27 +130,10 @@ def folded(rows: DataFrame, key: str, order: str, start: Callable[[], object], s
 
 
 def verdicts(samples: DataFrame, key: str, order: str, required: int = 3) -> DataFrame:
-    """The decision after each sample: continue, pause_discovery, complete or exhausted.
-
-    Nothing queued and nobody at work completes a run after its first sample.
-    ``required`` stable samples pause it; a run that stays paused and learns
-    nothing for three times as many is exhausted.  The pause needs state, so
-    the samples of one run are folded in order, a bounded number of columns.
-    """
-    own = stability(samples, key, order)
-
-    def step(state: tuple[int, bool, int], row: dict) -> tuple[tuple[int, bool, int], str]:
-        seen, paused, since = state
-        since = since + 1 if paused and row["stagnant"] else 0
-        if seen and row["queue_size"] == 0 and row["active_workers"] == 0:
-            return (seen + 1, paused, since), "complete"
-        if paused and since >= 3 * required:
-            return (seen + 1, paused, since), "exhausted"
-        paused = row["stable_windows"] >= required or (paused and row["stagnant"])
-        return (seen + 1, paused, since), "pause_discovery" if paused else "continue"
-
-    needed = list(dict.fromkeys((key, order, "queue_size", "active_workers", "stagnant", "stable_windows")))
-    return folded(own.select(*needed), key, order, lambda: (0, False, 0), step, "verdict", pa.string(), "string")
+    """The decision after each sample: continue, pause_discovery, complete or exhausted, as machines.verdict() says; ``order`` is a whole number."""
+    own = samples.withColumns({"at": F.col(order).cast("long"), "place": F.lit(0).cast("long")})
+    told = fold(own, key, verdict(required))
+    return told.select(key, F.col("at").cast(dict(samples.dtypes)[order]).alias(order), "verdict")
 
 
 def cooldowns(events: DataFrame, key: str, ts: str, limit: int = 10, window_s: int = 30, rest_s: float = 45.0) -> DataFrame:

@@ -13,11 +13,12 @@ from siltstone.registry import query
 from siltstone.sources.tables import table
 
 
-def event_stream(spark: SparkSession, folder: str, late: str = "10 minutes") -> DataFrame:
-    """Events as a stream with a watermark; ``ts`` has to be a timestamp with time zone for one."""
+def event_stream(spark: SparkSession, folder: str, late: str | None = "10 minutes") -> DataFrame:
+    """Events as a stream, with a watermark if ``late`` is given; ``ts`` has to be a timestamp with time zone for one."""
     schema = table(spark, folder, "events").schema
     raw = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{folder}/events.parquet")
-    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    timed = raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return timed.withWatermark("ts", late) if late else timed
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
