@@ -7,8 +7,9 @@ how often each labeller votes what on good and on bad texts, and the posterior
 of each combination of votes.  It starts from the majority of votes, and a prior
 of PRIOR texts, whatever the size of the corpus, only keeps rates from 0.
 The posteriors are the labels on which a logistic model over hashed byte
-trigrams, and places for the votes, is trained, on at most SAMPLE documents and
-ENTRIES of their trigrams (those with the smallest hash of their doc_id first).
+trigrams alone is trained, on at most SAMPLE documents and ENTRIES of their
+trigrams (those with the smallest hash of their doc_id first); it never sees a vote,
+so it also tells texts on which the labellers say nothing.
 Every text is then scored whole.
 
 Edge cases: a null or empty text has no words and no trigrams; a text without
@@ -32,7 +33,6 @@ from siltstone.llm.shared import settle
 SAMPLE = 20_000
 BUCKETS = 1 << 16
 SCALE = 50.0
-VOTE = 1.0  # of a vote's place, where trigrams have their share of the text times SCALE
 EPOCHS = 6
 GOOD, BAD, NONE = 2, 1, 0
 THRESHOLD = 0.5
@@ -64,7 +64,7 @@ LABELLERS = (
     ("words", 8.0, 40.0),
 )
 
-WEIGHTS = BUCKETS + 3 * len(LABELLERS) + 1
+WEIGHTS = BUCKETS + 1
 
 
 def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -170,11 +170,6 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ((code * np.uint32(2_654_435_761)) >> np.uint32(16)).astype(np.int64), inside[:n]
 
 
-def vote_places(said: np.ndarray) -> np.ndarray:
-    """The weights that stand for votes: after the buckets, three for each labeller."""
-    return BUCKETS + 3 * np.arange(said.shape[1]) + said
-
-
 def fit(samples: list[tuple[np.ndarray, np.ndarray, float]], size: int) -> np.ndarray:
     """Logistic weights (the last one is the constant) by Adagrad over (buckets, shares of the text, label)."""
     w, square = np.zeros(size), np.full(size, 1e-2)
@@ -224,15 +219,14 @@ def learn(docs: DataFrame) -> tuple[np.ndarray, float, np.ndarray]:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
-                said = votes(measures(data, offsets))
-                label, places = posterior(said, table, share), vote_places(said)
+                label = posterior(votes(measures(data, offsets)), table, share)
                 bucket, inside = trigrams(data, offsets)
                 at, x = [], []
                 for r in range(b - a):
                     own = bucket[offsets[r] : offsets[r + 1]][inside[offsets[r] : offsets[r + 1]]]
                     found, many = np.unique(own, return_counts=True)
-                    at.append(np.concatenate([found, places[r]]).astype(np.uint32).tobytes())
-                    x.append(np.concatenate([many / max(len(own), 1), np.full(places.shape[1], VOTE / SCALE)]).astype(np.float32).tobytes())
+                    at.append(found.astype(np.uint32).tobytes())
+                    x.append((many / max(len(own), 1)).astype(np.float32).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(at, pa.binary()), pa.array(x, pa.binary()), pa.array(label)], ["doc_id", "at", "x", "label"])
 
     # at most SAMPLE rows and about ENTRIES of their entries are held in one task
@@ -249,13 +243,12 @@ def score(docs: DataFrame) -> DataFrame:
         table, share, w = sent.value
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(1)):
-                said = votes(measures(data, offsets))
-                after = posterior(said, table, share)
+                after = posterior(votes(measures(data, offsets)), table, share)
                 bucket, inside = trigrams(data, offsets)
                 value = np.concatenate([[0.0], np.cumsum(np.where(inside, w[bucket], 0.0))])
                 count = np.concatenate([[0], np.cumsum(inside)])
                 n = count[offsets[1:]] - count[offsets[:-1]]
-                z = (value[offsets[1:]] - value[offsets[:-1]]) / np.maximum(n, 1) * SCALE + w[vote_places(said)].sum(axis=1) * VOTE + w[-1]
+                z = (value[offsets[1:]] - value[offsets[:-1]]) / np.maximum(n, 1) * SCALE + w[-1]
                 out = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), after)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(after), pa.array(out), pa.array(out >= THRESHOLD)], ["doc_id", "posterior", "score", "kept"])
 

@@ -56,7 +56,19 @@ def test_held_out_labels_of_the_synthetic_table(spark):
     assert len(rows) == docs.count()
     kept = [r.kept for r in rows if labels.get(r.doc_id) == 1]
     gone = [not r.kept for r in rows if labels.get(r.doc_id) == 0]
-    assert sum(kept) > 0.98 * len(kept) and sum(gone) > 0.85 * len(gone)
+    assert sum(kept) > 0.98 * len(kept) and sum(gone) > 0.95 * len(gone)
+    # the scorer sees trigrams only, and tells the labels about as well as the votes do
+    right = {c: sum((r[c] >= 0.5) == labels[r.doc_id] for r in rows if r.doc_id in labels) for c in ("score", "posterior")}
+    assert right["score"] >= right["posterior"] - 0.01 * len(labels)
+    assert len({r.score for r in rows}) > 4 * len({round(r.posterior, 9) for r in rows})
+
+
+def test_scorer_never_sees_votes(spark):
+    # by their votes both texts at the end are alike; the scorer tells them apart by what it has learnt
+    good, bad = "The quiet harbour kept its boats in order, and the sailors sang. " * 8, "#### $$$$ %%%% **** |||| #### " * 12
+    rows = [(i, good + f"Day {i} ends.") for i in range(60)] + [(100 + i, bad + str(i)) for i in range(30)] + [(200, "harbour boats sailors"), (201, "$$$$ harbour ####")]
+    got = {r.doc_id: r for r in W.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].kept and not got[100].kept and got[200].score > got[201].score
 
 
 def test_accuracies_match_plain_em_on_every_row():
@@ -104,7 +116,7 @@ def test_scores_match_brute_force(spark):
         after = odds[1] / sum(odds)
         assert abs(r.posterior - after) < 1e-6
         grams = [(int.from_bytes(data[i : i + 3], "little") * 2_654_435_761 % 2**32) >> 16 for i in range(len(data) - 2)]
-        z = sum(w[g] for g in grams) / max(len(grams), 1) * W.SCALE + sum(w[W.BUCKETS + 3 * j + v] for j, v in enumerate(said)) * W.VOTE + w[-1]
+        z = sum(w[g] for g in grams) / max(len(grams), 1) * W.SCALE + w[-1]
         assert abs(r.score - (1 / (1 + np.exp(-z)) if grams else after)) < 1e-6
 
 
