@@ -322,23 +322,63 @@ def around(best: Node) -> Node:
     return best
 
 
-def kept_parts(best: Node) -> list[Node]:
-    """The container and those of its siblings that hold text of its kind, in page order; of a whole page, all but lists of links."""
-    if best.tag in ("body", "html") or best.parent is None:
-        return [x for x in best.parts if isinstance(x, str) or not _link_list(x)]
+def kept_parts(best: Node) -> list[Node | str]:
+    """The container and those of its siblings that hold text of its kind, in page order; of a whole page, all that holds text.
+
+    What lies between two kept parts is kept as well: raw text, inline elements, short blocks, and a list of
+    links between two parts of running text.
+    """
     if best.tag == "main":
         return [best]
+    whole = best.tag in ("body", "html") or best.parent is None
+    row = best.parts if whole else best.parent.parts
     least = max(10.0, best.points * LEAST)
-    out = []
-    for x in best.parent.parts:
-        if isinstance(x, str) or x.gone:
-            continue
-        text = x.length >= SHORT and density(x) < 0.25 and x.tag in BLOCK
-        if x is best or (x.points >= least and density(x) < 0.5) or text or (x.tag in HEADINGS and x.length):
+
+    def sure(x: Node | str) -> bool:
+        if isinstance(x, str):
+            return bool(x.strip()) if whole else len(x.strip()) >= SHORT
+        if x.gone or x is best:
+            return not x.gone
+        if whole:
+            return not _link_list(x) and x.length > 0
+        text = x.length >= SHORT and density(x) < 0.25 and (x.tag in BLOCK or not x.links)
+        return (x.points >= least and density(x) < 0.5) or text or (x.tag in HEADINGS and x.length > 0)
+
+    kept = [sure(x) for x in row]
+    places = [i for i, k in enumerate(kept) if k]
+    if not places:
+        return []
+    # the kept part before and after each place
+    before, after, last = [], [0] * len(row), -1
+    for i, k in enumerate(kept):
+        before.append(last)
+        last = i if k else last
+    last = -1
+    for i in range(len(row) - 1, -1, -1):
+        after[i] = last
+        last = i if kept[i] else last
+    out: list[Node | str] = []
+    for i, x in enumerate(row):
+        if kept[i]:
             out.append(x)
+        elif 0 <= before[i] and 0 <= after[i]:
+            if isinstance(x, str) or x.gone:
+                out.append(x)  # render() passes over what is gone
+            elif _link_list(x):
+                if _running(row[before[i]]) and _running(row[after[i]]):
+                    out.append(x)
+            elif x.tag not in BLOCK or density(x) < 0.5:
+                out.append(x)
     return out
 
 
+def _running(x: Node | str) -> bool:
+    """Whether a part is running text."""
+    if isinstance(x, str):
+        return len(x.strip()) >= SHORT
+    return x.tag not in HEADINGS and x.length >= SHORT and density(x) < 0.25
+
+
 def _link_list(node: Node) -> bool:
     return node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links > 1 and density(node) > LINKS_ALLOWED
 

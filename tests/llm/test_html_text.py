@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.llm.html_text import extract, main_text
 
 P1 = "The first paragraph has enough words, commas, and sense to be scored as text."
+LINKS = '<ul><li><a href="/x">One link here</a></li><li><a href="/y">Another link here</a></li></ul>'
 P2 = "A second one follows, it is long enough as well, and it has no links in it."
 
 
@@ -27,6 +28,18 @@ def test_divs_only_and_siblings():
     assert main_text(page) == f"{P1} {P2} {P1} {P2} Head"
 
 
+def test_text_between_and_beside_kept_parts_stays():
+    raw = "This introduction stands bare, beside the container, and belongs to the article."
+    assert main_text(f"<body><div id=x>{raw}<div><p>{P1}</p><p>{P2}</p><p>{P1}</p></div></div></body>") == f"{raw} {P1} {P2} {P1}"
+    # short blocks, inline elements and bare words between kept siblings
+    page = f"<body><div id=x><div><p>{P1}</p><p>{P2}</p></div>bare <b>bold</b> <a href=/z>link</a><p>Short.</p><div>Of.</div><div><p>{P2}</p><p>{P1}</p></div>tail</div></body>"
+    assert main_text(page) == f"{P1} {P2} bare bold link Short. Of. {P2} {P1}"
+    # sources between paragraphs right in body stay; the menu before them and the links after them do not
+    sources = "<ul><li><a href=/s>Source one</a></li><li><a href=/t>Source two</a></li></ul>"
+    assert main_text(f"<body><h1>T</h1>{LINKS}<p>{P1}</p>{sources}<p>{P2}</p>{LINKS}</body>") == f"T {P1} Source one Source two {P2}"
+    assert main_text(f"<body><div>{LINKS}</div><p>{P1}</p><p>{P2}</p><div>{LINKS}</div></body>") == f"{P1} {P2}"
+
+
 def test_inline_elements_do_not_split_words():
     assert main_text(f"<article><p>{P1} un<b>split</b>table</p><table><tr><td>a<td>b</table></article>") == f"{P1} unsplittable a b"
 
@@ -47,9 +60,6 @@ def test_deep_and_long_pages_are_linear():
         assert time.time() - began < 20
 
 
-LINKS = '<ul><li><a href="/x">One link here</a></li><li><a href="/y">Another link here</a></li></ul>'
-
-
 def test_scoring_decides_without_article_elements():
     # the longest first paragraph is not where the article is
     page = f"<body><div id=top><p>{P2}</p>{LINKS}{LINKS}{LINKS}{LINKS}</div><div id=x><div>{LINKS}</div><div><p>{P1}</p><p>{P2}</p><p>Short.</p><p>{P1}</p></div></div><table><tr><td>{LINKS}</table></body>"
