@@ -8,33 +8,11 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as S
 from siltstone.functions import urls as U
 
-# Signs of platforms, frameworks, builders and plugins, our own: kind, name, pattern, confidence.
-SIGNS = (
-    ("platform", "WordPress", r"/wp-content/|/wp-includes/|name=\"generator\" content=\"wordpress", 0.95), ("platform", "Shopify", r"cdn\.shopify\.com|shopify\.theme", 0.95), ("platform", "PrestaShop", r"prestashop|/modules/ps_", 0.9),
-    ("platform", "Magento", r"mage/cookies|magento|/static/version", 0.85), ("platform", "Wix", r"wixstatic\.com|wix\.com", 0.9), ("platform", "Squarespace", r"squarespace\.com|static1\.squarespace", 0.9), ("platform", "Webflow", r"webflow\.(com|io)|data-wf-page", 0.9),
-    ("platform", "Joomla", r"/media/jui/|joomla", 0.85), ("platform", "Drupal", r"drupal-settings-json|/sites/default/files", 0.85), ("platform", "WooCommerce", r"woocommerce", 0.9), ("platform", "OpenCart", r"route=product/|catalog/view/theme", 0.8),
-    ("framework", "Next.js", r"__next_data__|/_next/", 0.95), ("framework", "Nuxt", r"__nuxt|/_nuxt/", 0.95), ("framework", "React", r"data-reactroot|react-dom", 0.7), ("framework", "Vue", r"data-v-[0-9a-f]{6,}|vue(\.min)?\.js", 0.7), ("framework", "Angular", r"ng-version", 0.8), ("framework", "Svelte", r"svelte-[0-9a-z]{5,}", 0.7),
-    ("builder", "Elementor", r"elementor", 0.95), ("builder", "Divi", r"et_pb_|/themes/divi", 0.9), ("builder", "WPBakery", r"js_composer|vc_row", 0.9), ("builder", "Gutenberg", r"wp-block-", 0.8), ("builder", "Beaver Builder", r"fl-builder", 0.9), ("builder", "Bricks", r"brxe-", 0.85),
-    ("plugin", "Yoast SEO", r"yoast", 0.9), ("plugin", "Rank Math", r"rank-math", 0.9), ("plugin", "Contact Form 7", r"wpcf7", 0.9), ("plugin", "Slider Revolution", r"revslider|rev_slider", 0.85), ("plugin", "WPForms", r"wpforms", 0.9), ("plugin", "Google Tag Manager", r"googletagmanager\.com", 0.9), ("plugin", "Complianz", r"cmplz", 0.85),
-)
 # Hosts of social profiles, and paths on them that are not profiles.
 SOCIAL = {"facebook": r"(^|\.)facebook\.com$", "instagram": r"(^|\.)instagram\.com$", "twitter": r"(^|\.)(twitter|x)\.com$", "linkedin": r"(^|\.)linkedin\.com$", "youtube": r"(^|\.)youtube\.com$", "tiktok": r"(^|\.)tiktok\.com$", "pinterest": r"(^|\.)pinterest\.[a-z.]+$", "whatsapp": r"(^|\.)(wa\.me|whatsapp\.com)$"}
 NO_PROFILE = r"(?i)/(share|sharer|intent|login|signup|dialog|plugins|hashtag|search|policies|privacy)"
 
 
-def detections(pages: DataFrame) -> DataFrame:
-    """What each site (site, place, html) is built with: kind, name, confidence, and the first page that shows it.
-
-    Every pattern is tried on every page; nothing is gathered but the names
-    found, and no pages are joined to one text.
-    """
-    low = F.lower("html")
-    hits = F.array_compact(F.array(*[F.when(low.rlike(pattern), F.struct(F.lit(i).alias("order"), F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.lit(c).alias("confidence"))) for i, (kind, name, pattern, c) in enumerate(SIGNS)]))
-    own = pages.select("site", "place", F.explode(hits).alias("x")).groupBy("site", "x.kind", "x.name").agg(F.min("x.order").alias("order"), F.max("x.confidence").alias("confidence"), F.min("place").alias("first_page"))
-    rank = F.row_number().over(Window.partitionBy("site", "kind").orderBy(F.desc("confidence"), "order"))
-    return own.withColumn("rank", rank).drop("order")
-
-
 def edges(pages: DataFrame) -> DataFrame:
     """Edges from pages (url, images, forms, widgets, product ids) to what they hold: source, target, type."""
     of = lambda column, kind: F.transform(F.coalesce(F.col(column), F.array().cast("array<string>")), lambda x: F.struct(x.alias("target"), F.lit(kind).alias("type")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import urls as U
 from siltstone.operators import catalog as C
-from siltstone.operators import dom, frontier, gates, graph, rules, telemetry
+from siltstone.operators import detect, dom, frontier, gates, graph, rules, telemetry
 
 
 # --- rules --------------------------------------------------------------------------------------------------------
@@ -393,8 +393,11 @@ def test_site_models(spark):
     from siltstone.operators import site
 
     pages = spark.createDataFrame([("s", 0, '<link href="/wp-content/x"><div class="elementor">'), ("s", 1, "woocommerce yoast"), ("t", 0, "plain")], "site string, place int, html string")
-    got = {(r.site, r.name): r.rank for r in site.detections(pages).collect()}
-    assert got == {("s", "WordPress"): 1, ("s", "WooCommerce"): 2, ("s", "Elementor"): 1, ("s", "Yoast SEO"): 1}
+    got = {(r.site, r.kind, r.name): (r.rank, r.evidence, r.first_page) for r in detect.detections(pages).collect()}
+    assert got == {
+        ("s", "platform", "WordPress"): (1, "wp-content", 0), ("s", "platform", "WooCommerce"): (2, "woocommerce", 1), ("s", "builder", "Elementor"): (1, "elementor", 0),
+        ("s", "plugin", "WooCommerce"): (1, "woocommerce", 1), ("s", "plugin", "Elementor"): (2, "elementor", 0), ("s", "plugin", "Yoast"): (3, "yoast", 1),
+    }
     links = spark.createDataFrame([("s", 0, "https://www.facebook.com/shop/"), ("s", 1, "https://facebook.com/sharer?u=1"), ("s", 2, "https://www.Facebook.com/Shop"), ("s", 3, "https://x.com/me"), ("s", 4, "https://y.org/a")], "site string, place int, url string")
     assert [(r.platform, r.url) for r in site.social_profiles(links).orderBy("n").collect()] == [("facebook", "https://www.Facebook.com/Shop"), ("twitter", "https://x.com/me")]
     values = spark.createDataFrame([("s", 1, ["b", "c"]), ("s", 0, ["a", "b"])], "site string, place int, v array<string>")
