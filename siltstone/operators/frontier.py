@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.checkpoints import cut
 from siltstone.functions import urls as U
+from siltstone.operators.joins import join_by
 from siltstone.operators.ranks import numbered
 
 PATTERN_CAP = 25
@@ -134,10 +135,37 @@ def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
     return own.where(F.col("field").isin("allow", "disallow") & (F.col("value") != "")).select("origin", (F.col("field") == "allow").alias("allow"), F.col("value").alias("prefix"))
 
 
+def robots_index(rules: DataFrame) -> DataFrame:
+    """Rules (origin, allow, prefix) without those that a shorter rule of their kind and origin covers, with the prefix's ``size``.
+
+    So a path meets at most one rule of each kind.
+    """
+    own = rules.select("origin", "allow", "prefix").distinct()
+    shorter = own.select("origin", "allow", "prefix", F.explode(F.sequence(F.lit(1), F.greatest(F.length("prefix") - 1, F.lit(1)))).alias("n")).where("n < length(prefix)")
+    shorter = shorter.withColumn("covers", F.expr("substring(prefix, 1, n)"))
+    covered = shorter.join(own.select("origin", "allow", F.col("prefix").alias("covers")), ["origin", "allow", "covers"], "left_semi").select("origin", "allow", "prefix").distinct()
+    return own.join(covered, ["origin", "allow", "prefix"], "left_anti").withColumn("size", F.length("prefix"))
+
+
+def robots_matches(links: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules (allow, prefix) that the links (origin, path, and others) meet, by an index of prefixes.
+
+    A path is looked up by equality, once for each length that its origin's
+    rules have, so no link is compared with the rules of its origin one by one.  A path
+    meets at most one rule of a kind; links without origin or path meet none.
+    """
+    index = cut(robots_index(rules))
+    sizes = index.groupBy("origin").agg(F.array_sort(F.collect_set("size")).alias("sizes"))  # as many as the longest prefix has letters at most
+    tried = join_by(links, sizes, ["origin"])
+    tried = tried.withColumn("size", F.explode(F.filter("sizes", lambda n: n <= F.length("path")))).withColumn("prefix", F.expr("substring(path, 1, size)"))
+    kinds = index.groupBy("origin", "prefix").agg(F.collect_set("allow").alias("kinds"))
+    return join_by(tried.drop("sizes", "size"), kinds, ["origin", "prefix"]).withColumn("allow", F.explode("kinds")).drop("kinds")
+
+
 def blocked_by_robots(links: DataFrame, rules: DataFrame) -> DataFrame:
     """``seq`` of links (seq, normalized) that the rules of their origin bar; any allowing prefix wins."""
-    own = links.withColumn("origin", U.origin("normalized")).withColumn("path", U.path("normalized"))
-    met = own.join(rules, "origin").where(F.col("path").startswith(F.col("prefix")))
+    own = links.select("seq", U.origin("normalized").alias("origin"), U.path("normalized").alias("path"))
+    met = robots_matches(own, rules)
     return met.groupBy("seq").agg(F.bool_or("allow").alias("allowed")).where("not allowed").select("seq")
 
 

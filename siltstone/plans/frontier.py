@@ -75,3 +75,30 @@ def source_counters(spark, folder):
 @query(LINKS + ", x AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/?#]+') || href AS target FROM l) SELECT target FROM x ANTI JOIN pages ON x.target = pages.url")
 def links_not_captured(spark, folder):
     return O.pending(candidates(spark, folder).select("url"), pages(spark, folder).select("url")).select(F.col("url").alias("target"))
+
+
+# Robots files of the pages' sites: of some pages the start of the path is barred, of others the whole path is allowed.
+ROBOTS = """WITH p AS (SELECT page_id, regexp_extract(lower(url), '^https?://[^/?#]+') AS origin, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages),
+r AS (SELECT origin, false AS allow, substr(path, 1, CAST(3 + page_id % 4 AS INT)) AS prefix FROM p WHERE page_id % 5 = 0 UNION SELECT origin, true, path FROM p WHERE page_id % 7 = 0)
+"""
+
+
+def robots_files(spark, folder):
+    own = table(spark, folder, "pages").select("page_id", U.origin("url").alias("origin"), U.path("url").alias("path"))
+    barred = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("Disallow: "), F.expr("substring(path, 1, cast(3 + page_id % 4 as int))")))
+    allowed = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("allow :"), F.col("path"), F.lit(" # open")))
+    lines = own.select("origin", F.explode(F.array_compact(F.array(barred, allowed, F.when(F.col("page_id") % 11 == 0, F.lit("Disallow:"))))).alias("line"))
+    head = F.lit("User-agent: other\r\nDisallow: /\nUser-Agent: *\n")
+    return lines.groupBy("origin").agg(F.concat(head, F.array_join(F.array_sort(F.collect_set("line")), "\n")).alias("body"))
+
+
+@query(ROBOTS + "SELECT DISTINCT r.origin, allow, prefix FROM r")
+def robots_prefixes(spark, folder):
+    return O.robots_rules(robots_files(spark, folder)).distinct()
+
+
+@query(ROBOTS + "SELECT page_id, coalesce(bool_or(NOT allow) AND NOT bool_or(allow), false) AS blocked FROM p LEFT JOIN r ON p.origin = r.origin AND starts_with(path, prefix) GROUP BY page_id")
+def robots_blocked(spark, folder):
+    own = table(spark, folder, "pages").select(F.col("page_id").alias("seq"), F.col("url").alias("normalized"))
+    barred = O.blocked_by_robots(own, O.robots_rules(robots_files(spark, folder))).withColumn("blocked", F.lit(True))
+    return own.join(barred, "seq", "left").select(F.col("seq").alias("page_id"), F.coalesce("blocked", F.lit(False)).alias("blocked"))

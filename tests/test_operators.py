@@ -133,6 +133,38 @@ def test_last_wins_and_content_duplicates(spark):
     assert [r.published for r in frontier.content_duplicates(pages, "place").orderBy("place").collect()] == [True, False, True]
 
 
+def test_robots_index_against_every_rule(spark, monkeypatch):
+    from siltstone.operators import joins
+
+    rng = random.Random(8)
+    part = lambda: "/" + "".join(rng.choice("aé") for _ in range(rng.randrange(6)))
+    rules = [(rng.choice(["https://a.com", "https://b.com"]), rng.random() < 0.3, part()) for _ in range(60)]
+    links = [(i, rng.choice(["https://a.com", "https://b.com", "https://c.com"]) + part() + rng.choice(["", "?q=/a"])) for i in range(400)] + [(1000, "no address"), (1001, None), (1002, "https://a.com")]
+    want = set()
+    for seq, url in links:
+        if url and url.startswith("https"):
+            origin, at = url[:13], url[13:].split("?")[0] or "/"
+            met = {allow for o, allow, prefix in rules if o == origin and at.startswith(prefix)}
+            want |= {seq} if met == {False} else set()
+    frames = spark.createDataFrame(links, "seq long, normalized string"), spark.createDataFrame(rules + rules[:5], "origin string, allow boolean, prefix string")
+    for small, least in ((100_000, 4096), (0, 1), (3, 4096)):
+        for name, value in (("SMALL", small), ("LEAST", least), ("HOT", 4)):
+            monkeypatch.setattr(joins, name, value)
+        assert {r.seq for r in frontier.blocked_by_robots(*frames).collect()} == want
+    index = frontier.robots_index(frames[1]).collect()
+    assert not any(a.origin == b.origin and a.allow == b.allow and a.prefix != b.prefix and b.prefix.startswith(a.prefix) for a in index for b in index)
+
+
+def test_connected_with_hot_ids_and_labels(spark, monkeypatch):
+    from siltstone.operators import joins
+
+    for name, value in (("SMALL", 2), ("LEAST", 5), ("HOT", 4)):
+        monkeypatch.setattr(joins, name, value)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(9)], "a long, b long")
+    got = {r.id: r.component for r in graph.connected(edges).collect()}
+    assert got == {**{i: 0 for i in range(60)}, **{100 + i: 100 for i in range(10)}}
+
+
 def test_connected(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (7, 9)], "a long, b long")
     assert {r.id: r.component for r in graph.connected(edges).collect()} == {5: 2, 4: 2, 3: 2, 2: 2, 9: 7, 8: 7, 7: 7}
