@@ -87,24 +87,29 @@ def css_urls(css: Column | str) -> Column:
     return F.array_distinct(F.filter(F.concat(inside, imported), lambda x: ~x.rlike("(?i)^data:")))
 
 
-def css_tokens(css: Column | str) -> Column:
-    """Design tokens in order of their first use: colours, fonts, sizes, weights, spacing, radii, shadows, gradients, variables."""
-    own = _c(css)
+# What design tokens look like, and how many of a kind are kept.
+TOKENS = (
+    ("colors", r"#[0-9a-f]{3,8}\b|rgba?\([^)]+\)|hsla?\([^)]+\)", 0, 80),
+    ("gradients", r"(?:linear|radial)-gradient\([^)]+\)", 0, 40),
+    ("fonts", r"font-family\s*:\s*([^;]+)", 1, 40),
+    ("font_sizes", r"font-size\s*:\s*([^;]+)", 1, 40),
+    ("font_weights", r"font-weight\s*:\s*([^;]+)", 1, 30),
+    ("spacing", r"(?:margin|padding|gap)\s*:\s*([^;]+)", 1, 60),
+    ("radii", r"border-radius\s*:\s*([^;]+)", 1, 30),
+    ("shadows", r"box-shadow\s*:\s*([^;]+)", 1, 30),
+)
+VARIABLE = r"(--[a-z0-9-]+)\s*:\s*([^;]+)"
 
-    def values(pattern: str, limit: int) -> Column:
-        return F.slice(F.array_distinct(F.transform(F.regexp_extract_all(own, F.lit(pattern), 1), lambda x: F.trim(x))), 1, limit)
 
-    return F.struct(
-        values(r"(?i)(#[0-9a-f]{3,8}\b|rgba?\([^)]*\)|hsla?\([^)]*\))", 80).alias("colors"),
-        values(r"(?i)((?:linear|radial|conic)-gradient\((?:[^()]|\([^()]*\))*\))", 40).alias("gradients"),
-        values(r"(?i)font-family\s*:\s*([^;}]+)", 40).alias("fonts"),
-        values(r"(?i)font-size\s*:\s*([^;}]+)", 40).alias("font_sizes"),
-        values(r"(?i)font-weight\s*:\s*([^;}]+)", 40).alias("font_weights"),
-        values(r"(?i)(?:margin|padding|gap)[a-z-]*\s*:\s*([^;}]+)", 40).alias("spacing"),
-        values(r"(?i)border-radius\s*:\s*([^;}]+)", 40).alias("radii"),
-        values(r"(?i)box-shadow\s*:\s*([^;}]+)", 40).alias("shadows"),
-        values(r"(--[A-Za-z0-9_-]+)\s*:", 80).alias("variables"),
-    )
+def css_tokens(css: Column | str) -> Column:
+    """Design tokens in order of their first use: colours, gradients, fonts, sizes, weights, spacing, radii, shadows; and variables with their last value."""
+    own = _c(css)
+    every = lambda pattern, group: F.array_distinct(F.transform(F.regexp_extract_all(own, F.lit(f"(?i){pattern}"), group), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))))
+    first = lambda found: F.filter(found, lambda x, i: (x != "") & (F.array_position(F.transform(found, F.lower), F.lower(x)) == i + 1))  # noqa: E731  in any case
+    lists = [F.slice(first(every(pattern, group)), 1, most).alias(name) for name, pattern, group, most in TOKENS]
+    named = F.transform(F.regexp_extract_all(own, F.lit(f"(?i){VARIABLE}"), 0), lambda x: F.struct(F.regexp_extract(x, "^--[^:\\s]+", 0).alias("key"), F.trim(F.regexp_replace(x, "(?s)^[^:]*:", "")).alias("value")))
+    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: y["key"] == x["key"]))
+    return F.struct(*lists, F.map_from_entries(last).alias("variables"))
 
 
 def content_evidence(html: Column | str) -> Column:

@@ -399,18 +399,30 @@ def is_commerce_row() -> Column:
     return F.coalesce(F.col("price").rlike("[0-9]"), F.lit(False)) | (F.coalesce("sku", F.lit("")) != "") | (F.coalesce(F.size("variants"), F.lit(0)) > 0)
 
 
+# Words for what cannot be worn on a figure, kinds of garments in order, and words for whom they are.
+NOT_WORN = "zapato|calzado|sandalia|bolso|mochila|gorra|sombrero|gafas|joya|bisuter[ií]a|cintur[oó]n|shoe|bag|hat|jewelry|belt"
+GARMENTS = (
+    ("one-pieces", "vestido|dress|mono|jumpsuit|overall"),
+    ("bottoms", "pantal[oó]n|jean|vaquero|falda|short|bermuda|trouser|skirt"),
+    ("tops", "camisa|blusa|camiseta|top|jersey|cardigan|chaqueta|blazer|bomber|polo|shirt|jacket|sweater|coat"),
+)
+WOMEN, MEN = "mujer|woman|women|chica|girl|femenin|vestido|falda|blusa", "hombre|man|men|chico|boy|masculin"
+
+
+def says(text: Column | str, words: str) -> Column:
+    """Whether a text has one of some words; a word ends where no ASCII letter, digit or underscore follows."""
+    own = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(own.rlike(rf"(?iu)(?<![A-Za-z0-9_])({words})(?![A-Za-z0-9_])"), F.lit(False))
+
+
 def garment(text: Column | str) -> Column:
     """Kind of garment by words, the first rule that fits; null for what cannot be worn this way."""
-    own = folded(text)
-    return (
-        F.when(own.rlike(r"\b(zapat|shoe|sandal|bolso|bag|gorr|hat|cap|joya|jewel|reloj|watch|gafas|glasses|perfume|calcet|sock)"), F.lit(None).cast("string"))
-        .when(own.rlike(r"\b(vestido|dress|mono|jumpsuit|enterizo|overall|romper)"), F.lit("one-pieces"))
-        .when(own.rlike(r"\b(pantalon|jean|falda|skirt|short|legging|trouser|pants|jogger)"), F.lit("bottoms"))
-        .when(own.rlike(r"\b(camis|blusa|top|shirt|sueter|sweater|chaqueta|jacket|abrigo|coat|polo|hoodie|body|blazer|chaleco|vest)"), F.lit("tops"))
-    )
+    kind = F.when(says(text, NOT_WORN), F.lit(None).cast("string"))
+    for name, words in GARMENTS:
+        kind = kind.when(says(text, words), F.lit(name))
+    return kind
 
 
 def wearer(text: Column | str) -> Column:
-    own = folded(text)
-    male, female = own.rlike(r"\b(hombre|men|man|masculin|caballero)"), own.rlike(r"\b(mujer|women|woman|femenin|dama)")
-    return F.when(male & ~female, F.lit("male")).otherwise(F.lit("female"))
+    """For men where a text names only them, else for women."""
+    return F.when(says(text, MEN) & ~says(text, WOMEN), F.lit("male")).otherwise(F.lit("female"))

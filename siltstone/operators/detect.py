@@ -124,7 +124,7 @@ def signs(pages: DataFrame) -> DataFrame:
     own = pages.select("site", "place", F.col("html").cast("string"), made_by.alias("made_by"))
     found = own.mapInArrow(run, f"site {kinds['site']}, place {kinds['place']}, `order` int, evidence string, version string")
     of = lambda i: F.element_at(F.array(*[F.lit(rule[i]) for rule in RULES]), F.col("order") + 1)
-    return found.select("site", "place", "order", of(0).alias("kind"), of(1).alias("name"), of(3).alias("confidence"), "evidence", "version")
+    return found.select("site", "place", "order", of(0).alias("kind"), of(1).alias("name"), of(3).alias("confidence"), F.trim(F.regexp_replace("evidence", r"\s+", " ")).alias("evidence"), "version")
 
 
 def first_signs(pages: DataFrame) -> DataFrame:

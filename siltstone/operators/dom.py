@@ -197,6 +197,12 @@ def inside(node: Column, *tags: str) -> Column:
     return F.exists(of_tag(*tags), lambda m: (m["id"] < node["id"]) & (node["id"] <= m["last"]))
 
 
+def css() -> Column:
+    """The CSS of a page: its style elements by lines, then its style attributes."""
+    inline = F.filter(F.transform(NODES, lambda n: F.try_element_at(n["attrs"], F.lit("style"))), lambda x: x.isNotNull())
+    return F.concat(F.array_join(F.transform(of_tag("style"), lambda n: n["text"]), "\n"), F.lit("\n"), F.array_join(inline, ";"))
+
+
 def meta(*names: str) -> Column:
     """Content of the first meta element with one of the names or properties."""
     low = [n.lower() for n in names]

@@ -51,3 +51,14 @@ def price_equal_decimal(spark, folder):
 def brand_facets(spark, folder):
     own = table(spark, folder, "part")
     return own.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"), F.count(F.lit(1)).alias("n"), F.max(F.length("p_name")).cast("long").alias("longest"))
+
+
+#: Names of garments by the part's number; the same text in Spark's and DuckDB's SQL.
+WORN = "concat(case p_partkey % 13 when 0 then 'Camisa con capucha' when 1 then 'Short baggy' when 2 then 'Bermuda' when 3 then 'CARDIGAN fino' when 4 then 'Vestido con cinturón' when 5 then 'Dress with belt' when 6 then 'Blusa manga larga' when 7 then 'Vestido' when 8 then 'PANTALÓN vaquero' when 9 then 'hats and bags' when 10 then 'topcoat' when 11 then 'coat_x coat' else p_name end, case p_partkey % 5 when 0 then ' hombre' when 1 then ', men' when 2 then ' mujer' when 3 then ' Mens' else '' end)"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN regexp_matches(t, '(?i)\\b({C.NOT_WORN})\\b') THEN NULL {" ".join(f"WHEN regexp_matches(t, '(?i)\\b({words})\\b') THEN '{name}'" for name, words in C.GARMENTS)} END AS zone,
+ CASE WHEN regexp_matches(t, '(?i)\\b({C.MEN})\\b') AND NOT regexp_matches(t, '(?i)\\b({C.WOMEN})\\b') THEN 'male' ELSE 'female' END AS wearer FROM (SELECT p_partkey, {WORN} AS t FROM part)""")
+def garment_kinds(spark, folder):
+    own = table(spark, folder, "part").select("p_partkey", F.expr(WORN).alias("t"))
+    return own.select("p_partkey", C.garment("t").alias("zone"), C.wearer("t").alias("wearer"))

@@ -30,7 +30,7 @@ def tried(group: int) -> str:
 
 SIGNS = f"""WITH p AS (SELECT page_id, {SITE} AS site, {HTML} AS html FROM pages), r(n, kind, name, pattern, confidence) AS (VALUES {PATTERNS}),
 m AS (SELECT site, page_id, n, kind, name, confidence, CASE n {tried(0)} END AS hit, CASE n {tried(1)} END AS part FROM (SELECT *, {GENERATOR} AS said FROM p CROSS JOIN r)),
-f AS MATERIALIZED (SELECT site, n, kind, name, confidence, min(page_id) AS first_page, min_by(hit, page_id) AS evidence, min_by(part, page_id) AS part FROM m WHERE hit <> '' GROUP BY ALL)
+f AS MATERIALIZED (SELECT site, n, kind, name, confidence, min(page_id) AS first_page, trim(regexp_replace(min_by(hit, page_id), '\\s+', ' ', 'g')) AS evidence, min_by(part, page_id) AS part FROM m WHERE hit <> '' GROUP BY ALL)
 """
 
 

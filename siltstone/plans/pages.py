@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import html as H
 from siltstone.functions import text as S
 from siltstone.functions import urls as U
+from siltstone.operators import dom as D
 from siltstone.operators import rules as R
 from siltstone.registry import query
 from siltstone.sources.tables import table
@@ -190,10 +191,32 @@ def page_language(spark, folder):
     return pages(spark, folder).select("page_id", H.language("html").alias("lang"), F.size(F.regexp_extract_all("html", F.lit("(?is)<li[^>]*>(.*?)</li>"), 1)).cast("long").alias("items"))
 
 
-CSS = r"regexp_extract(html, '(?is)<style[^>]*>(.*?)</style>', 1)"
+#: Pages with more styles by their number: in elements and attributes; the same text in Spark's and DuckDB's SQL.
+STYLED = """concat(replace(html, '</head>', concat('<style>:root{--main-', cast(page_id % 3 as int), ': #', cast(100 + page_id % 900 as int), '; --gap: 4px} a { color: #FFF; font-size: ', cast(page_id % 5 as int), 'px; font-weight: 700;background:linear-gradient(red, #000);box-shadow: 0 0 1px rgba(0, 0, 0, .5); border-radius: 3px}</style></head>')),
+ '<p style="margin: ', cast(page_id % 7 as int), 'px; margin-top: 9px; gap : 1px; font-family: Arial, serif"></p><p style="padding:0;--gap:5px"></p><style>b { COLOR: hsl(1, 2%, 3%); Padding: 0; margin: 1px }</style>')"""
+CSS = rf"array_to_string(regexp_extract_all({STYLED}, '(?s)<style>(.*?)</style>', 1), chr(10)) || chr(10) || array_to_string(regexp_extract_all({STYLED}, ' style=\"([^\"]*)\"', 1), ';')"
+IN_ORDER = "list_filter({x}, lambda v, i: v <> '' AND list_position(list_transform({x}, lambda z: lower(z)), lower(v)) = i)"
 
 
-@query(rf"SELECT page_id, array_to_string(list_distinct(list_transform(regexp_extract_all({CSS}, '(?i)(?:margin|padding|gap)[a-z-]*\s*:\s*([^;}}]+)', 1), lambda x: trim(x))), ',') AS spacing FROM pages")
+def _tokens(name: str, pattern: str, group: int, most: int) -> str:
+    found = f"list_transform(regexp_extract_all(css, '(?i){pattern}', {group}), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
+    return f"array_to_string(({IN_ORDER.format(x=found)})[:{most}], '|') AS {name}"
+
+
+@query(f"WITH c AS (SELECT page_id, {CSS} AS css FROM pages) SELECT page_id, {', '.join(_tokens(*t) for t in H.TOKENS)} FROM c")
+def css_tokens(spark, folder):
+    own = D.parsed(table(spark, folder, "pages").select("page_id", F.expr(STYLED).alias("html"))).select("page_id", H.css_tokens(D.css()).alias("t"))
+    return own.select("page_id", *[F.array_join(F.col(f"t.{name}"), "|").alias(name) for name, *_ in H.TOKENS])
+
+
+@query(f"""WITH c AS (SELECT page_id, {CSS} AS css FROM pages), v AS (SELECT page_id, unnest(regexp_extract_all(css, '(?i){H.VARIABLE}', 1)) AS name, unnest(regexp_extract_all(css, '(?i){H.VARIABLE}', 2)) AS value, generate_subscripts(regexp_extract_all(css, '(?i){H.VARIABLE}', 1), 1) AS n FROM c)
+SELECT page_id, name, trim(max_by(value, n)) AS value FROM v GROUP BY page_id, name""")
+def css_variables(spark, folder):
+    own = D.parsed(table(spark, folder, "pages").select("page_id", F.expr(STYLED).alias("html"))).select("page_id", H.css_tokens(D.css())["variables"].alias("v"))
+    return own.select("page_id", F.explode("v").alias("name", "value"))
+
+
+@query(rf"SELECT page_id, array_to_string(list_distinct(list_transform(regexp_extract_all(regexp_extract(html, '(?is)<style[^>]*>(.*?)</style>', 1), '(?i)(?:margin|padding|gap)\s*:\s*([^;]+)', 1), lambda x: trim(x))), ',') AS spacing FROM pages")
 def css_spacing(spark, folder):
     css = F.regexp_extract("html", r"(?is)<style[^>]*>(.*?)</style>", 1)
     return pages(spark, folder).select("page_id", F.array_join(H.css_tokens(css)["spacing"], ",").alias("spacing"))

@@ -119,7 +119,7 @@ PAGE = """<html lang="ES"><head><title> A  b </title><meta name="description" co
 def test_html(spark):
     want = [
         (H.title("c0"), "A b"), (H.headings("c0", 1), ["H 1"]), (H.meta("c0", "description"), "D'oh"), (H.meta("c0", "og:title"), "O"), (H.meta("c0", "none"), None), (H.canonical_href("c0"), "https://x.com/a"),
-        (H.hrefs("c0"), ["/n"]), (H.language("c0"), "es"), (H.css_urls("c0"), ["bg.png", "i.css"]), (H.css_tokens("c0")["colors"], ["#FFF"]), (H.css_tokens("c0")["variables"], ["--v"]), (H.visible_text("c0", 5), "A b H"),
+        (H.hrefs("c0"), ["/n"]), (H.language("c0"), "es"), (H.css_urls("c0"), ["bg.png", "i.css"]), (H.css_tokens("c0")["colors"], ["#FFF"]), (F.map_keys(H.css_tokens("c0")["variables"]), ["--v"]), (H.visible_text("c0", 5), "A b H"),
         (F.array_sort(H.resource_urls("c0")), ["/s", "a.png", "b.png", "bg.png", "c.png", "d.jpg", "i.css"]), (H.is_challenge("c0"), False), (H.word_count(H.body_text("c0")), 4),
     ]
     row = spark.createDataFrame([(PAGE,)], "c0 string").select(*[c.alias(f"x{i}") for i, (c, _) in enumerate(want)]).first()

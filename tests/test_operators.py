@@ -279,8 +279,8 @@ def test_media(spark):
 
 
 def test_garments(spark):
-    rows = spark.createDataFrame([("Vestido rojo mujer",), ("Zapatos hombre",), ("Jean men",), ("Camisa unisex hombre mujer",)], "t string")
-    assert [tuple(r) for r in rows.select(C.garment("t").alias("a"), C.wearer("t").alias("b")).collect()] == [("one-pieces", "female"), (None, "male"), ("bottoms", "male"), ("tops", "female")]
+    rows = spark.createDataFrame([("Vestido rojo mujer",), ("Zapatos hombre",), ("Jean men",), ("Camisa unisex hombre mujer",), ("Camisa con capucha",), ("Short baggy",), ("Bermuda",), ("Cardigan",), ("Vestido con cinturón",), ("Dress with belt",), ("Blusa manga larga",), ("Vestido hombre",), (None,)], "t string")
+    assert [tuple(r) for r in rows.select(C.garment("t").alias("a"), C.wearer("t").alias("b")).collect()] == [("one-pieces", "female"), (None, "male"), ("bottoms", "male"), ("tops", "female"), ("tops", "female"), ("bottoms", "female"), ("bottoms", "female"), ("tops", "female"), (None, "female"), (None, "female"), ("tops", "female"), ("one-pieces", "female"), (None, "female")]
 
 
 # --- pages as nodes -----------------------------------------------------------------------------------------------
