@@ -69,12 +69,11 @@ def media_ids(sources: Column, page: Column) -> Column:
     return F.transform(F.filter(whole, lambda u: u.isNotNull()), lambda u: stable_id("media", u))
 
 
-def in_sections(pages: DataFrame, key: str = "url") -> DataFrame:
-    """The rows of ``dom.node_rows`` of ``pages`` (key, html) that lie in a section or are one, with ``section`` (from 0), its node and its depth.
+def in_sections(nodes: DataFrame, key: str = "url") -> DataFrame:
+    """The rows of ``dom.node_rows`` (of pages known by ``key``) that lie in a section or are one, with ``section`` (from 0), its node and its depth.
 
     Sections are the outermost of the first ROOTS elements that look like one, at most SECTIONS; where none does, the first CHILDREN children of body.
     """
-    nodes = dom.node_rows(pages.select(key, "html"))
     page = Window.partitionBy(key).orderBy("node")
     before, so_far = page.rowsBetween(Window.unboundedPreceding, -1), page.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy(key)
@@ -123,7 +122,7 @@ def blocks(nodes: DataFrame, key: str = "url") -> DataFrame:
 
 def layout(pages: DataFrame, key: str = "url") -> tuple[DataFrame, DataFrame]:
     """Sections and blocks of ``pages`` (key, html); key is the page's address."""
-    nodes = in_sections(pages, key)
+    nodes = in_sections(dom.node_rows(pages.select(key, "html")), key)
     return sections(nodes, key), blocks(nodes, key)
 
 

@@ -68,7 +68,7 @@ SELECT s.url, section, 'section:' || {SLUG.format("s.url || '-' || section || '-
  FROM s LEFT JOIN h ON h.url = s.url AND h.parent = s.node"""
 )
 def layout_sections(spark, folder):
-    found = L.sections(L.in_sections(pages(spark, folder)))
+    found = L.sections(L.in_sections(elements(spark, folder)))
     return found.withColumns({c: F.col(c).cast("long") for c in ("section", "columns", "elements")})
 
 
@@ -82,7 +82,7 @@ SELECT url, section, level, node, parent, place::VARCHAR AS place, 'block:' || {
  FROM g LEFT JOIN j USING (url, node)"""
 )
 def layout_blocks(spark, folder):
-    found = L.blocks(L.in_sections(pages(spark, folder))).withColumn("images", F.size("media")).drop("media")
+    found = L.blocks(L.in_sections(elements(spark, folder))).withColumn("images", F.size("media")).drop("media")
     return found.withColumns({c: F.col(c).cast("long") for c in ("section", "level", "node", "parent", "images")})
 
 

@@ -25,5 +25,5 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from siltstone.plans import commerce, derived, detect, events, frontier, layout, machines, pages, relational, reports, urls  # noqa: F401
+    from siltstone.plans import commerce, corrections, derived, detect, events, frontier, layout, machines, models, pages, relational, reports, urls  # noqa: F401
     from siltstone.streaming import plans  # noqa: F401
