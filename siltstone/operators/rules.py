@@ -159,12 +159,20 @@ def sales_readiness(broken: Column, thin: Column, has_candidate: Column) -> Colu
 
 
 def site_scores(judged: DataFrame, site: str) -> DataFrame:
-    """Pages, issues by severity, penalty and score of each site; global duplicate issues count too."""
-    of = lambda severity: F.size(F.filter("issues", lambda x: x["severity"] == severity)).alias(severity)
-    own = judged.select(site, *[of(s) for s in WEIGHTS])
-    own = own.groupBy(site).agg(F.count(F.lit(1)).alias("pages"), *[F.sum(s).alias(s) for s in WEIGHTS])
-    copies = duplicate_issues(judged, [site]).groupBy(site).agg(F.count(F.lit(1)).alias("copies"))
-    joined = own.join(copies, site, "left").withColumn("warning", F.col("warning") + F.coalesce("copies", F.lit(0))).drop("copies")
+    """Pages, issues by severity, penalty and score of each site; global duplicate issues count too.
+
+    One pass: each page gives a row of its issues, one of its title and one of
+    its description; a title is a duplicate if its first and last address differ.
+    """
+    of = lambda severity: F.size(F.filter("issues", lambda x: x["severity"] == severity)).cast("long").alias(severity)
+    row = lambda kind, value, *counts: F.struct(F.lit(kind).alias("kind"), value.alias("value"), *counts)
+    none = [F.lit(0).cast("long").alias(s) for s in WEIGHTS]
+    rows = F.array(row("page", F.lit(None).cast("string"), *[of(s) for s in WEIGHTS]), *[row(name, F.col(name), *none) for name in ("title", "description")])
+    told = judged.select(site, "url", F.explode(rows).alias("x")).select(site, "url", "x.*").where("kind = 'page' or value is not null")
+    held = told.groupBy(site, "kind", "value").agg(F.count(F.lit(1)).alias("n"), F.min("url").alias("first"), F.max("url").alias("last"), *[F.sum(s).alias(s) for s in WEIGHTS])
+    is_page = F.col("kind") == "page"
+    total = held.groupBy(site).agg(F.sum(F.when(is_page, F.col("n")).otherwise(0)).alias("pages"), *[F.sum(s).alias(s) for s in WEIGHTS], F.count_if(~is_page & (F.col("first") != F.col("last"))).alias("copies"))
+    joined = total.withColumn("warning", F.col("warning") + F.col("copies")).drop("copies")
     value, penalty = score(F.col("critical"), F.col("warning"), F.col("info"))
     return joined.withColumns({"penalty": penalty, "score": value})
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from siltstone.checkpoints import shared_folder
 from siltstone.operators import catalog as C
 from siltstone.registry import query
+from siltstone.sources import workbooks as W
 from siltstone.sources.tables import table
 
 
@@ -62,3 +66,15 @@ WORN = "concat(case p_partkey % 13 when 0 then 'Camisa con capucha' when 1 then
 def garment_kinds(spark, folder):
     own = table(spark, folder, "part").select("p_partkey", F.expr(WORN).alias("t"))
     return own.select("p_partkey", C.garment("t").alias("zone"), C.wearer("t").alias("wearer"))
+
+
+@query("""WITH r AS (SELECT c_custkey, trim(c_name) AS name, CASE WHEN c_custkey % 5 = 0 THEN 'ftp://x' ELSE 'https://' || CASE WHEN c_custkey % 2 = 0 THEN 'www.' ELSE '' END || 'Shop' || (c_custkey % 400) || '.example' || CASE WHEN c_custkey % 3 = 0 THEN '/es/' ELSE '' END END AS website FROM customer),
+k AS (SELECT *, 'shop' || (c_custkey % 400) || '.example' || CASE WHEN c_custkey % 3 = 0 THEN '/es' ELSE '' END AS key FROM r WHERE c_custkey % 5 <> 0)
+SELECT min_by(name, c_custkey) AS name, min_by(website, c_custkey) AS website, count(*) AS n_rows FROM k GROUP BY key""")
+def workbook_shops(spark, folder):
+    """Customers as workbooks, written and read back as a list of businesses."""
+    at = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    site = """case when c_custkey % 5 = 0 then 'ftp://x' else concat('https://', if(c_custkey % 2 = 0, 'www.', ''), 'Shop', c_custkey % 400, '.example', if(c_custkey % 3 = 0, '/es/', '')) end"""
+    rows = table(spark, folder, "customer").orderBy("c_custkey").coalesce(1).select(F.concat(F.lit(" "), "c_name").alias("NOMBRE "), F.expr(site).alias("Página  web"), F.col("c_custkey").alias("Teléfono"))
+    W.write_workbooks(rows, at, 10_000_000)
+    return W.workbook_businesses(W.workbook_rows(spark, at)).select("name", "website", F.size("rows").cast("long").alias("n_rows"))

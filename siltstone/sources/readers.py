@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -22,22 +23,36 @@ def json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_members(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".html", ".json", ".css", ".js", ".txt")) -> DataFrame:
-    """archive, name, text of the text members of ZIP archives; stored and deflated ones only, with safe names."""
+    """archive, name, text and problem of the text members of ZIP archives; stored and deflated ones only, with safe names.
+
+    A member that cannot be read has a ``problem`` and no text; an archive that is none has a row without a name.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def members(content: memoryview) -> Iterator[tuple[str | None, str | None, str | None]]:
+        try:
+            archive = zipfile.ZipFile(io.BytesIO(content))
+        except (zipfile.BadZipFile, OSError, ValueError) as problem:
+            yield None, None, str(problem)
+            return
+        with archive:
+            for info in archive.infolist():
+                if info.is_dir() or not info.filename.endswith(suffixes) or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                    continue
+                if info.filename.startswith("/") or ".." in info.filename.split("/"):
+                    continue
+                try:
+                    yield info.filename, archive.read(info).decode("utf-8", "replace"), None
+                except (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError) as problem:
+                    yield info.filename, None, str(problem)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
-                    for info in archive.infolist():
-                        if info.is_dir() or not info.filename.endswith(suffixes) or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
-                            continue
-                        if info.filename.startswith("/") or ".." in info.filename.split("/"):
-                            continue
-                        text = archive.read(info).decode("utf-8", "replace")
-                        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([info.filename]), pa.array([text])], ["archive", "name", "text"])
-
-    return files.mapInArrow(run, "archive string, name string, text string")
+                for row in members(content.as_buffer()):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (at, *row)], ["archive", "name", "text", "problem"])
+
+    return files.mapInArrow(run, "archive string, name string, text string, problem string")
 
 
 def manifest_pages(manifest: DataFrame, models: DataFrame, found: DataFrame) -> DataFrame:

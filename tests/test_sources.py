@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import rules
 from siltstone.sources import readers, sinks
+from siltstone.sources import workbooks as W
 
 
 def test_json_and_archives(spark, tmp_path):
@@ -23,6 +24,48 @@ def test_json_and_archives(spark, tmp_path):
     assert [(r.name, r.text) for r in readers.archive_members(spark, str(tmp_path / "c.zip")).collect()] == [("p/a.html", "<p>")]
 
 
+def test_broken_archives_have_a_status(spark, tmp_path):
+    (tmp_path / "none.zip").write_bytes(b"no archive")
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as archive:
+        archive.writestr("a.txt", "fine")
+        archive.writestr("b.txt", "spoilt text")
+    data = (tmp_path / "two.zip").read_bytes()
+    (tmp_path / "two.zip").write_bytes(data.replace(b"spoilt text", b"Spoilt text", 1))
+    got = {(r.archive.rsplit("/", 1)[-1], r.name): (r.text, bool(r.problem)) for r in readers.archive_members(spark, str(tmp_path)).collect()}
+    assert got == {("none.zip", None): (None, True), ("two.zip", "a.txt"): ("fine", False), ("two.zip", "b.txt"): (None, True)}
+
+
+def test_workbooks_of_businesses(spark, tmp_path):
+    rows = [("Café  Uno", " https://www.A.com:8080/es/ ", "1", "x\r\ny & <z>"), ("Cafe Uno", "https://b.com", None, None), ("Again", "http://a.com/es", "2", ""), (None, "https://c.com", "3", ""), ("No site", "www.d.com", "", ""), ("日本", "https://e.com", "", "\x01ok")]
+    W.write_workbooks(spark.createDataFrame(rows, "`Nombre ` string, `PÁGINA   Web` string, `Teléfono` string, `Dirección` string").coalesce(1), str(tmp_path / "books"))
+    (tmp_path / "books" / "broken.xlsx").write_bytes(b"PK nothing")
+    told = W.workbook_rows(spark, str(tmp_path / "books")).cache()
+    assert [(r.sheet, r.row, bool(r.problem)) for r in told.where("problem is not null").collect()] == [(None, None, True)] and told.count() == 8
+    got = [(r.name, r.website, r.phone, r.address, r.slug, [(x.sheet, x.row) for x in r.rows]) for r in W.workbook_businesses(told).orderBy("place").collect()]
+    assert got == [
+        ("Café  Uno", "https://www.A.com:8080/es/", "1", "x\r\ny & <z>", "cafe-uno", [("rows", 2), ("rows", 4)]),
+        ("Cafe Uno", "https://b.com", "", "", "cafe-uno-2", [("rows", 3)]),
+        ("日本", "https://e.com", "", "ok", "tienda", [("rows", 7)]),
+    ]
+    W.write_workbooks(spark.createDataFrame([(str(i), str(i)) for i in range(7)], "a string, b string").coalesce(1), str(tmp_path / "parts"), 3)
+    assert W.workbook_rows(spark, str(tmp_path / "parts")).count() == 10 and W.workbook_businesses(W.workbook_rows(spark, str(tmp_path / "parts"))).count() == 0
+
+
+def test_references_shared_texts_and_gaps():
+    import io
+
+    main, linked = W.MAIN.strip("{}"), W.LINKED.strip("{").split("}")[0]
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{linked}"><sheets><sheet name="S" sheetId="1" r:id="a"/><sheet name="T" sheetId="2" r:id="b"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/one.xml"/><Relationship Id="b" Target="/xl/worksheets/missing.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>zero</t></si><si><r><t>on</t></r><r><t>e</t></r></si></sst>')
+        z.writestr("xl/worksheets/one.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>1</v></c><c r="AB1"><v>5</v></c></row><row r="4"><c t="s"><v>0</v></c><c><v>2.5</v></c></row></sheetData></worksheet>')
+    rows = list(W.sheet_rows(memoryview(out.getvalue())))
+    assert rows[0] == (0, "S", 1, ["one", *[None] * 26, "5"], None) and rows[1] == (0, "S", 4, ["zero", "2.5"], None)
+    assert rows[2][:4] == (1, "T", None, None) and "missing" in rows[2][4]
+
+
 def test_businesses_manifest_and_settings(spark):
     rows = [(1, "Café Uno", "https://www.a.com/"), (2, "Again", "http://A.com"), (3, "cafe uno", "https://b.com"), (4, "x", "ftp://c"), (5, None, "https://d.com")]
     got = readers.businesses(spark.createDataFrame(rows, "place int, name string, website string")).orderBy("place").collect()
