@@ -12,7 +12,7 @@ from siltstone.sources.tables import table
 #: The same text in Spark's and DuckDB's SQL; % stands for the page's number.
 HTML = """concat('<html><head><title>t</title></head><body class="b"><header id="top"><nav aria-label="Main"><ul><li><a href="/a%">A <b>%</b></a></li><li><a href="/b?x=1">B</a></li></ul></nav></header>',
  repeat(concat('<div class="row x', page_id % 7, '"><h2>H ', page_id, '</h2><div class="col-1 hero"><p>One <b>two ', page_id, '</b> three</p><img src="/i', page_id % 5, '.png"><img alt="none"></div><div class="grid"><ul>',
-  repeat('<li><a href="p.html">go</a></li>', cast(page_id % 12 as int)), '</ul></div><div>', repeat('<p><i>x</i></p>', cast(page_id % 23 as int)), '</div></div>'), cast(page_id % 45 as int)),
+  repeat('<li><a href="p.html">go</a></li>', cast(page_id % 12 as int)), '</ul></div><div>', repeat('<p><i>x</i></p>', cast(page_id % 23 as int)), '</div></div>'), cast(case when page_id % 50 = 0 then 44 else page_id % 7 end as int)),
  case when page_id % 3 = 0 then '<main><section><article class="testimonial slider"><h3>Said</h3><div><div><div><div><em>deep</em></div></div></div></div></article></section><form class="wpcf7-form" action="/send" method="post"><input name="q" placeholder="Your  name" required><select name="s"></select></form></main>' else '<p class="lead">none</p>' end,
  case when page_id % 2 = 0 then '<aside class="side widget"><h4>Near</h4><a href="/n">n</a></aside>' else '' end, '<footer class="site-footer"><ul><li><a href="/f">F</a></li></ul><form></form></footer></body></html>')"""
 
