@@ -216,10 +216,11 @@ def css_variables(spark, folder):
     return own.select("page_id", F.explode("v").alias("name", "value"))
 
 
-@query(rf"SELECT page_id, array_to_string(list_distinct(list_transform(regexp_extract_all(regexp_extract(html, '(?is)<style[^>]*>(.*?)</style>', 1), '(?i)(?:margin|padding|gap)\s*:\s*([^;]+)', 1), lambda x: trim(x))), ',') AS spacing FROM pages")
+@query(f"""WITH c AS (SELECT page_id, {CSS} AS css FROM pages), f AS (SELECT page_id, list_transform(regexp_extract_all(css, '(?i){H.SPACING}', 1), lambda x: trim(x)) AS found FROM c)
+SELECT page_id, array_to_string(list_filter(found, lambda v, i: list_position(found, v) = i), ',') AS spacing FROM f""")
 def css_spacing(spark, folder):
-    css = F.regexp_extract("html", r"(?is)<style[^>]*>(.*?)</style>", 1)
-    return pages(spark, folder).select("page_id", F.array_join(H.css_tokens(css)["spacing"], ",").alias("spacing"))
+    own = D.parsed(table(spark, folder, "pages").select("page_id", F.expr(STYLED).alias("html"))).select("page_id", H.css_spacing(D.css()).alias("s"))
+    return own.select("page_id", F.array_join("s", ",").alias("spacing"))
 
 
 @query(f"""WITH t AS (SELECT page_id, {TITLE} AS title FROM pages)

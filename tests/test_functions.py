@@ -124,3 +124,12 @@ def test_html(spark):
     ]
     row = spark.createDataFrame([(PAGE,)], "c0 string").select(*[c.alias(f"x{i}") for i, (c, _) in enumerate(want)]).first()
     assert list(row) == [w for _, w in want]
+
+
+def test_css_spacing_takes_all_values_of_all_styles(spark):
+    from siltstone.operators import dom as D
+
+    many = "".join(f"p{i} {{ padding-left: {i}em }}" for i in range(70))
+    page = f"<html><head><style>a {{ margin-top: 1px; GAP : 2px }}</style></head><body><p style='margin:3px;row-gap:4px'></p><style>{many}</style></body></html>"
+    row = D.parsed(spark.createDataFrame([(page,)], "html string")).select(H.css_spacing(D.css()).alias("x")).first()
+    assert row.x == ["1px", "2px", *[f"{i}em" for i in range(70)], "3px", "4px"]
