@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows that go to a Python worker at once.
+ARROW_BYTES = 8 << 20
 #: A key is hot if more than a HOT-th of all rows have it, and over LEAST.
 HOT, LEAST = 4096, 4096
 
@@ -21,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows go to Python workers by ARROW_BYTES at once: batches of long rows (texts, sets) are held by the JVM and the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back; cuts the lineage."""
     spark = df.sparkSession

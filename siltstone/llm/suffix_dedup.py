@@ -36,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.bytetext import mix, powers, prefix_hash, span_hash, text_slices
-from siltstone.llm.shared import discard, join_hot, settle
+from siltstone.llm.shared import discard, join_hot, settle, small_batches
 
 MINIMUM = 200
 GRAM = 56
 GROUP = 4096  # runs have at most 2 * MINIMUM - GRAM bytes, so a group is about as large as a batch
-PIECE = 2 << 20
-BATCH = 1 << 20
+PIECE = 1 << 19
+BATCH = 1 << 19
+COUNTED = 1024  # runs whose windows are counted at once
 ANCHOR = "h long, whole long, doc long, f long, begin int, count int"
 NO_ID = -(1 << 63)
 
@@ -85,7 +86,7 @@ def runs(data: np.ndarray, bounds: np.ndarray, minimum: int, gram: int) -> tuple
 
 def pieces(column: pa.Array, minimum: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Rows, bytes, bounds and place in its text of parts of a text column; a long text comes in overlapping parts."""
-    for a, b, data, offsets in text_slices(column):
+    for a, b, data, offsets in text_slices(column, PIECE):
         if len(data) <= 2 * PIECE:
             yield np.arange(a, b), data, offsets, np.zeros(b - a, np.int64)
             continue
@@ -246,8 +247,8 @@ def by_count(snippets: DataFrame, minimum: int) -> DataFrame:
     """The same for anchors with too many runs to gather: windows are counted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # the runs of a batch one after the other; windows that cross from one to the next are left out
+        for batch in (whole.slice(i, COUNTED) for whole in batches for i in range(0, whole.num_rows, COUNTED)):
+            # the runs of a slice one after the other; windows that cross from one to the next are left out
             raw = batch.column(1).cast(pa.large_binary())
             offsets = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
             data = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]] if len(raw) and raw.buffers()[2] is not None else np.zeros(0, np.uint8)
@@ -321,6 +322,7 @@ def covered(begin: np.ndarray, count: np.ndarray, minimum: int) -> list[tuple[in
 
 def deduplicate(docs: DataFrame, minimum: int = MINIMUM, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (bytes) of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     found = windows_found(keyed, minimum, gram, group).groupBy("doc", "f").agg(F.collect_list(F.struct("begin", "count")).alias("own"))
 

@@ -90,3 +90,18 @@ def test_long_text_in_pieces(spark, monkeypatch):
             found.update(range(a + p, a + p + n))
     size = len("".join(t or "" for t in texts).encode())
     assert set(found) == set(range(size - 199)) and set(found.values()) == {1}
+
+
+def test_texts_and_batches_are_taken_in_small_parts(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([f"{i} " * 500 for i in range(4000)])
+    parts = list(S.pieces(texts, 200))
+    assert max(len(data) for _, data, _, _ in parts) <= 1 << 19 and sum(len(rows) for rows, *_ in parts) == 4000
+    # hot anchors, their windows counted by slices of two runs
+    monkeypatch.setattr(S, "COUNTED", 2)
+    same = "".join(chr(97 + i * i % 23) for i in range(230))
+    docs = spark.createDataFrame([(i, f"{i:03d}" * 30 + same + f"{i * 7:03d}" * 30) for i in range(12)], "doc_id long, text string")
+    want = sorted(map(tuple, S.deduplicate(docs).collect()))
+    assert sorted(map(tuple, S.deduplicate(docs, group=1).collect())) == want and all(r[2] >= 230 for r in want)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
