@@ -22,6 +22,13 @@ SHARED_ITEMS families are looked up where others of the family matched, or at
 once where half of the windows could match without others; only a run of
 nothing but such windows, under half of the item, is common wording.
 
+Both are exact with their tables of members.  families() gives the class and
+the family of every item, so a document is linked with all members of the
+families of its rows.  wording() gives every run of RUN_WORDS words that a
+document shares with any item, common or not and whatever the number of items,
+once for each run with the smallest item that has it; wording_items() gives
+all items of a run.
+
 Edge cases: null and empty texts have no windows and match nothing; items of
 fewer than WORDS words are matched whole from SHORTEST words on, and not at
 all below, as they would match by chance; repeated document rows give one
@@ -48,6 +55,7 @@ SHARE = 0.5
 LITERALS = 3
 SHARED_ITEMS = 64
 BITMAP_WORDS = 1 << 18
+SPAN_SLICE = 1 << 19
 
 NUMBER, UNIT, NAME = 1, 2, 3
 # Words for small numbers, and units.
@@ -70,6 +78,7 @@ UPPER = np.zeros(256, dtype=bool)
 UPPER[65:91] = True
 PLACE = mix(np.arange(11, 15, dtype=np.uint64))
 KIND = mix(np.arange(31, 33, dtype=np.uint64))
+SPAN_PLACES = mix(np.arange(51, 51 + RUN_WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -153,7 +162,7 @@ def document_windows(docs: DataFrame, bitmap, sizes: list[int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
-            for x, y, data, offsets in text_slices(batch.column(1)):
+            for x, y, data, offsets in text_slices(batch.column(1), SPAN_SLICE):
                 rows, literal, slot = tokens(data, offsets)
                 first = np.searchsorted(rows, np.arange(y - x))
                 ids = batch.column(0).slice(x, y - x)
@@ -213,6 +222,62 @@ def item_windows(items: DataFrame) -> DataFrame:
     return _texts(items, "item_id").mapInArrow(run, SCHEMA + ", words long, family long, n_windows long, held boolean, dense boolean, values array<long>")
 
 
+def _spans(texts: DataFrame) -> DataFrame:
+    """Every run of RUN_WORDS words of texts (id, text): id, place, and a key that is equal for runs that agree but for the values of slots.
+
+    Equal values must stand in the same slots; where under LITERALS words are no slots, the words themselves make the key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x, y, data, offsets in text_slices(batch.column(1), SPAN_SLICE):
+                rows, literal, slot = tokens(data, offsets)
+                n = len(rows) - RUN_WORDS + 1
+                at = np.flatnonzero(rows[:n] == rows[RUN_WORDS - 1 :]) if n > 0 else np.zeros(0, np.int64)
+                keys = span_hash(prefix_hash(literal), at, at + RUN_WORDS)
+                filled = np.concatenate([[0], np.cumsum(slot > 0)])
+                count = filled[at + RUN_WORDS] - filled[at]
+                some = np.flatnonzero((count > 0) & (count <= RUN_WORDS - LITERALS))
+                places = at[some][:, None] + np.arange(RUN_WORDS)
+                own, kinds = literal[places], slot[places]
+                first = np.zeros(own.shape, np.uint64)
+                for j in range(RUN_WORDS):  # where in the run each value stands first
+                    first[:, j] = ((own[:, : j + 1] == own[:, j : j + 1]) & (kinds[:, : j + 1] > 0)).argmax(axis=1)
+                with np.errstate(over="ignore"):
+                    said = np.where(kinds > 0, mix((PLACE[kinds] + first).reshape(-1)).reshape(own.shape), own)
+                    keys[some] = mix((said * SPAN_PLACES).sum(axis=1, dtype=np.uint64) + KIND[1])
+                begin = np.searchsorted(rows, np.arange(y - x))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(x, y - x).take(pa.array(rows[at])), pa.array((at - begin[rows[at]]).astype(np.int64)), pa.array(keys.view(np.int64))], ["id", "place", "key"]
+                )
+
+    return texts.mapInArrow(run, "id long, place long, key long")
+
+
+def wording_items(benchmark: DataFrame) -> DataFrame:
+    """(wording, item_id): each item with each of its runs of RUN_WORDS words."""
+    return _spans(_texts(benchmark, "item_id")).select(F.col("key").alias("wording"), F.col("id").alias("item_id")).distinct()
+
+
+def wording(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Every run of RUN_WORDS words that a document shares with any item, without a limit on how many items have it.
+
+    doc_id, wording, the smallest item_id and the number of the items that have the run, its first place in the document and how often it is there.
+    """
+    known = settle(wording_items(benchmark).groupBy("wording").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items")), "wording")
+    found = _spans(_texts(docs, "doc_id")).where("id is not null").withColumnsRenamed({"id": "doc_id", "key": "wording"})
+    mine = found.join(known.select("wording"), "wording", "left_semi").groupBy("doc_id", "wording").agg(F.min("place").alias("first_word"), F.count(F.lit(1)).alias("n_times"))
+    return mine.join(known, "wording").select("doc_id", "wording", "item_id", "n_items", "first_word", "n_times")
+
+
+def families(benchmark: DataFrame) -> DataFrame:
+    """(item_id, class_id, family_id) of every item that can match: the smallest items with the same words, and with the same words but for the values of slots."""
+    every = item_windows(benchmark).where("values is not null").select(F.col("id").alias("item_id"), "words", "family").distinct()
+    every = settle(every, "members")
+    classes, heads = every.groupBy("words").agg(F.min("item_id").alias("class_id")), every.groupBy("family").agg(F.min("item_id").alias("family_id"))
+    return every.join(classes, "words").join(heads, "family").select("item_id", "class_id", "family_id")
+
+
 def _texts(table: DataFrame, key: str) -> DataFrame:
     return table.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -248,13 +313,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated document and item class.
 
     doc_id, item_id, n_matched of n_windows windows, the longest run in words,
-    the first and last matched word in the document, slots with other values.
+    the first and last matched word in the document, slots with other values,
+    and the item's family: its smallest item, whose members families() gives.
     """
     spark = docs.sparkSession
     every = settle(item_windows(benchmark), "item_windows")
     items = every.where("values is not null").groupBy("words", "family").agg(F.min("id").alias("item_id"), F.first("values").alias("values"), F.first("n_windows").alias("n_windows"), F.first("size").alias("size"))
     heads = items.groupBy("family").agg(F.min(F.struct("item_id", "words")).alias("head"), F.count(F.lit(1)).alias("members"))
-    items = settle(items.join(heads, "family").withColumn("first", F.col("words") == F.col("head.words")).drop("head"), "items")
+    items = settle(items.join(heads, "family").withColumn("first", F.col("words") == F.col("head.words")).withColumn("family_id", F.col("head.item_id")).drop("head"), "items")
     # windows without slots and templates are looked up by family, others by item
     common = F.col("template") | ~F.col("held")
     every = every.drop("values").distinct().join(items.select("words", "item_id", "first"), "words").where(F.col("id") == F.col("item_id"))
@@ -302,8 +368,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     large = named.where(F.col("members") > SHARED_ITEMS).select("doc_id", "family").distinct()
     told = named.unionByName(whole.where(F.col("members") <= SHARED_ITEMS)).unionByName(whole.where(F.col("members") > SHARED_ITEMS).join(large, ["doc_id", "family"], "left_anti"))
     best = F.max(F.struct("n_matched", "run_words", -F.col("first_word"), "n_windows", "first_word", "last_word", "n_changed_slots")).alias("x")
-    told = told.groupBy("doc_id", "item_id").agg(best)
-    return told.select("doc_id", "item_id", *[F.col(f"x.{c}").alias(c) for c in ("n_matched", "n_windows", "run_words", "first_word", "last_word", "n_changed_slots")])
+    told = told.groupBy("doc_id", "item_id", "family_id").agg(best)
+    return told.select("doc_id", "item_id", *[F.col(f"x.{c}").alias(c) for c in ("n_matched", "n_windows", "run_words", "first_word", "last_word", "n_changed_slots")], "family_id")
 
 
 def _judged(lined: DataFrame) -> DataFrame:
@@ -322,6 +388,7 @@ def _judged(lined: DataFrame) -> DataFrame:
         "family",
         "members",
         "item_id",
+        "family_id",
         "n_windows",
         F.size("places").cast("long").alias("n_matched"),
         F.size(F.array_intersect("places", "told_at")).alias("n_matched_told"),

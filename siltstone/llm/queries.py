@@ -19,6 +19,20 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def benchmark_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members that stand behind op1's rows."""
+    from siltstone.llm.decontamination import families
+
+    return families(table(spark, sf_dir, "benchmark"))
+
+
+def benchmark_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words that documents share with any item of the benchmark, common wording too."""
+    from siltstone.llm.decontamination import wording
+
+    return wording(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.suffix_dedup import deduplicate
 
@@ -105,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_warc": op11_warc,
     "op12_ranked_search": op12_ranked_search,
     "op13_whitening": op13_whitening,
+    "benchmark_families": benchmark_families,
+    "benchmark_wording": benchmark_wording,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -115,3 +115,26 @@ def test_rows_without_id_are_cleaned_by_text(spark):
     docs = spark.createDataFrame([(None, f"before {passage} after", 1), (None, "nothing of the kind stands here at all, only other words", 2), (None, None, 3), (5, passage, 4), (5, passage, 4)], "doc_id long, text string, id int")
     kept = D.clean(docs, spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()
     assert sorted(r.id for r in kept) == [2, 3]
+
+
+def test_every_member_and_all_common_wording_can_be_had(spark):
+    ask = "A farmer near the old mill sells {} baskets of red apples in the morning and {} jars of honey after lunch, how much money does the whole family bring home?"
+    shared = "please answer the following question with one single letter only"
+    items = [(i, ask.format(1000 + i, 5000 + i)) for i in range(100)] + [(200 + i, f"{shared} what comes after number{i} item{i} thing{i} in list{i} of all things{i} here{i}") for i in range(100)]
+    items += [(300, items[42][1]), (301, "four words are few"), (302, None)]
+    texts = [items[42][1], ask.format(7, 8), shared + " and go on", "nothing of the kind stands here at all, only ten other words", None, "sells 5 baskets of red apples in the morning and 5 jars of honey"]
+    docs, benchmark = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    members = {r.item_id: (r.class_id, r.family_id) for r in D.families(benchmark).collect()}
+    assert set(members) == {i for i, _ in items} - {301, 302} and members[300] == (42, 0) and members[299] == (299, 299)
+    rows = D.matches(docs, benchmark).collect()
+    linked = {(r.doc_id, i) for r in rows for i, (_, f) in members.items() if f == r.family_id}
+    assert linked == {(d, i) for d in (0, 1) for i in [*range(100), 300]}
+    of = {}
+    for r in D.wording_items(benchmark).collect():
+        of.setdefault(r.wording, set()).add(r.item_id)
+    runs = D.wording(docs, benchmark).collect()
+    assert all(r.item_id == min(of[r.wording]) and r.n_items == len(of[r.wording]) for r in runs)
+    assert {(r.doc_id, i) for r in runs if r.doc_id == 2 for i in of[r.wording]} == {(2, 200 + i) for i in range(100)}
+    assert {r.doc_id for r in runs} == {0, 1, 2, 5} and len(runs) == len({(r.doc_id, r.wording) for r in runs})
+    # two values of an item cannot both be 5: only the run from word 1 on holds both slots
+    assert {r.first_word for r in runs if r.doc_id == 5} == {0, 2, 3, 4}
