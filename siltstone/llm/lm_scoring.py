@@ -1,7 +1,7 @@
 """Language-model scores of whole texts: a word unigram base, and a causal self-attention model over subwords.
 
 One pass over the training documents counts words and pairs of subword ids,
-and takes one window of ids in SHARE for training; all of it grows with the
+and cuts every text into windows, which all train the model; all of it grows with the
 corpus and is summed by Spark.  The attention model starts from the pair
 counts and is trained in rounds: workers of about WORKER_WINDOWS windows train
 on a part of theirs, and their weights are averaged by a tree of sums.  How many workers
@@ -39,9 +39,10 @@ from siltstone.llm.shared import discard, settle
 from siltstone.llm.subwords import Memory
 
 HEAD_WORDS = 1 << 19
-SHARE = 8
+SHARE = 1  # every window trains
 RATES = (0.03, 0.02, 0.01, 0.003)  # one round each
-WORKER_WINDOWS = 1 << 15
+WORKER_WINDOWS = 1 << 16
+BATCH = 32
 COPIES = 1024
 CACHE_WORDS = 500_000
 PARTS = 16
@@ -125,7 +126,7 @@ def _pairs(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _windows(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """One in SHARE of the windows of some texts, by a hash of the place and what is there.
+    """The windows of some texts; with SHARE over 1 one in SHARE, by a hash of the place and what is there.
 
     A text is cut at an offset of its own, so the windows at its ends may be
     partial (padded with PAD); each id, the end too, is in one window.
@@ -223,17 +224,18 @@ def start_model(raw: DataFrame) -> A.Model:
 def numbered(windows: DataFrame) -> DataFrame:
     """Each window with ``copy``, its number among equal ones; at most COPIES rows of one window are made in a task."""
     counted = windows.groupBy("ids").agg(F.count(F.lit(1)).alias("n"))
-    parts = counted.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long"))))
+    zero = F.lit(0).cast("long")
+    few = counted.where(F.col("n") <= COPIES).select("ids", F.explode(F.sequence(zero, F.col("n") - 1)).alias("copy"))
+    parts = counted.where(F.col("n") > COPIES).withColumn("at", F.explode(F.sequence(zero, F.col("n") - 1, F.lit(COPIES).cast("long"))))
     parts = parts.repartition(F.xxhash64("ids", "at"))
-    return parts.select("ids", F.explode(F.sequence("at", F.least(F.col("at") + COPIES, "n") - 1)).alias("copy"))
+    return few.unionByName(parts.select("ids", F.explode(F.sequence("at", F.least(F.col("at") + COPIES, "n") - 1)).alias("copy")))
 
 
-def train(model: A.Model, windows: DataFrame) -> None:
-    """Rounds of local training on the workers' windows; weights are averaged by how many windows each worker had."""
-    spark = windows.sparkSession
+def train(model: A.Model, every: DataFrame) -> None:
+    """Rounds of local training on the workers' windows (ids, copy); weights are averaged by how many windows each worker had."""
+    spark = every.sparkSession
     codes = class_of_code(model.class_of)
     places = mix(np.arange(1, A.WINDOW + 2))
-    every = settle(numbered(windows), "lm_windows")
     workers = 1 + every.count() // WORKER_WINDOWS
     fan = int(np.ceil(np.sqrt(workers)))
     for turn, rate in enumerate(RATES):
@@ -249,7 +251,7 @@ def train(model: A.Model, windows: DataFrame) -> None:
             seen = seen[np.argsort(mix(seen.astype(np.uint64) @ places), kind="stable")]
             own = np.where(seen == PAD, -1, codes[np.minimum(seen, START_CODE)])
             local = A.Model(sent.value.class_of, sent.value.other, sent.value.group_bias, sent.value.class_bias, {k: v.copy() for k, v in sent.value.weights.items()})
-            A.train(local, own, rate)
+            A.train(local, own, rate, BATCH)
             parts = np.array_split(A.flat(local.weights).astype(np.float64) * len(own), PARTS)
             worker = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
@@ -267,7 +269,7 @@ def train(model: A.Model, windows: DataFrame) -> None:
         found = sums.groupBy("part").applyInArrow(summed, kind).orderBy("part").collect()  # PARTS rows
         if found:
             model.weights = A.views(np.concatenate([np.frombuffer(r.weights) / r.n for r in found]).astype(np.float32))
-    discard(every)
+        discard()
 
 
 def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
@@ -292,7 +294,10 @@ def score(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
     keys, numbers = head.column("key").to_numpy().view(np.uint64), head.column("n").to_numpy()
     order = np.argsort(keys)
     model = start_model(raw)
-    train(model, raw.where(F.col("kind") == TRAIN).select("ids"))
+    every = settle(numbered(raw.where(F.col("kind") == TRAIN).select("ids")), "lm_windows")
+    discard(raw)
+    train(model, every)
+    discard(every)
     sent = spark.sparkContext.broadcast((keys[order], numbers[order], model))
     scale = total + 0.1 * (distinct + 1)
     end = float(np.log10((n_texts + 0.1) / scale))

@@ -43,8 +43,8 @@ def discard(*tables: DataFrame) -> None:
         for at in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        spark._jvm.System.gc()
+    gc.collect()
+    SparkSession.active()._jvm.System.gc()
 
 
 def join_hot(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:

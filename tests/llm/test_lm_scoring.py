@@ -180,3 +180,12 @@ def test_repeated_rows_and_a_long_text(spark):
     rows = L.score(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, long), (2, long)], "doc_id long, text string")).collect()
     assert len(rows) == 4 and len({(r.doc_id, r.score, r.base_score) for r in rows}) == 2
     assert {r.n_tokens for r in rows} == {4, 500_001}
+
+
+def test_every_window_of_the_training_texts_is_gathered(spark):
+    texts = ["stone river", "", "the lamp sees bread " * 40, *[f"text number {i} has some words of its own" for i in range(60)]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = L.gather(docs, None).collect()
+    seen = sum(int((np.frombuffer(r.ids, "<u2")[1:] != L.PAD).sum()) for r in rows if r.kind == L.TRAIN)
+    # each id is once the second of a pair and once in a window
+    assert seen == sum(r.n for r in rows if r.kind == L.PAIR) > len(texts)
