@@ -39,12 +39,13 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.bytetext import LOWER, mix, prefix_hash, span_hash, text_slices, words
 from siltstone.llm.components import components
-from siltstone.llm.shared import discard, join_hot, settle
+from siltstone.llm.shared import discard, join_hot, settle, small_batches
 
 WORDS = 5
 PERCENT = 85
 ROWS = 6
 BANDS = 24
+SLICE = 1 << 19  # bytes of texts whose shingles are hashed at once
 BLOCK = 256
 BLOCK_BYTES = 32 << 20
 SALT = 1024
@@ -102,7 +103,7 @@ def signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE):
                 hashes, bounds = shingle_sets(data, offsets)
                 size = np.diff(bounds)
                 some = np.flatnonzero(size)
@@ -127,7 +128,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in text_slices(batch.column(1)):
+            for a, b, data, offsets in text_slices(batch.column(1), SLICE):
                 hashes, bounds = shingle_sets(data, offsets)
                 sets = [np.sort(hashes[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], ["id", "hashes"])
@@ -238,6 +239,7 @@ def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of ``docs`` (doc_id, text); ``percent`` of the union is shared by a linked pair."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = settle(signatures(docs, percent), "signatures")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()

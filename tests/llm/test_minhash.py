@@ -137,3 +137,13 @@ def test_join_hot_is_a_join(spark, monkeypatch):
         monkeypatch.setattr(shared, "HOT", hot)
         got = {(r.k, r.v, r.w) for r in shared.join_hot(rows, table, ["k"]).select("k", "v", "w").collect()}
         assert got == {(k, v, k * 10) for k, v in ((i % 3 if i < 30 else i, i) for i in range(50)) if k != 2 and k < 45}
+
+
+def test_small_slices_and_batches_give_the_same(spark, monkeypatch):
+    from siltstone.llm import minhash as M
+
+    docs = spark.createDataFrame([(i, f"one two three four five six seven eight nine w{i % 7} ten eleven twelve " * (1 + i % 3)) for i in range(40)], "doc_id long, text string")
+    want = sorted(map(tuple, M.near_duplicates(docs).collect()))
+    monkeypatch.setattr(M, "SLICE", 100)
+    assert sorted(map(tuple, M.near_duplicates(docs).collect())) == want
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
