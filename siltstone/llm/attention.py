@@ -4,7 +4,9 @@ A class is one of the most frequent ids, the end of a text, or all other ids
 together.  Classes form GROUPS groups; a class is predicted as its group, then
 itself within the group, so the two softmaxes are short.  Their logits start
 from smoothed counts of class pairs, and so do the classes' places; one attention layer and one hidden layer
-over a window of classes add to them.
+over a window of classes add to them.  The layer has one head as wide as the
+places, so keys times queries, and values times output, are one full matrix
+each: A and B.  Any four matrices come to such two.
 """
 
 from __future__ import annotations
@@ -25,18 +27,18 @@ HIDDEN = 48
 WINDOW = 64
 STRIDE = 48
 PRIOR = 5.0
-NAMES = ("E", "P", "Q", "K", "V", "O", "W1", "W2", "U", "T")
+NAMES = ("E", "P", "A", "B", "W1", "W2", "U", "T")
 
 
 def shapes() -> dict[str, tuple[int, int]]:
     d = WIDTH
-    return {"E": (CLASSES + 1, d), "P": (WINDOW, d), "Q": (d, d), "K": (d, d), "V": (d, d), "O": (d, d), "W1": (d, HIDDEN), "W2": (HIDDEN, d), "U": (GROUPS, d), "T": (CLASSES, d)}
+    return {"E": (CLASSES + 1, d), "P": (WINDOW, d), "A": (d, d), "B": (d, d), "W1": (d, HIDDEN), "W2": (HIDDEN, d), "U": (GROUPS, d), "T": (CLASSES, d)}
 
 
 def initial(seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     # with U and T at zero an untrained network adds nothing to the counts
-    scale = {"E": 0.3, "P": 0.1, "O": 0.05, "W2": 0.05, "U": 0.0, "T": 0.0}
+    scale = {"E": 0.3, "P": 0.1, "B": 0.05, "W2": 0.05, "U": 0.0, "T": 0.0}
     return {k: rng.normal(0, scale.get(k, s[0] ** -0.5), s).astype(np.float32) for k, s in shapes().items()}
 
 
@@ -106,41 +108,49 @@ MOST = 60.0
 AT_ONCE = 32  # windows whose attention is in memory at once
 
 
+def bound(w: dict[str, np.ndarray]) -> float:
+    """No score of one place by another is larger than this."""
+    longest = sum(float(np.sqrt(np.einsum("ij,ij->i", w[k], w[k]).max())) for k in ("E", "P"))
+    return longest**2 * float(np.linalg.norm(w["A"], 2)) * WIDTH**-0.5
+
+
 @dataclass
 class Ready:
-    """What scoring looks up instead of multiplying: the layers' linear maps of each class and each position."""
+    """What scoring looks up instead of multiplying: queries of each class and each position, and their places with a one behind."""
 
-    asks: tuple[np.ndarray, np.ndarray]  # the class itself and its query
-    tells: tuple[np.ndarray, np.ndarray]  # its key, what its value adds, and 1
+    asks: tuple[np.ndarray, np.ndarray]
+    tells: tuple[np.ndarray, np.ndarray]
+    bounded: bool
 
 
 def prepare(model: Model) -> Ready:
     w = model.weights
-    ask = lambda x: np.concatenate([x, x @ w["Q"] * w["Q"].dtype.type(WIDTH**-0.5)], axis=1)
-    tell = lambda x, one: np.concatenate([x @ w["K"], x @ w["V"] @ w["O"], np.full((len(x), 1), one, x.dtype)], axis=1)
-    return Ready((ask(w["E"]), ask(w["P"])), (tell(w["E"], 1), tell(w["P"], 0)))
+    kind = w["E"].dtype
+    ask = lambda x: x @ (w["A"] * kind.type(WIDTH**-0.5))
+    tell = lambda x, one: np.concatenate([x, np.full((len(x), 1), one, kind)], axis=1)
+    return Ready((ask(w["E"]), ask(w["P"])), (tell(w["E"], 1), tell(w["P"], 0)), bound(w) < MOST)
 
 
 def _hidden(w: dict[str, np.ndarray], ready: Ready, x_in: np.ndarray, first: int) -> np.ndarray:
     """The last layer's output from position ``first`` on; positions before it are only attended to."""
     n, size = x_in.shape
-    own = np.take(ready.asks[0], x_in[:, first:], axis=0)
-    own += ready.asks[1][first:size]
-    told = np.take(ready.tells[0], x_in, axis=0)
-    told += ready.tells[1][:size]
-    x, q, k, v = own[:, :, :WIDTH], own[:, :, WIDTH:], told[:, :, :WIDTH], told[:, :, WIDTH:]
-    m = np.empty((n, size - first, WIDTH + 1), own.dtype)
+    q = np.take(ready.asks[0], x_in[:, first:], axis=0)
+    q += ready.asks[1][first:size]
+    ones = np.take(ready.tells[0], x_in, axis=0)
+    ones += ready.tells[1][:size]
+    turned = np.ascontiguousarray(ones[:, :, :WIDTH].transpose(0, 2, 1))
+    sums = np.empty((n, size - first, WIDTH + 1), ones.dtype)
     # in two parts, so that the first queries do not meet the last keys, which they must not see
     for a, b in ((first, (first + size) // 2), ((first + size) // 2, size)):
-        seen = np.matmul(q[:, a - first : b - first], k[:, :b].transpose(0, 2, 1))
-        if max(seen.max(initial=0), -seen.min(initial=0)) > MOST:
+        seen = np.matmul(q[:, a - first : b - first], turned[:, :, :b])
+        if not ready.bounded:
             np.clip(seen, -MOST, MOST, out=seen)
         np.exp(seen, out=seen)
-        seen[:, :, a:] *= MASK[: b - a, : b - a]
-        np.matmul(seen, v[:, :b], out=m[:, a - first : b - first])
-    m = m.reshape(-1, WIDTH + 1)
-    h = m[:, :WIDTH] / m[:, WIDTH:]
-    h += x.reshape(-1, WIDTH)
+        seen *= np.ascontiguousarray(MASK[a:b, :b])
+        np.matmul(seen, ones[:, :b], out=sums[:, a - first : b - first])
+    m = sums[:, :, :WIDTH] * (1 / sums[:, :, WIDTH:])
+    h = m.reshape(-1, WIDTH) @ w["B"]
+    h.reshape(m.shape)[:] += ones[:, first:, :WIDTH]
     z = h @ w["W1"]
     np.maximum(z, 0, out=z)
     h += z @ w["W2"]
@@ -151,9 +161,10 @@ def _log_share(logits: np.ndarray, at: np.ndarray, own_bias: np.ndarray, factors
     """Log of the softmax of logits plus biases at one entry of each row; factors: exp of the biases."""
     if logits.max() > MOST:
         np.minimum(logits, MOST, out=logits)
-    own = logits[np.arange(len(at)), at] + own_bias
+    own = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + at] + own_bias
     np.exp(logits, out=logits)
-    return own - np.log(np.einsum("ij,ij->i", logits, factors))
+    logits *= factors
+    return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
 
 
 def log_probabilities(model: Model, x_in: np.ndarray, x_out: np.ndarray, first: int = 0, ready: Ready | None = None) -> np.ndarray:
@@ -195,80 +206,105 @@ def gradients(model: Model, x_in: np.ndarray, x_out: np.ndarray, out: dict[str,
     n, size = x_in.shape
     kind = w["E"].dtype
     out = out or {k: np.empty_like(v) for k, v in w.items()}
-    seen, scale = np.where(x_in < 0, END, x_in).ravel(), kind.type(d**-0.5)
-    kept = np.flatnonzero(x_out.ravel() >= 0)
-    before, target = seen[kept], x_out.ravel()[kept]
-    # forwards
-    x = np.take(w["E"], seen, axis=0)
-    x.reshape(n, size, d)[:] += w["P"][:size]
-    maps = np.concatenate([w["Q"] * scale, w["K"], w["V"]], axis=1)
-    q, k, v = np.split((x @ maps).reshape(n, size, 3 * d), 3, axis=2)
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    np.clip(a, -MOST, MOST, out=a)
-    np.exp(a, out=a)
-    a *= MASK[:size, :size]
-    a /= a.sum(axis=2, keepdims=True)
-    m = np.matmul(a, v).reshape(n * size, d)
-    h = x + m @ w["O"]
-    z = np.maximum(h @ w["W1"], 0)
-    g = np.take(h + z @ w["W2"], kept, axis=0)
-    # the two softmaxes, and back through them
-    total, group, place = kind.type(len(target)), target >> BITS, target & (SIZE - 1)
-    at = np.arange(len(target))
+    seen, target = x_in.ravel(), x_out.ravel()
+    weight = (target >= 0).astype(kind)
+    weight /= weight.sum()
+    seen, target = np.where(seen < 0, END, seen), np.where(target < 0, END, target)
+    # forwards; a one stands behind each place, so a sum over places also gives what it is to be divided by
+    flat_x = np.take(w["E"], seen, axis=0)
+    x = flat_x.reshape(n, size, d)
+    x += w["P"][:size]
+    ones = np.empty((n, size, d + 1), kind)
+    ones[:, :, :d], ones[:, :, d] = x, 1
+    to_ask = w["A"] * kind.type(d**-0.5)
+    q = (flat_x @ to_ask).reshape(n, size, d)
+    turned = np.ascontiguousarray(ones.transpose(0, 2, 1))
+    sums, bounded = np.empty((n, size, d + 1), kind), bound(w) < MOST
+    # in two parts, so that the first queries do not meet the last keys, which they must not see
+    parts = [(a, b, np.empty((n, 2, b - a, b), kind)) for a, b in ((0, size // 2), (size // 2, size)) if a < b]
+    for a, b, held in parts:
+        e = held[:, 1]
+        np.matmul(q[:, a:b], turned[:, :d, :b], out=e)
+        if not bounded:
+            np.clip(e, -MOST, MOST, out=e)
+        np.exp(e, out=e)
+        e *= np.ascontiguousarray(MASK[a:b, :b])
+        np.matmul(e, ones[:, :b], out=sums[:, a:b])
+    over = 1 / sums[:, :, d:]
+    m = (sums[:, :, :d] * over).reshape(-1, d)
+    h = m @ w["B"]
+    h += flat_x
+    z = h @ w["W1"]
+    np.maximum(z, 0, out=z)
+    g = z @ w["W2"]
+    g += h
 
-    def shares(p: np.ndarray, factors: np.ndarray, own: np.ndarray) -> float:
-        """Turns logits into what the loss loses by them; gives the summed loss."""
-        np.minimum(p, MOST, out=p)
+    # the two softmaxes, and back through them
+    def shares(p: np.ndarray, factors: np.ndarray, own: np.ndarray, weight: np.ndarray) -> float:
+        """Turns logits into what the loss loses by them; gives the loss."""
+        if p.max() > MOST:
+            np.minimum(p, MOST, out=p)
         np.exp(p, out=p)
         p *= factors
-        p /= p.sum(axis=1, keepdims=True)
-        loss = -np.log(p[at, own] + kind.type(1e-30)).sum(dtype=np.float64)
-        p[at, own] -= 1
-        p /= total
-        return loss
+        total, entries, at = p @ np.ones(p.shape[1], kind), p.ravel(), np.arange(0, p.size, p.shape[1]) + own
+        share = entries[at] / total
+        p *= (weight / total)[:, None]
+        entries[at] -= weight
+        return -float(np.log(share + kind.type(1e-30)) @ weight)
 
+    group, place = target >> BITS, target & (SIZE - 1)
     p = g @ w["U"].T
-    loss = shares(p, np.take(model.group_factor, before, axis=0), group)
+    loss = shares(p, np.take(model.group_factor, seen, axis=0), group, weight)
     np.matmul(p.T, g, out=out["U"])
     dg = p @ w["U"]
     order, cuts = by_group(target)
-    ordered, p, back = np.take(g, order, axis=0), np.empty((len(g), SIZE), kind), np.empty_like(g)
+    ordered, back = np.take(g, order, axis=0), np.empty_like(g)
     blocks = [(slice(a, b), slice(k * SIZE, (k + 1) * SIZE)) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
     for rows, own in blocks:
         np.matmul(ordered[rows], w["T"][own].T, out=p[rows])
-    loss += shares(p, np.take(model.class_factor, (group * (CLASSES + 1) + before)[order], axis=0), place[order])
+    loss += shares(p, np.take(model.class_factor, (group * (CLASSES + 1) + seen)[order], axis=0), place[order], weight[order])
     out["T"][:] = 0
     for rows, own in blocks:
         np.matmul(p[rows].T, ordered[rows], out=out["T"][own])
         np.matmul(p[rows], w["T"][own], out=back[rows])
     dg[order] += back
     # back through the layers
-    inner, dg = dg, np.zeros_like(h)
-    dg[kept] = inner
     np.matmul(z.T, dg, out=out["W2"])
     dz = dg @ w["W2"].T
     dz *= z > 0
     np.matmul(h.T, dz, out=out["W1"])
-    dx = dg + dz @ w["W1"].T
-    np.matmul(m.T, dx, out=out["O"])
-    dm = (dx @ w["O"].T).reshape(n, size, d)
-    da = np.matmul(dm, v.transpose(0, 2, 1))
-    da -= np.einsum("nij,nij->ni", da, a)[:, :, None]
-    da *= a
-    parts = np.concatenate([np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dm)], axis=2).reshape(n * size, 3 * d)
-    wide = x.T @ parts
-    out["Q"][:], out["K"][:], out["V"][:] = wide[:, :d] * scale, wide[:, d : 2 * d], wide[:, 2 * d :]
-    dx += parts @ maps.T
+    dg += dz @ w["W1"].T
+    np.matmul(m.T, dg, out=out["B"])
+    dm = dg @ w["B"].T
+    ds = sums  # what the loss loses by the sums
+    np.multiply(dm.reshape(n, size, d), over, out=ds[:, :, :d])
+    ds[:, :, d] = np.einsum("ij,ij->i", dm, m).reshape(n, size)
+    ds[:, :, d] *= -over[:, :, 0]
+    dq, dx = np.empty_like(q), dg.reshape(n, size, d)
+    for a, b, held in parts:
+        np.matmul(ds[:, a:b], turned[:, :, :b], out=held[:, 0])
+        held[:, 0] *= held[:, 1]
+        np.matmul(held[:, 0], x[:, :b], out=dq[:, a:b])
+        # by the scores' keys and by the means, in one product
+        sides = np.empty((n, 2, b - a, d), kind)
+        sides[:, 0], sides[:, 1] = q[:, a:b], ds[:, a:b, :d]
+        dx[:, :b] += np.matmul(held.reshape(n, -1, b).transpose(0, 2, 1), sides.reshape(n, -1, d))
+    dq = dq.reshape(-1, d)
+    np.matmul(flat_x.T, dq, out=out["A"])
+    out["A"] *= kind.type(d**-0.5)
+    dg += dq @ to_ask.T
     out["P"][:] = 0
-    out["P"][:size] = dx.reshape(n, size, d).sum(axis=0)
+    out["P"][:size] = dx.sum(axis=0)
     out["E"][:] = 0
-    order = np.argsort(seen, kind="stable")
-    starts = np.flatnonzero(np.diff(seen[order], prepend=-1))
-    out["E"][seen[order[starts]]] = np.add.reduceat(np.take(dx, order, axis=0), starts, axis=0)
-    return loss / len(target), out
+    small = seen.astype(np.int16)
+    order = np.argsort(small, kind="stable")
+    small = small[order]
+    starts = np.flatnonzero(np.diff(small, prepend=-1))
+    out["E"][small[starts]] = np.add.reduceat(np.take(dg, order, axis=0), starts, axis=0)
+    return loss, out
 
 
-def train(model: Model, windows: np.ndarray, rate: float, batch: int = 16) -> None:
+def train(model: Model, windows: np.ndarray, rate: float, batch: int = 64) -> None:
     """One pass of Adam over rows of WINDOW + 1 classes; updates ``model.weights``."""
     every = flat(model.weights)
     model.weights, grad = views(every), np.zeros_like(every)

@@ -42,7 +42,7 @@ HEAD_WORDS = 1 << 19
 SHARE = 1  # every window trains
 RATES = (0.03, 0.02, 0.01, 0.003)  # one round each
 WORKER_WINDOWS = 1 << 16
-BATCH = 32
+BATCH = 64
 COPIES = 1024
 CACHE_WORDS = 500_000
 PARTS = 16
@@ -125,8 +125,8 @@ def _pairs(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (there[found // m] << 16) | there[found % m], counts
 
 
-def _windows(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """The windows of some texts; with SHARE over 1 one in SHARE, by a hash of the place and what is there.
+def _windows(ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The windows of some texts, one a row; with SHARE over 1 one in SHARE, by a hash of the place and what is there.
 
     A text is cut at an offset of its own, so the windows at its ends may be
     partial (padded with PAD); each id, the end too, is in one window.
@@ -140,15 +140,32 @@ def _windows(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     number = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     place = offset[text] + (number - early[text]) * A.WINDOW
     start, stop = bounds[text] + np.maximum(place, 0), bounds[text] + np.minimum(place + A.WINDOW, size[text])
-    key = mix(span_hash(chain, start, stop) + (number.astype(np.uint64) << np.uint64(33)) + (size[text].astype(np.uint64) << np.uint64(40)))
-    chosen = np.flatnonzero(key % np.uint64(SHARE) == 0)
-    out = []
-    for s, e, k in zip(start[chosen].tolist(), stop[chosen].tolist(), number[chosen].tolist(), strict=True):
-        head = START_CODE if k == 0 else ids[s - 1]
-        out.append(np.concatenate([[head], ids[s:e], np.full(A.WINDOW - (e - s), PAD)]).astype("<u2").tobytes())
+    if SHARE > 1:
+        key = mix(span_hash(chain, start, stop) + (number.astype(np.uint64) << np.uint64(33)) + (size[text].astype(np.uint64) << np.uint64(40)))
+        chosen = np.flatnonzero(key % np.uint64(SHARE) == 0)
+        start, stop, number = start[chosen], stop[chosen], number[chosen]
+    # each with the id before it; what lies behind a text's end is padding
+    padded = np.concatenate([[START_CODE], ids, np.full(A.WINDOW, PAD)]).astype("<u2")
+    out = np.lib.stride_tricks.sliding_window_view(padded, A.WINDOW + 1)[start]
+    out[number == 0, 0] = START_CODE
+    partial = np.flatnonzero(stop - start < A.WINDOW)
+    out[partial] = np.where(np.arange(A.WINDOW + 1) > (stop - start)[partial, None], PAD, out[partial])
     return out
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.strides[0])
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(rows)])
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    """Windows that _binary() has made bytes of."""
+    _, ends, data = column.buffers()
+    first = np.frombuffer(ends, np.int32)[column.offset]
+    return np.frombuffer(data, "<u2", len(column) * (A.WINDOW + 1), first).reshape(-1, A.WINDOW + 1)
+
+
 def gather(docs: DataFrame, ranks_path: str | None) -> DataFrame:
     """Counts of words and of id pairs, training windows, and numbers of texts, as (kind, key, n, ids)."""
 
@@ -179,9 +196,9 @@ def gather(docs: DataFrame, ranks_path: str | None) -> DataFrame:
                         if size[kind] > FLUSH // 2:
                             yield rows_of(kind, *held[kind][0])
                             held[kind], size[kind] = [], 0
-                if own := _windows(ids, bounds):
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TRAIN, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(own, pa.binary())], ["kind", "key", "n", "ids"])
+                own = _windows(ids, bounds)
+                n = len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, TRAIN, np.int32)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), _binary(own)], ["kind", "key", "n", "ids"])
         for kind, parts in held.items():
             if parts:
                 yield rows_of(kind, *merged(parts))
@@ -242,11 +259,10 @@ def train(model: A.Model, every: DataFrame) -> None:
         sent = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2") for batch in batches if batch.num_rows]
+            got = [_rows(batch.column(0)) for batch in batches if batch.num_rows]
             if not got:
                 return
             seen = np.concatenate(got)
-            seen = seen.reshape(-1, A.WINDOW + 1)
             # by a hash of what they hold: windows of one text stand apart, and the order of arrival does not matter
             seen = seen[np.argsort(mix(seen.astype(np.uint64) @ places), kind="stable")]
             own = np.where(seen == PAD, -1, codes[np.minimum(seen, START_CODE)])

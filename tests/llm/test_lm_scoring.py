@@ -189,3 +189,48 @@ def test_every_window_of_the_training_texts_is_gathered(spark):
     seen = sum(int((np.frombuffer(r.ids, "<u2")[1:] != L.PAD).sum()) for r in rows if r.kind == L.TRAIN)
     # each id is once the second of a pair and once in a window
     assert seen == sum(r.n for r in rows if r.kind == L.PAIR) > len(texts)
+
+
+def test_two_maps_say_what_four_say():
+    """Queries, keys, values and output as textbooks have them, against the model's two maps; scoring and training alike."""
+    model, rng, d = small_model(10), np.random.default_rng(12), A.WIDTH
+    model.weights = {k: rng.normal(0, 0.2, v.shape) for k, v in model.weights.items()}
+    q, k, v, o = (rng.normal(0, 0.3, (d, d)) for _ in range(4))
+    model.weights |= {"A": q @ k.T, "B": v @ o}
+    w = model.weights
+    classes = rng.integers(0, A.CLASSES, (2, A.WINDOW + 1))
+    got = A.log_probabilities(model, classes[:, :-1], classes[:, 1:])
+    for row, found in zip(classes, got, strict=True):
+        x = w["E"][row[:-1]] + w["P"]
+        scores = np.where(np.tril(np.ones((A.WINDOW, A.WINDOW))) > 0, (x @ q) @ (x @ k).T / d**0.5, -np.inf)
+        share = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+        h = x + share @ (x @ v) @ o
+        h += np.maximum(h @ w["W1"], 0) @ w["W2"]
+        for i, (before, target) in enumerate(zip(row[:-1], row[1:], strict=True)):
+            group, place = divmod(int(target), A.SIZE)
+            by_group = h[i] @ w["U"].T + model.group_bias[before]
+            by_class = h[i] @ w["T"][group * A.SIZE : (group + 1) * A.SIZE].T + model.class_bias[group, before]
+            want = by_group[group] - np.log(np.exp(by_group).sum()) + by_class[place] - np.log(np.exp(by_class).sum())
+            assert abs(found[i] - want) < 1e-4 * (1 + abs(want))
+    assert abs(A.gradients(model, classes[:, :-1], classes[:, 1:])[0] + got.mean()) < 1e-4
+
+
+def test_large_scores_are_clipped_alike_in_scoring_and_training():
+    model = small_model(13)
+    model.weights["A"] *= 400
+    assert A.bound(model.weights) > A.MOST
+    x = np.random.default_rng(14).integers(0, A.CLASSES, (3, A.WINDOW + 1))
+    model.weights["U"][:], model.weights["T"][:] = 0.1, -0.1
+    value = A.log_probabilities(model, x[:, :-1], x[:, 1:])
+    assert np.isfinite(value).all()
+    assert abs(A.gradients(model, x[:, :-1], x[:, 1:])[0] + value.mean()) < 1e-4
+
+
+def test_windows_are_rows_of_one_array_and_come_back_from_bytes():
+    ids = np.append(np.arange(300), L.END_CODE).astype(np.uint16)
+    rows = L._windows(ids, np.array([0, len(ids)]))
+    assert isinstance(rows, np.ndarray) and rows.dtype == np.dtype("<u2")
+    column = L._binary(rows)
+    assert [bytes(r) for r in rows] == column.to_pylist()
+    assert (L._rows(column) == rows).all() and (L._rows(column.slice(2)) == rows[2:]).all()
+    assert L._windows(np.zeros(0, np.uint16), np.array([0])).shape == (0, A.WINDOW + 1)
