@@ -157,11 +157,12 @@ def _hidden(w: dict[str, np.ndarray], ready: Ready, x_in: np.ndarray, first: int
     return h
 
 
-def _log_share(logits: np.ndarray, at: np.ndarray, own_bias: np.ndarray, factors: np.ndarray) -> np.ndarray:
-    """Log of the softmax of logits plus biases at one entry of each row; factors: exp of the biases."""
+def _log_share(logits: np.ndarray, at: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Log of the softmax of logits plus log of factors at one entry of each row."""
     if logits.max() > MOST:
         np.minimum(logits, MOST, out=logits)
-    own = logits.ravel()[np.arange(0, logits.size, logits.shape[1]) + at] + own_bias
+    mine = np.arange(0, logits.size, logits.shape[1]) + at
+    own = logits.ravel()[mine] + np.log(factors.ravel()[mine])
     np.exp(logits, out=logits)
     logits *= factors
     return own - np.log(logits @ np.ones(logits.shape[1], logits.dtype))
@@ -179,7 +180,7 @@ def log_probabilities(model: Model, x_in: np.ndarray, x_out: np.ndarray, first:
     for i in range(0, n, AT_ONCE):
         own = slice(i * (size - first), i * (size - first) + rows)
         g[own] = _hidden(w, ready, x_in[i : i + AT_ONCE], first)
-        out[own] = _log_share(g[own] @ w["U"].T, group[own], model.group_bias[before[own], group[own]], np.take(model.group_factor, before[own], axis=0))
+        out[own] = _log_share(g[own] @ w["U"].T, group[own], np.take(model.group_factor, before[own], axis=0))
     # rows of one group stand together, so each group is one product
     order, cuts = by_group(target)
     g, place, row = np.take(g, order, axis=0), place[order], (group * (CLASSES + 1) + before)[order]
@@ -189,7 +190,7 @@ def log_probabilities(model: Model, x_in: np.ndarray, x_out: np.ndarray, first:
             np.matmul(g[a:b], w["T"][k * SIZE : (k + 1) * SIZE].T, out=logits[a:b])
         if b - done >= rows or (k == GROUPS - 1 and b > done):
             own, done = slice(done, b), b
-            more[own] = _log_share(logits[own], place[own], model.class_bias.reshape(-1, SIZE)[row[own], place[own]], np.take(model.class_factor, row[own], axis=0))
+            more[own] = _log_share(logits[own], place[own], np.take(model.class_factor, row[own], axis=0))
     out[order] += more
     return out.reshape(n, size - first)
 
@@ -327,7 +328,7 @@ def train(model: Model, windows: np.ndarray, rate: float, batch: int = 64) -> No
         every -= step_of
 
 
-def text_score(model: Model, found: np.ndarray, bounds: np.ndarray, batch: int = 384) -> np.ndarray:
+def text_score(model: Model, found: np.ndarray, bounds: np.ndarray, batch: int = 192) -> np.ndarray:
     """Natural log probability of each text: classes with END after each, joined; bounds: where each text starts.
 
     Windows of one text overlap by WINDOW - STRIDE classes; each class is scored once.

@@ -53,6 +53,19 @@ LOG10 = np.log(10.0)
 _encoder: dict[str | None, WordIds] = {}
 
 
+def white(data: np.ndarray) -> np.ndarray:
+    """Where white space of more than one byte starts in UTF-8 (the pattern of pieces knows it, words are not cut at it)."""
+    out = np.zeros(len(data), dtype=bool)
+    if len(data) > 1:
+        a, b = data[:-1], data[1:]
+        out[:-1] = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+        for lead, second, thirds in ((0xE1, 0x9A, [0x80]), (0xE2, 0x80, [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), (0xE2, 0x81, [0x9F]), (0xE3, 0x80, [0x80])):
+            at = np.flatnonzero((a == lead) & (b == second))
+            at = at[at + 2 < len(data)]
+            out[at[np.isin(data[at + 2], thirds)]] = True
+    return out
+
+
 class WordIds(Memory):
     """Subword ids of whole words, each with a space before it."""
 
@@ -63,6 +76,8 @@ class WordIds(Memory):
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.opens = np.zeros(max(ranks.values()) + 1, dtype=bool)  # ids whose bytes begin with a space
+        self.opens[[i for token, i in ranks.items() if token[:1] == b" "]] = True
 
     def numbers(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, distinct: np.ndarray, first: np.ndarray) -> np.ndarray:
         if len(self.known) + len(distinct) > CACHE_WORDS:
@@ -70,12 +85,41 @@ class WordIds(Memory):
         known, raw = self.known, low.tobytes()
         out = np.array([known.get(k, -1) for k in distinct.tolist()], dtype=np.int64)
         new = np.flatnonzero(out < 0)
-        begin, stop = starts[first[new]].tolist(), ends[first[new]].tolist()
-        encode = self.encoding.encode_ordinary
-        for i, a, b in zip(new.tolist(), begin, stop, strict=True):
-            out[i] = self._add(int(distinct[i]), encode(" " + raw[a:b].decode("utf-8", "replace")))
+        if not len(new):
+            return out
+        begin, stop = starts[first[new]], ends[first[new]]
+        odd = np.zeros(len(low) + 1, dtype=np.int32)
+        np.cumsum(white(low), out=odd[1:])
+        odd = odd[stop] > odd[begin]
+        # words without white space, in one text: a piece never spans the space between two of them
+        plain = np.flatnonzero(~odd)
+        size = stop[plain] - begin[plain] + 1
+        at = np.cumsum(size) - size
+        joined = np.take(low, np.arange(int(size.sum())) + np.repeat(begin[plain] - 1 - at, size), mode="clip")
+        joined[at] = 32
+        ids = np.array(self.encoding.encode_ordinary(joined.tobytes().decode("utf-8", "replace")), dtype=np.int32)
+        out[new[plain]] = self._add_all(distinct[new[plain]], ids, np.diff(np.flatnonzero(self.opens[ids]), append=len(ids)))
+        odd = np.flatnonzero(odd)
+        for i, a, b in zip(new[odd].tolist(), begin[odd].tolist(), stop[odd].tolist(), strict=True):
+            out[i] = self._add(int(distinct[i]), self.encoding.encode_ordinary(" " + raw[a:b].decode("utf-8", "replace")))
         return out
 
+    def _add_all(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Adds many pieces, whose ids are joined; gives their numbers."""
+        k, n = len(self.known), len(keys)
+        if len(size) != n:
+            raise ValueError(f"{n} words came to {len(size)}")
+        if k + n > len(self.at):
+            more = np.zeros(max(len(self.at), n), np.int64)
+            self.at, self.size = np.concatenate([self.at, more]), np.concatenate([self.size, more])
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[k : k + n], self.size[k : k + n] = self.used + np.cumsum(size) - size, size
+        self.used += len(ids)
+        self.known.update(zip(keys.tolist(), range(k, k + n), strict=True))
+        return np.arange(k, k + n)
+
 
 def word_ids(ranks_path: str | None) -> WordIds:
     """One encoder for each worker."""

@@ -234,3 +234,25 @@ def test_windows_are_rows_of_one_array_and_come_back_from_bytes():
     assert [bytes(r) for r in rows] == column.to_pylist()
     assert (L._rows(column) == rows).all() and (L._rows(column.slice(2)) == rows[2:]).all()
     assert L._windows(np.zeros(0, np.uint16), np.array([0])).shape == (0, A.WINDOW + 1)
+
+
+def test_words_encoded_together_have_the_ids_of_each_alone():
+    import public_tokenizers
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.tiktoken"), random.Random(15)
+    marks = ["a", "don't", "'s", "été", "12", "3", "#*", "-", "日本", "ß", "😀", "\u00a0", "\u2003", "\u3000", "\u1680", "\u205f", "\u2028", "\x85", "\x1f", "\u200b", "\u201c", "Ġ", "\x00"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(1, 5))) for _ in range(3000)] + marks + ["x" * 5000]
+    together, alone = L.WordIds(path, public_tokenizers.PATTERN), L.WordIds(path, public_tokenizers.PATTERN)
+    calls = []
+    encode = together.encoding.encode_ordinary
+    together.encoding.encode_ordinary = lambda text: calls.append(text) or encode(text)
+    for part in (texts[:1000], texts[500:]):
+        data = np.frombuffer(" ".join(part).encode(), np.uint8)
+        ids, bounds = L.read(data, np.array([0, len(data)]), together)[4:]
+        want = [i for word in part for i in alone.encoding.encode_ordinary(" " + re.sub("[A-Z]", lambda m: m.group().lower(), word))]
+        assert ids.tolist() == [*want, L.END_CODE] and bounds.tolist() == [0, len(want) + 1]
+    odd = {t for t in texts if re.search("[\x85\u00a0\u1680\u2003\u2028\u205f\u3000]", t)}
+    assert len(calls) <= 2 + len(odd)
+    data = np.frombuffer(b"a \xff\xc2 b\xe2\x80 c", np.uint8)  # broken UTF-8
+    ids = L.read(data, np.array([0, len(data)]), together)[4]
+    assert ids.tolist() == [*alone.encoding.encode_ordinary(" " + data.tobytes().decode("utf-8", "replace")), L.END_CODE]
