@@ -16,7 +16,7 @@ from siltstone.sources.tables import table
 SELECT i.url, status, title, described AS description_length, CASE WHEN page_id % 3 = 0 THEN i.url WHEN page_id % 3 = 1 THEN i.url || 'x' END AS canonical, CASE WHEN page_id % 11 = 0 THEN 'noindex, nofollow' END AS robots,
  (page_id % 6 = 0)::INT AS missing_alt, words AS word_count, CASE WHEN status >= 400 THEN 'error' WHEN page_id % 11 = 0 THEN 'noindex' ELSE 'indexable' END AS indexability, coalesce(issues, '') AS issues FROM i LEFT JOIN j ON i.url = j.url""")
 def page_table(spark, folder):
-    own = O.page_table(rich_pages(spark, folder))
+    own = O.page_table(rich_pages(spark, folder), "page_id")
     return own.select("url", "status", "title", F.length("meta_description").cast("long").alias("description_length"), "canonical", "robots", "missing_alt", F.col("word_count").cast("long").alias("word_count"), "indexability", "issues")
 
 
