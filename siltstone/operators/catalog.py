@@ -6,13 +6,19 @@ extractor, position in one order), the fields of ``FIELDS`` and lists.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from siltstone.checkpoints import cut
 from siltstone.functions import urls as U
 from siltstone.functions.text import collapsed, folded, slug
 from siltstone.operators.graph import connected
+from siltstone.operators.joins import join_by
 
 IDENTIFIERS = ("sku", "gtin", "ean", "upc", "isbn", "mpn")
 FIELDS = (*IDENTIFIERS, "name", "title", "url", "canonical", "slug", "price", "regular_price", "sale_price", "currency", "description", "short_description", "brand", "stock", "stock_status", "availability")
@@ -80,39 +86,62 @@ def merge(products: DataFrame) -> DataFrame:
     """Products of each site merged in order of ``seq``; a merged product answers to the keys of all its records.
 
     The fold depends on order, so it needs the records of one product
-    together, but not those of a whole site: records that share neither
-    identifier nor address nor name never meet.  Components over these keys are
-    found first, and each is folded by itself, so a large site spreads over
-    many tasks.
+    together, but not those of a whole site: records meet by an identifier,
+    by an address or, without both, by where they were seen, and never by a
+    name alone.  Records of one address are one node; components over nodes
+    that share an identifier are found first, so where no two do nothing is
+    left to search.  Each component is folded by itself as its sorted rows
+    stream by, and what is held of it are its merged products.
     """
-    keyed = with_keys(products)
-    tokens = keyed.select("site", "seq", F.explode(F.array_compact(F.array(*[F.when(F.col(k).isNotNull(), F.concat(F.lit(k + ":"), F.col(k))) for k in ("id_key", "url_key", "name_key")]))).alias("token"))
-    first = tokens.groupBy("site", "token").agg(F.min("seq").alias("a"))
-    edges = tokens.join(first, ["site", "token"]).where("a != seq").select(F.struct("site", F.col("a").alias("seq")).alias("a"), F.struct("site", "seq").alias("b"))
-    parts = connected(edges)
-    own = keyed.withColumn("_id", F.struct("site", "seq")).join(parts, F.col("_id") == F.col("id"), "left").withColumn("part", F.coalesce(F.col("component.seq"), F.col("seq"))).drop("_id", "id", "component")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    seen = F.coalesce("source_url", F.lit(""))
+    node = F.when(F.col("url_key") != "", F.concat(F.lit("url:"), "url_key")).when(F.col("id_key") != "", F.concat(F.lit("id:"), "id_key")).otherwise(F.concat(F.lit("unknown:"), seen))
+    keyed = cut(with_keys(products).withColumn("part", node))
+    shared = keyed.where("id_key != ''").groupBy("site", "id_key").agg(F.min("part").alias("a"), F.max("part").alias("z")).where("a != z").drop("z")
+    links = join_by(keyed.where("id_key != ''").select("site", "id_key", "part").distinct(), cut(shared), ["site", "id_key"]).where("part != a")
+    parts = connected(links.select(F.struct("site", F.col("a").alias("part")).alias("a"), F.struct("site", "part").alias("b")))
+    parts = parts.select(F.col("id.site").alias("site"), F.col("id.part").alias("part"), F.col("component.part").alias("root"))
+    own = keyed.join(parts, ["site", "part"], "left").withColumn("part", F.coalesce("root", "part")).drop("root")
+    own = own.repartition("site", "part").sortWithinPartitions("site", "part", "seq")
+    columns = ["site", "seq", "source_url", *FIELDS, *LISTS, "variants", "merged"]
+    out_kind = to_arrow_schema(T.StructType.fromDDL(PRODUCT + ", merged int"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = []  # of the component that the rows are in from here on, what ended before
         out: list[dict] = []
         at: dict[str, int] = {}
-        for row in pdf.sort_values("seq").to_dict("records"):
-            for c in (*FIELDS, "id_key", "url_key", "name_key", "source_url"):
-                row[c] = None if row[c] is None or row[c] != row[c] else row[c]
-            for c in LISTS:
-                row[c] = list(row[c]) if row[c] is not None else []
-            row["variants"] = [dict(v, attributes=dict(v["attributes"] or {})) for v in (row["variants"] if row["variants"] is not None else [])]
-            row["merged"] = 0
-            i = next((at[k] for k in _keys(row) if k in at), None)
-            if i is None:
-                i = len(out)
-                out.append(row)
-            else:
-                out[i] = _joined(out[i], row)
-            at |= dict.fromkeys(_keys(out[i]), i)
-        return pd.DataFrame(out)[columns]
-
-    columns = ["site", "seq", "source_url", *FIELDS, *LISTS, "variants", "merged"]
-    return own.groupBy("site", "part").applyInPandas(fold, PRODUCT + ", merged int")
+        part = None
+
+        def batch_of(rows: list[dict]) -> pa.RecordBatch:
+            entries = lambda v: dict(v, attributes=list(v["attributes"].items()))
+            rows = [dict(r, variants=[entries(v) for v in r["variants"]]) if r["variants"] else r for r in rows]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], out_kind.field(c).type) for c in columns], columns)
+
+        for batch in batches:
+            names = batch.schema.names
+            for values in zip(*(batch.column(i).to_pylist() for i in range(len(names))), strict=True):
+                row = dict(zip(names, values, strict=True))
+                if (row["site"], row["part"]) != part:
+                    found += out
+                    out, at, part = [], {}, (row["site"], row["part"])
+                    if len(found) >= 1024:
+                        yield batch_of(found)
+                        found = []
+                for c in LISTS:
+                    row[c] = row[c] or []
+                row["variants"] = [dict(v, attributes=dict(v["attributes"] or {})) for v in row["variants"] or []]
+                row["merged"] = 0
+                i = next((at[k] for k in _keys(row) if k in at), None)
+                if i is None:
+                    i = len(out)
+                    out.append(row)
+                else:
+                    out[i] = _joined(out[i], row)
+                at |= dict.fromkeys(_keys(out[i]), i)
+        found += out
+        if found:
+            yield batch_of(found)
+
+    return own.select("part", "site", "seq", "source_url", *FIELDS, *LISTS, "variants", "id_key", "url_key", "name_key").mapInArrow(fold, PRODUCT + ", merged int")
 
 
 def options(variants: Column | str) -> Column:

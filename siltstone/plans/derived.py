@@ -11,7 +11,7 @@ from siltstone.operators import products as P
 from siltstone.operators import rules as R
 from siltstone.plans.pages import H1S, HOST, HTML_BYTES, TITLE, WORDS
 from siltstone.registry import query
-from siltstone.sources.tables import table
+from siltstone.sources.tables import dealt, table
 
 #: What is put behind a page's title, by its number; in Spark's SQL.
 HEAD = """concat(
@@ -83,7 +83,8 @@ def shop_pages(spark: SparkSession, folder: str) -> DataFrame:
     themed = """concat('<script type="application/json">{"title":"', p_name, '","vendor":"', p_brand, '","price":', p_size, ',"variants":[{"sku":"v', p_partkey, 'a","color":"red"},{"sku":"v', p_partkey, 'b","available":false}]}</script>')"""
     html = f"""concat('<html><head><title>', p_name, '</title><meta property="og:type" content="product"><meta property="og:title" content="', p_name, '"><script type="application/ld+json">{{"@graph":[{{"@type":"Product","sku":"', p_partkey,
      '","name":"', p_name, '","brand":{{"name":"', p_brand, '"}},"offers":{{"price":"', p_size, '","priceCurrency":"EUR"}},"image":["/i/', p_partkey, '.png","b.png"]}}]}}</script>', if(p_partkey % 3 = 0, {themed}, ''), '</head><body><h2>x</h2></body></html>')"""
-    return table(spark, folder, "part").select(F.concat(F.lit("s"), F.col("p_partkey") % 10).alias("site"), F.col("p_partkey").alias("place"), F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey")).alias("url"), F.expr(html).alias("html"))
+    own = dealt(table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
+    return own.select(F.concat(F.lit("s"), F.col("p_partkey") % 10).alias("site"), F.col("p_partkey").alias("place"), F.concat(F.lit("https://shop.example/p/"), F.col("p_partkey")).alias("url"), F.expr(html).alias("html"))
 
 
 SHOP = """WITH x AS (SELECT 's' || (p_partkey % 10) AS site, p_partkey AS k, p_name AS name, p_brand AS brand, p_size::VARCHAR AS price FROM part),

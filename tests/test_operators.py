@@ -232,6 +232,21 @@ def test_products_merge_in_order(spark):
     assert (stats.discovered, stats.final, stats.merged_duplicates, stats.duplicates) == (4, 2, 2, 0)
 
 
+def test_products_meet_by_key_and_not_by_name(spark):
+    own = products(spark, [
+        {"seq": 1, "name": "Cap", "source_url": "https://x.com/1"},
+        {"seq": 2, "name": "Cap two", "source_url": "https://x.com/1", "price": "3"},
+        {"seq": 3, "name": "Cap", "source_url": "https://x.com/2"},
+        {"seq": 4, "name": "Hat", "url": "https://x.com/p/h"},
+        {"seq": 5, "name": "Hat", "url": "https://x.com/p/h", "sku": "H"},
+        {"seq": 6, "name": "Hat", "url": "https://x.com/p/other", "sku": "h"},
+        {"seq": 7, "name": "Hat", "url": "https://x.com/p/other"},
+        {"seq": 8, "name": "Hat", "url": "https://x.com/p/alone"},
+    ])
+    merged = {r.seq: (r.name, r.price, r.merged) for r in C.merge(own).collect()}
+    assert merged == {1: ("Cap", "3", 1), 3: ("Cap", None, 0), 4: ("Hat", None, 2), 7: ("Hat", None, 0), 8: ("Hat", None, 0)}
+
+
 def test_confidence_and_options(spark):
     own = products(spark, [{"seq": 1, "name": "n", "slug": "s", "url": "u", "price": "1", "sku": "x", "variants": [variant(size="S", color="red"), variant(size="M", color="red")]}, {"seq": 2, "name": ""}])
     rows = own.select("seq", C.confidence(own).alias("c"), C.options("variants").alias("o")).orderBy("seq").collect()
