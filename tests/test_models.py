@@ -40,6 +40,13 @@ def test_what_a_model_holds(spark):
     assert [s.type for s in m.sections] and any(b.media for b in m.blocks) and m.forms[0].required and m.widgets[0].title == "W"
 
 
+def test_gathering_models_moves_nothing_and_reads_no_element_again(spark):
+    plan = M.nested(M.page_tables(captured(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "Exchange" not in plan
+    assert "RowFrame, 1, unboundedfollowing" not in plan and "RowFrame, unboundedpreceding$(), -1" in plan
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def older(spark):
     """The same page as versions 1 and 2 stored it."""
     new = M.nested(M.page_tables(captured(spark))).where("url = 'http://a.example/x/y'")
